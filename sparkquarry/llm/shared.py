@@ -43,3 +43,12 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z lower-cased; all other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that starts with `stem` and that `df` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
