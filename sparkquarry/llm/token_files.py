@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.bpe import read_spec
+from sparkquarry.llm.bpe import byte_letters, read_spec
 from sparkquarry.llm.shared import cut, table
 
 MAGIC = b"DAC1"
@@ -105,7 +105,8 @@ class _ByWord:
         pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?!\P{{White_Space}})|{space}+"
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.specials is None or not self.specials.search(text):
@@ -116,11 +117,13 @@ class _ByWord:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         words = self.split(text)
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[word] = tuple(got.ids)
-        known = self.known
-        return np.array([i for w in words for i in known[w]], dtype=np.uint32)
+        for word in set(words).difference(self.known):
+            if self.specials is not None and self.specials.fullmatch(word):
+                ids = [self.library.token_to_id(word)]
+            else:
+                ids = [t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+            self.known[word] = np.array(ids, dtype="<u4").tobytes()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
