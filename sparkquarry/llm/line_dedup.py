@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import BLANKS, ascii_lower
+from sparkquarry.llm.shared import BLANKS, ascii_lower, table
 
 
 def _lines(text: Column) -> Column:
@@ -91,7 +91,13 @@ FROM marked GROUP BY doc_id
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from sparkquarry.llm.shared import table
-
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that an earlier one holds; n_chars follows the text."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import line_dedup
+from sparkquarry.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_language_id": language_id.op2_language_id,
+        "op3_bpe": bpe.op3_bpe,
+        "op4_chat_format": chat_format.op4_chat_format,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+        "op6_token_files": token_files.op6_token_files,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
