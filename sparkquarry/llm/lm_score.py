@@ -15,50 +15,28 @@ to it, and no task or driver holds the model whole.
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkquarry.llm.blocks import documents_of, in_blocks
 from sparkquarry.llm.shared import cut, table
 from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
 
-BLOCK_CHARS = 5_000_000
 WORDS_PER_RANGE = 1_000_000
 START, END = np.uint64(0x5EED), np.uint64(0xE0F)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 ORDERS = (1, 2, 3)
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seq, size, docs = 0, 0, []
-
-    def flush() -> pd.DataFrame:
-        data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(docs, protocol=5))
-        return pd.DataFrame([((TaskContext.get().partitionId() << 32) | seq, data)], columns=["block", "docs"])
-
-    for batch in batches:
-        for doc_id, train, text in zip(batch["doc_id"], batch["train"], batch["text"]):
-            text = text or ""
-            docs.append((None if pd.isna(doc_id) else int(doc_id), bool(train), text))
-            size += len(text)
-            if size >= BLOCK_CHARS or len(docs) >= 50_000:
-                yield flush()
-                seq, size, docs = seq + 1, 0, []
-    if docs:
-        yield flush()
-
-
 class _Block:
     """A block's tokens in a row, with the keys of the n-grams that end at each of them."""
 
     def __init__(self, data: bytes, bits: int):
-        docs = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        docs = documents_of(data)
         self.doc_ids = [d for d, *_ in docs]
         texts = [word_hashes(t) for *_, t in docs]
         self.sizes = np.array([len(t) + 1 for t in texts])
@@ -175,7 +153,7 @@ def suffix_tree_scores(
     to expect). Other columns are ignored. `least_count` is how often a context must occur.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    blocks = cut(source.mapInPandas(_store, "block long, docs binary"), "lm-blocks")
+    blocks = in_blocks(source)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = 1 << max(4, math.ceil(math.log2(chars / 6 / WORDS_PER_RANGE + 1)))
     bits = min(56, max(44, math.ceil(math.log2(chars / 6 + 1)) + 15))

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, token_files
+from sparkquarry.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    lm_score,
+    suffix_dedup,
+    token_files,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_files": token_files.op6_token_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op9_lm_score": lm_score.op9_lm_score,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
