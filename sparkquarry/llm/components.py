@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("label < _old").isEmpty():
             return labels
+
+
+def spanning_edges(ids_a: np.ndarray, ids_b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the links (rows, cols) join, as few as the ids that have any."""
+    nodes, place = np.unique(np.concatenate([ids_a[rows], ids_b[cols]]), return_inverse=True)
+    a, b = place[: len(rows)], place[len(rows) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    linked = label != np.arange(len(nodes))
+    return nodes[linked], nodes[label[linked]]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.components import components
+from sparkquarry.llm.components import components, spanning_edges
 from sparkquarry.llm.shared import cut, table
 
 #: Codebooks are fitted on so many distinct vectors at most, those with the smallest hashes.
@@ -93,23 +93,6 @@ def _reach(sample: list[bytes], books, threshold: float, target: float) -> float
     return min(whole, 1.5 * float(np.quantile(moves, target)) + 1e-9)
 
 
-def _spanning(ids_a: np.ndarray, ids_b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the links (rows, cols) join, as few as the ids that have any."""
-    nodes, place = np.unique(np.concatenate([ids_a[rows], ids_b[cols]]), return_inverse=True)
-    a, b = place[: len(rows)], place[len(rows) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    linked = label != np.arange(len(nodes))
-    return nodes[linked], nodes[label[linked]]
-
-
 def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Two chunks: for each class its links in the other chunk, and edges that join linked classes."""
     a, b = left.iloc[0], right.iloc[0]
@@ -126,7 +109,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.Da
     out = [pd.DataFrame({"id": ids[n > 0], "n": n[n > 0], "other": -1, "edge": False}) for ids, n in parts]
     rows, cols = np.nonzero(links)
     if len(rows):
-        one, two = _spanning(ids_a, ids_b, rows, cols)
+        one, two = spanning_edges(ids_a, ids_b, rows, cols)
         out.append(pd.DataFrame({"id": one, "n": 0, "other": two, "edge": True}))
     return pd.concat(out)
 

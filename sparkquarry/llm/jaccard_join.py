@@ -10,13 +10,14 @@
    be cheapest; a pair needs the smaller l of its two documents (as a longer prefix holds the
    shorter one), and only then is it verified.
 3. Equal sets are one class from the start. Members of large groups of near copies are first
-   compared with one hub for each prefix shingle; then pairs are formed only between documents
-   that these links haven't joined yet, so that no group is expanded into its pairs.
+   compared with one hub for each prefix shingle; what these links haven't joined is compared
+   in chunks, as matrices, so that no group is expanded into its pairs.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkquarry.llm.components import components
+from sparkquarry.llm.components import components, spanning_edges
 from sparkquarry.llm.shared import cut, table
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
@@ -34,6 +35,7 @@ BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a ra
 BITS = 48  # of a shingle's hash
 COMMON = 64  # documents of one block, or of all, from which on a shingle counts as common
 CELL, HEAVY, DOCS = 0, 1, 2
+CHUNK = 512  # documents compared at once
 MAX_MATCHES = 8
 VERIFY_COST = 0.02  # of comparing a shingle in verification, against reading a posting
 
@@ -186,6 +188,92 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("_both") * 100 >= (F.col("_na") + F.col("_nb") - F.col("_both")) * percent).select("a", "b")
 
 
+def _matches(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of `a` shares with each set of `b`."""
+    found = np.zeros((len(a), len(b)), np.float32)
+    own_a, own_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    all_a, all_b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
+    both = np.intersect1d(all_a, all_b)
+    if not len(both):
+        return found
+    at_a, at_b = np.searchsorted(both, all_a), np.searchsorted(both, all_b)
+    in_a = both[np.minimum(at_a, len(both) - 1)] == all_a
+    in_b = both[np.minimum(at_b, len(both) - 1)] == all_b
+    own_a, at_a, own_b, at_b = own_a[in_a], at_a[in_a], own_b[in_b], at_b[in_b]
+    for low in range(0, len(both), 4096):
+        part_a, part_b = (at_a >= low) & (at_a < low + 4096), (at_b >= low) & (at_b < low + 4096)
+        wide = min(4096, len(both) - low)
+        x, y = np.zeros((len(a), wide), np.float32), np.zeros((len(b), wide), np.float32)
+        x[own_a[part_a], at_a[part_a] - low] = 1
+        y[own_b[part_b], at_b[part_b] - low] = 1
+        found += x @ y.T
+    return found
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges that join the linked documents of two chunks which have different labels."""
+    a, b = pickle.loads(left.iloc[0]["docs"]), pickle.loads(right.iloc[0]["_docs"])
+    columns = lambda docs, name: np.array([d[name] for d in docs], np.int64)
+    ids_a, ids_b = columns(a, "doc_id"), columns(b, "doc_id")
+    n_a, n_b = columns(a, "n_shingles"), columns(b, "n_shingles")
+    near = columns(a, "label")[:, None] != columns(b, "label")
+    near &= np.minimum(n_a[:, None], n_b) * 100 >= np.maximum(n_a[:, None], n_b) * percent
+    needed = np.minimum(columns(a, "matches")[:, None], columns(b, "matches"))
+    near &= _matches([np.sort(d["prefix"]) for d in a], [np.sort(d["prefix"]) for d in b]) >= needed
+    rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(rows):
+        return pd.DataFrame({"a": [], "b": []})
+    tokens = lambda docs, which: [np.frombuffer(docs[i]["tokens"], np.uint64) for i in which]
+    shared = _matches(tokens(a, rows), tokens(b, cols)).astype(np.int64)
+    enough = shared * 100 >= (n_a[rows][:, None] + n_b[cols] - shared) * percent
+    one, two = np.nonzero(enough & near[np.ix_(rows, cols)])
+    if not len(one):
+        return pd.DataFrame({"a": [], "b": []})
+    x, y = spanning_edges(ids_a[rows], ids_b[cols], one, two)
+    return pd.DataFrame({"a": x, "b": y})
+
+
+def _between(live: DataFrame, postings: DataFrame, hubs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Edges between documents that the hubs haven't joined, but that share prefix shingles.
+
+    Documents stand in chunks of bounded size, with those that share their hub. Chunks that
+    share a shingle are compared as matrices (shared prefix shingles first, all shingles
+    then), unless both lie in one component; no pair of documents becomes a row.
+    """
+    known = postings.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    known = cut(known, "jaccard-postings")
+    open_ = known.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select(F.col("token").alias("_open"))
+    hub_of = hubs.join(cut(open_, "jaccard-open"), F.col("_token") == F.col("_open"), "left_semi")
+    hub_of = hub_of.join(labels, F.col("hub") == F.col("node"), "left").select("_token", F.coalesce("label", "hub").alias("_home"))
+    open_postings = cut(known.join(cut(hub_of, "jaccard-homes"), F.col("token") == F.col("_token")).select("token", "doc_id", "label", "_home"), "jaccard-open")
+    homes = open_postings.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("_home").alias("home"))
+    homes = cut(homes.withColumn("whole", F.col("label") == F.col("home")), "jaccard-homes")
+    sizes = homes.groupBy(F.col("home").alias("_home"), F.col("whole").alias("_whole")).agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("_chunks"))
+    same = (F.col("home") == F.col("_home")) & (F.col("whole") == F.col("_whole"))
+    salt = F.pmod(F.xxhash64("doc_id"), "_chunks").cast("string")
+    name = F.concat_ws("/", F.col("home").cast("string"), F.col("whole").cast("string"), salt)
+    placed = homes.join(cut(sizes, "jaccard-sizes"), same).select(
+        F.col("doc_id").alias("_doc"), F.col("label").alias("_label"), name.alias("chunk"), F.when(F.col("whole"), F.col("home")).alias("single")
+    )
+    placed = cut(placed, "jaccard-placed")
+
+    def stack(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], pickle.dumps(docs.drop(columns="chunk").to_dict("records"), protocol=5))], columns=["chunk", "docs"])
+
+    members = live.join(placed, F.col("doc_id") == F.col("_doc")).select("chunk", "doc_id", "n_shingles", "matches", F.col("_label").alias("label"), "prefix", "tokens")
+    chunks = cut(members.groupBy("chunk").applyInPandas(stack, "chunk string, docs binary"), "jaccard-chunks")
+    holds = open_postings.join(placed, F.col("doc_id") == F.col("_doc")).select("token", "chunk", "single").distinct()
+    holds = cut(holds, "jaccard-holds")
+    other = holds.select(*[F.col(c).alias(f"_{c}") for c in holds.columns])
+    apart = F.coalesce(F.col("single") != F.col("_single"), F.lit(True))
+    pairs = holds.join(other, (F.col("token") == F.col("_token")) & (F.col("chunk") <= F.col("_chunk")) & apart)
+    pairs = cut(pairs.select(F.col("chunk").alias("a"), F.col("_chunk").alias("b")).distinct(), "jaccard-pairs")
+    left = pairs.join(chunks, F.col("a") == F.col("chunk")).select("a", "b", "docs")
+    right = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(chunks, F.col("_b") == F.col("chunk")).select("_a", "_b", F.col("docs").alias("_docs"))
+    edges = left.groupBy("a", "b").cogroup(right.groupBy("_a", "_b")).applyInPandas(lambda x, y: _compare(x, y, percent), "a long, b long")
+    return cut(edges, "jaccard-edges")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -216,20 +304,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     links = cut(_verified(star, live, percent), "jaccard-star")
     labels = components(links)
 
-    known = postings.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n_shingles", "matches", F.coalesce("label", "doc_id").alias("label"))
-    known = cut(known, "jaccard-postings")
-    open_ = known.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select(F.col("token").alias("_token"))
-    known = cut(known.join(open_, F.col("token") == F.col("_token"), "left_semi"), "jaccard-open")
-    other = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
-    pairs = (
-        known.join(other, F.col("token") == F.col("_token"))
-        .where((F.col("doc_id") < F.col("_doc_id")) & (F.col("label") != F.col("_label")))
-        .where(F.least("n_shingles", "_n_shingles") * 100 >= F.greatest("n_shingles", "_n_shingles") * percent)
-        .groupBy(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b"))
-        .agg(F.count("*").alias("_shared"), F.min(F.least("matches", "_matches")).alias("_needed"))
-        .where("_shared >= _needed").select("a", "b")
-    )
-    links = links.unionByName(cut(_verified(pairs, live, percent), "jaccard-pairs"))
+    links = links.unionByName(_between(live, postings, hubs, labels, percent))
     labels = components(links)
 
     named = sets.join(labels, F.col("class_id") == F.col("node"), "left").select(
