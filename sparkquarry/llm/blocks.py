@@ -15,10 +15,10 @@ from sparkquarry.llm.shared import cut
 BLOCK_CHARS, BLOCK_DOCS = 5_000_000, 50_000
 
 
-def in_blocks(source: DataFrame) -> DataFrame:
+def in_blocks(source: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(block, docs) of `source` (doc_id, train, text), written to the shared folder.
 
-    A block ends with the document that takes it to 5 million characters; documents are
+    A block ends with the document that takes it to `block_chars` characters; documents are
     never cut. Null texts become empty.
     """
 
@@ -33,7 +33,7 @@ def in_blocks(source: DataFrame) -> DataFrame:
             for doc_id, train, text in zip(batch["doc_id"], batch["train"], batch["text"]):
                 docs.append((None if pd.isna(doc_id) else int(doc_id), bool(train), text or ""))
                 size += len(text or "")
-                if size >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
+                if size >= block_chars or len(docs) >= BLOCK_DOCS:
                     yield flush()
                     seq, size, docs = seq + 1, 0, []
         if docs:

@@ -28,7 +28,8 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM  # bytes before, and after, a sampled gram that one string with it can take in
 SPAN = LENGTH + REACH  # a neighbourhood
 BITS = 48  # of a gram's hash
-PER_RANGE = 700_000
+PER_RANGE = 400_000
+BLOCK_CHARS = 1_500_000  # a task holds about 100 bytes for each
 OUTSIDE = 256  # stands for what is before or after a document
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CODES = mix(np.arange(1, 258, dtype=np.uint64) * _PRIME)
@@ -246,7 +247,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     Removal may cut a character in two, so what is kept is binary. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("train"), "text")
-    blocks = in_blocks(source)
+    blocks = in_blocks(source, BLOCK_CHARS)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(chars / 14 / PER_RANGE + 1)))
     sent = blocks.mapInPandas(lambda b: _send(b, buckets), _SENT)
