@@ -27,6 +27,7 @@ from sparkquarry.llm.shared import cut, table
 from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
 
 WORDS_PER_RANGE = 1_000_000
+BLOCK_CHARS = 3_500_000
 START, END = np.uint64(0x5EED), np.uint64(0xE0F)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 ORDERS = (1, 2, 3)
@@ -59,6 +60,7 @@ class _Block:
         keys[3] = mix((self.two * _PRIME + self.one) * _PRIME + self.now + np.uint64(3)) >> shift
         self.deep = self.at >= 1  # has two symbols before it, the start being one
         self.keys = {k: np.unique(v[self.deep] if k == 3 else v, return_inverse=True) for k, v in keys.items()}
+        del self.now, self.one, self.two, self.at
 
     def counts(self, order: int) -> np.ndarray:
         unique, place = self.keys[order]
@@ -71,12 +73,12 @@ class _Block:
         self.vocabulary, self.tokens = int(parts["types"].sum()), int(parts["tokens"].sum())
         n = {k: np.concatenate([unpack(p) for p in parts[f"n{k}"]]).astype(np.float64) for k in ORDERS}
         self.n_now, self.n_pair = n[1][self.keys[1][1]], n[2][self.keys[2][1]]
-        self.n_triple = np.zeros(len(self.now))
+        self.n_triple = np.zeros(len(self.train))
         self.n_triple[self.deep] = n[3][self.keys[3][1]]
         # The context of a token is the n-gram that ends at its neighbour, but for START, which is counted as END is.
         at = np.searchsorted(self.keys[1][0], self.context1)
         self.n_context1 = n[1][at]
-        self.n_context2 = np.zeros(len(self.now))
+        self.n_context2 = np.zeros(len(self.train))
         self.n_context2[1:] = self.n_pair[:-1]
         self.n_context2[~self.deep] = 0
 
@@ -153,7 +155,7 @@ def suffix_tree_scores(
     to expect). Other columns are ignored. `least_count` is how often a context must occur.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    blocks = in_blocks(source)
+    blocks = in_blocks(source, BLOCK_CHARS)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = 1 << max(4, math.ceil(math.log2(chars / 6 / WORDS_PER_RANGE + 1)))
     bits = min(56, max(44, math.ceil(math.log2(chars / 6 + 1)) + 15))

@@ -41,17 +41,19 @@ _NAMES = [part.split()[0] for part in _SENT.split(", ")]
 
 def hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k neighbouring codes along the last axis, by doubling."""
-    by_size, size = {1: _CODES[codes]}, 1
-    while size * 2 <= k:
-        a = by_size[size]
-        by_size[size * 2] = mix(a[..., :-size] * _PRIME + a[..., size:])
+    part, size, kept, count = _CODES[codes], 1, {}, codes.shape[-1] - k + 1
+    while True:
+        if k & size:
+            kept[size] = part
+        if size * 2 > k:
+            break
+        part = mix(part[..., :-size] * _PRIME + part[..., size:])
         size *= 2
-    out, at, count = None, 0, codes.shape[-1] - k + 1
-    for size in sorted(by_size, reverse=True):
-        if k - at >= size:
-            part = by_size[size][..., at : at + count]
-            out = part if out is None else mix(out * _PRIME + part)
-            at += size
+    out, at = None, 0
+    for size in sorted(kept, reverse=True):
+        part = kept.pop(size)[..., at : at + count]
+        out = part if out is None else mix(out * _PRIME + part)
+        at += size
     return out
 
 
@@ -182,7 +184,7 @@ def _compare(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
     keys, docs = meta[0], meta[1].view(np.int64)
     order = np.argsort(keys, kind="stable")
     found = np.zeros((len(keys), REACH + 1), bool)
-    for part in np.array_split(order, max(1, len(order) // 100_000)) if len(order) <= 100_000 else _by_key(order, keys, 100_000):
+    for part in _by_key(order, keys, 10_000):
         strings = hashes(around[part], LENGTH)
         count = _slide((around[part] == OUTSIDE).T.astype(np.uint8), LENGTH, np.maximum).T
         inside = count == 0
