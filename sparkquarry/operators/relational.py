@@ -38,17 +38,3 @@ def until_enough(df: DataFrame, keys: list[str], order: list[Column], amount: Co
     """Rows in order until the sum of `amount` before a row has reached `enough`."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_before", F.coalesce(F.sum(amount).over(before), F.lit(0.0))).where(F.col("_before") < enough).drop("_before")
-
-
-def similar_pairs(df: DataFrame, id_column: str, token_column: str, least: float) -> DataFrame:
-    """(left_id, right_id, similarity): pairs that share a token and are similar enough by Jaccard.
-
-    Pairs come from the tokens they share, so that nothing is compared with everything.
-    """
-    sets = df.select(F.col(id_column).alias("id"), F.col(token_column).alias("tokens"))
-    postings = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    other = postings.select(F.col("id").alias("right_id"), F.col("n").alias("right_n"), F.col("token").alias("right_token"))
-    met = postings.join(other, (F.col("token") == F.col("right_token")) & (F.col("id") < F.col("right_id")))
-    shared = met.groupBy("id", "right_id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("right_n").alias("right_n"))
-    similarity = F.col("both") / (F.col("n") + F.col("right_n") - F.col("both"))
-    return shared.where(similarity >= least).select(F.col("id").alias("left_id"), "right_id", F.round(similarity, 6).alias("similarity"))

@@ -1 +1,6 @@
+"""The query catalogue: every query by name, with its SQL (None where SQL can't express it)."""
 
+from sparkquarry.plans import leads  # noqa: F401  (adds its queries)
+from sparkquarry.plans.catalogue import QUERIES
+
+__all__ = ["QUERIES"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as t
 from sparkquarry.operators import relational as r
+from sparkquarry.operators.matching import jaccard_matches
 
 QUERIES: dict[str, tuple] = {}
 
@@ -76,7 +77,8 @@ p AS (SELECT item_id, len(w) AS n, unnest(w) AS k FROM s)
 SELECT a.item_id AS left_id, b.item_id AS right_id, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity
 FROM p a JOIN p b ON a.k = b.k AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.2""")
 def token_jaccard_pairs(table):
-    return r.similar_pairs(table("benchmark").select("item_id", t.tokens("text").alias("w")), "item_id", "w", 0.2)
+    items = table("benchmark").select(F.col("item_id").alias("id"), t.tokens("text").alias("tokens"))
+    return jaccard_matches(items, items, 0.2).where("left_id < right_id")
 
 
 @_query("""SELECT c_custkey, k IN (SELECT regexp_extract(s_name, '([0-9]+)', 1) FROM supplier) AS name_bit, c_nationkey IN (SELECT s_nationkey FROM supplier) AS nation_bit

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sparkquarry.plans.catalogue import QUERIES
+from sparkquarry.plans import QUERIES
 from sparkquarry.streaming.events import daily_counts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -19,7 +19,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n, (_, text) in QUERIES.items() if text])
 def test_query_equals_sql(spark, sql, name):
     run, text = QUERIES[name]
     found, want = run(spark, SF), sql.sql(text)
@@ -49,3 +49,44 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [('A, "b"', "x", "two\nlines"), ("short", "", "")]
     write_csv(rows, str(tmp_path / "out"), ("notes",))
     assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out")).select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_quota_pick_equals_a_plain_walk(spark):
+    from sparkquarry.operators.matching import quota_pick
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, i % 3 if i % 5 else 0, i * 7 % 4, (i * 37) % 101) for i in range(120)]
+    caps = {"a": 6, "b": 9}
+    found = quota_pick(spark.createDataFrame(rows, "id long, a long, b long, v long"), caps, [F.desc("v"), F.asc("id")], 30).collect()
+    taken, n = [], {}
+    ordered = sorted(rows, key=lambda x: (-x[3], x[0]))
+    for x in ordered:
+        if len(taken) < 30 and n.get(("a", x[1]), 0) < 6 and n.get(("b", x[2]), 0) < 9:
+            taken.append(x[0])
+            for k in (("a", x[1]), ("b", x[2])):
+                n[k] = n.get(k, 0) + 1
+    fill = [x[0] for x in ordered if x[0] not in taken][: 30 - len(taken)]
+    assert fill and sorted((x["id"], x["_fill"]) for x in found) == sorted([(i, False) for i in taken] + [(i, True) for i in fill])
+
+
+def test_rules(spark):
+    from pyspark.sql import functions as F
+
+    from sparkquarry.operators import rules
+
+    row = spark.range(1).select(
+        rules.signal_class(F.lit("They plan to expand, HIRING now")).alias("a"), rules.signal_class(F.lit("a new plant")).alias("b"), rules.signal_class(F.lit(None)).alias("c"),
+        rules.lead_stage(F.lit(False), F.lit(False)).alias("d"), rules.lead_stage(F.lit(True), F.lit(True)).alias("e"), rules.lead_stage(F.lit(True), F.lit(False)).alias("f"),
+        rules.sweep_score(*map(F.lit, (0, 1, 0)), 2, *map(F.lit, (False, True, False, True))).alias("g"), rules.sweep_score(*map(F.lit, (2, 1, 3)), 2, *map(F.lit, (True,) * 4)).alias("h"),
+    ).first()
+    assert row[:6] == ("Hiring", "Expansion", None, "Plant Verified - Needs Contact + Products", "Ready for Outreach", "Plant Verified - Needs Products")
+    assert row[6:] == (10 + 40 + 40 + 15 + 35 + 20 - 5, 5)
+
+
+def test_jaccard_matches_with_copies_and_empty_sets(spark):
+    from sparkquarry.operators.matching import jaccard_matches
+
+    left = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, []), (4, None)], "id long, tokens array<string>")
+    right = spark.createDataFrame([(7, ["b", "a"]), (8, ["a", "b", "c"]), (9, ["z"])], "id long, tokens array<string>")
+    assert sorted(map(tuple, jaccard_matches(left, right, 0.6).collect())) == [(i, j, s) for i in (1, 2) for j, s in ((7, 1.0), (8, 0.666667))]
