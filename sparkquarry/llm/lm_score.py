@@ -184,11 +184,11 @@ def suffix_tree_scores(
 
     def keep(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         back, _ = _sum_up([_sorted(k) for k in parts["contexts"]], [np.frombuffer(g, np.float32).astype(np.float64) for g in parts["gains"]])
-        kept = [np.packbits(np.round(b, 3) >= cutoff).tobytes() for b in back]
-        return pd.DataFrame({"length": key[0], "key": key[1], "block": parts["block"], "n1": parts["contexts"], "n2": kept})
+        kept = [pack_sorted(_sorted(k)[np.round(b, 3) >= cutoff]) for k, b in zip(parts["contexts"], back)]
+        return pd.DataFrame({"length": key[0], "key": key[1], "block": parts["block"], "n1": kept})
 
     judged = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(gains, "length int, key int, block long, contexts binary, gains binary")
-    kept = cut(judged.groupBy("length", "key").applyInPandas(keep, "length int, key int, block long, n1 binary, n2 binary"), "lm-contexts")
+    kept = cut(judged.groupBy("length", "key").applyInPandas(keep, "length int, key int, block long, n1 binary"), "lm-contexts")
 
     def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         block = _Block(own["docs"].iloc[0], bits)
@@ -196,11 +196,10 @@ def suffix_tree_scores(
         root, *deeper = block.likelihoods(smoothing, 0)
         chance = root.copy()
         for length, which, context in _contexts(block, least_count):
-            flags = parts[parts["length"] == length].sort_values("key")
-            if not len(flags):
+            held = parts[parts["length"] == length].sort_values("key")
+            if not len(held):
                 continue
-            keys = [_sorted(k) for k in flags["n1"]]
-            known = np.concatenate([k[np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)).astype(bool)] for k, f in zip(keys, flags["n2"])])
+            known = np.concatenate([_sorted(k) for k in held["n1"]])
             if len(known):
                 place = np.minimum(np.searchsorted(known, context), len(known) - 1)
                 use = which & (known[place] == context)
