@@ -253,3 +253,21 @@ def test_suffix_dedup(docs, none):
     got = {k: (*v[:2], bytes(v[2]), len(v[3])) for k, v in by_id(found, "doc_id", "n_bytes", "n_removed", "kept", "starts").items()}
     assert got == want and sum(w[1] for w in want.values()) > 1000
     assert suffix_dedup.dedup_substrings(none).count() == 0
+
+
+def test_suffix_dedup_tells_surroundings_apart(spark):
+    """Two surroundings of one gram, whose hashes are equal in 32 bits, share no string."""
+    s = suffix_dedup
+    make = np.random.default_rng(1)
+    letters = lambda *shape: make.integers(97, 123, shape).astype(np.uint16)
+    grams = letters(50_000, s.GRAM)
+    gram = grams[s.hashes(grams, s.GRAM)[:, 0].argmin()]  # is sampled wherever it stands
+    around = letters(250_000, s.SPAN)
+    around[:, s.REACH : s.LENGTH] = gram
+    found = np.concatenate([s.hashes(part, s.SPAN)[:, 0] for part in np.split(around, 25)])
+    order = np.argsort(found)
+    same = np.flatnonzero(np.diff(found[order] >> np.uint64(32)) == 0)
+    assert len(same)
+    pairs = around[np.stack([order[same], order[same + 1]], 1).ravel()].astype(np.uint8)
+    docs = spark.createDataFrame([(i, p.tobytes().decode()) for i, p in enumerate(pairs)], "doc_id long, text string")
+    assert {r["n_removed"] for r in s.dedup_substrings(docs).collect()} == {0}
