@@ -18,8 +18,8 @@ DIMS = 2048
 
 
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane: is it a letter?"""
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+    """For each code point: is it a letter?"""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def features(text: str | None, letter: np.ndarray, dims: int = DIMS) -> np.ndarray | None:
@@ -29,7 +29,7 @@ def features(text: str | None, letter: np.ndarray, dims: int = DIMS) -> np.ndarr
     if not text:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    is_letter = letter[np.minimum(codes, 0xFFFF)]
+    is_letter = letter[codes]
     if not is_letter.any():
         return None
     codes = np.where(is_letter, codes, np.uint32(32))
