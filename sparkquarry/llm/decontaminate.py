@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import cut, table
+from sparkquarry.llm.shared import cut, fresh_name, table
 from sparkquarry.llm.words import ngrams, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
@@ -156,6 +156,9 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = cut(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks.withColumnRenamed("doc_id", "_leak"), F.col("doc_id") == F.col("_leak"), "left_anti")
+    """Documents without a passage of the benchmark; each row is judged alone, whatever its doc_id."""
+    row = fresh_name(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = cut(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return rows.join(leaks, F.col(row) == F.col("_leak"), "left_anti").select(*docs.columns)

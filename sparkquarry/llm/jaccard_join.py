@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, table
+from sparkquarry.llm.shared import cut, fresh_name, table
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
 BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a range of hashes
@@ -274,17 +274,8 @@ def _between(live: DataFrame, postings: DataFrame, hubs: DataFrame, labels: Data
     return cut(edges, "jaccard-edges")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
-
-    Documents link when 100 * |shared shingles| >= percent * |all their shingles| (sets of
-    hashes of `shingle` neighbouring words, A-Z lower-cased, whole texts). component_id is the
-    smallest doc_id that links lead to. A document of fewer words is one shingle; null, empty
-    and blank texts have none and link with nothing. Rows without doc_id are left out; rows
-    that repeat a doc_id are all returned, with the same component if they are similar. Other
-    columns are ignored.
-    """
-    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _components_of_rows(source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """As jaccard_components, of `source` (doc_id, text) without null or repeated doc_id."""
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(chars / 6 / BLOCK + 1)))
     sent = source.mapInPandas(lambda batches: _blocks(batches, shingle, buckets), _SENT)
@@ -316,12 +307,47 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     return joined.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
 
 
+def _with_row(docs: DataFrame, row: str) -> DataFrame:
+    """`docs` plus a number of each row, which is written so that it stays the same."""
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    Documents link when 100 * |shared shingles| >= percent * |all their shingles| (sets of
+    hashes of `shingle` neighbouring words, A-Z lower-cased, whole texts). component_id is the
+    smallest doc_id that links lead to. A document of fewer words is one shingle; null, empty
+    and blank texts have none and link with nothing. Rows without doc_id are left out. Rows
+    that repeat a doc_id are all returned and link each by its own text, so they share a
+    component only if links join them. Other columns are ignored.
+    """
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = _with_row(known, "_row")
+    found = _components_of_rows(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+    found = found.join(rows.select("_row", "_id"), F.col("doc_id") == F.col("_row"))
+    found = cut(found.select("_id", "n_shingles", F.col("component_id").alias("_group")), "jaccard-found")
+    least = found.groupBy(F.col("_group").alias("_of")).agg(F.min("_id").alias("component_id"))
+    joined = found.join(least, F.col("_group") == F.col("_of"))
+    return joined.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the one with the smallest doc_id."""
-    found = jaccard_components(docs)
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest doc_id.
+
+    Rows are judged each by its own text. Rows without doc_id come after all others: they stay
+    unless their group has a document with an id, and of a group without any id one row stays;
+    so does one of rows that are near duplicates under the smallest id.
+    """
+    row = fresh_name(docs, "row")
+    rows = _with_row(docs, row)
+    found = _components_of_rows(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80)
+    ids = rows.select(F.col(row).alias("_at"), "doc_id")
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).getField("_row")
+    kept = cut(found.groupBy("component_id").agg(first.alias("_kept")).select("_kept"), "jaccard-kept")
+    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*docs.columns)

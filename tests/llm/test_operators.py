@@ -271,3 +271,38 @@ def test_suffix_dedup_tells_surroundings_apart(spark):
     pairs = around[np.stack([order[same], order[same + 1]], 1).ravel()].astype(np.uint8)
     docs = spark.createDataFrame([(i, p.tobytes().decode()) for i, p in enumerate(pairs)], "doc_id long, text string")
     assert {r["n_removed"] for r in s.dedup_substrings(docs).collect()} == {0}
+
+
+def test_language_id_letters_beyond_the_basic_plane(spark):
+    gothic, adlam = "𐌰𐌹𐌽𐍃 𐍄𐍅𐌰", "𞤀𞤣𞤤𞤢𞤥"
+    docs = spark.createDataFrame([(1, gothic), (2, adlam), (3, "🤗 12")], "doc_id long, text string")
+    model = language_id.train(spark.createDataFrame([("got", gothic), ("ff", adlam)], "lang string, text string"))
+    got = by_id(language_id.identify(docs, model), "doc_id", "lang_pred")
+    assert got == {1: ("got",), 2: ("ff",), 3: ("und",)}
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    """Null and repeated ids, against what each row's own text asks for."""
+    import corpus_pipeline
+
+    own = random.Random(8)
+    text = lambda n: " ".join("".join(own.choices("abcdefgh", k=6)) for _ in range(n))
+    item, copied, one, two, clean, lone = (text(n) for n in (20, 60, 40, 41, 42, 43))
+    rows = [
+        (1, one), (1, two), (2, copied), (2, copied), (3, two + " tail"), (None, copied), (None, clean), (None, lone), (None, lone),
+        (4, text(9) + " " + item + " " + text(9)), (4, text(30)), (None, text(8) + " " + item), (5, None), (None, "12 34"),
+    ]
+    docs = spark.createDataFrame([(*r, "xx", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    once = [r for i, r in enumerate(rows) if i not in (3, 4, 5, 8)]
+    assert texts(jaccard_join.jaccard_stage(spark, docs, str(tmp_path))) == Counter(once)
+    apart = [r for r in rows if item not in (r[1] or "")]
+    assert texts(decontaminate.decontaminate_stage(spark, docs, str(tmp_path))) == Counter(apart)
+    found = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
+    assert found == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1), (4, 4), (4, 4), (5, 5)]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(None, clean), (None, lone), (1, one), (1, two)} <= {(r["doc_id"], r["text"]) for r in out}
+    assert not any(item in r["text"] for r in out)
