@@ -1,12 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of no, one or two preceding words. A context is kept if the training
+States are contexts of preceding words, of any length. A context is kept if the training
 occurrences of what follows it are likelier under its own distribution than under that of
 its suffix, by at least `cutoff` nats in all; each occurrence is judged without itself, so
 that rare contexts don't pass by repeating what they have seen. Distributions are smoothed
 towards the suffix's, and at the root towards 0.1 occurrences of any word. A word is scored
 by the longest kept context that precedes it.
 
+Contexts of one and two words are counted together; longer ones grow, round by round and by
+twice as many words each, below contexts that occur `least_count` times and whose training
+occurrences leave at least `cutoff` nats to gain. Growth ends when no such context is left.
+
 Documents are kept in compressed blocks. Blocks send the hashes of their n-grams, by ranges,
 to tasks that add up counts and send them back; what a block needs of the corpus so comes
 to it, and no task or driver holds the model whole.
@@ -15,6 +19,7 @@ to it, and no task or driver holds the model whole.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,8 @@ WORDS_PER_RANGE = 1_000_000
 BLOCK_CHARS = 3_500_000
 START, END = np.uint64(0x5EED), np.uint64(0xE0F)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-ORDERS = (1, 2, 3)
+ORDERS = (1, 2, 3)  # counted at once; longer n-grams below frequent contexts only
+STATE, COUNTS, FLAGS = 0, 1, 2
 
 
 class _Block:
@@ -141,6 +147,134 @@ def _contexts(block: _Block, least_count: int) -> Iterator[tuple[int, np.ndarray
     yield 2, block.deep & (block.n_context2 >= least_count), block.context2
 
 
+class _Deep:
+    """A block's frontier: tokens whose contexts grow to `lengths`, with the keys of these
+    contexts and of the n-grams that they make with their tokens."""
+
+    def __init__(self, data: bytes, state: bytes, lengths: range, bits: int):
+        docs = documents_of(data)
+        self.at, self.one, self.whole, self.chance, self.gained = pickle.loads(state)
+        texts = [word_hashes(t) for *_, t in docs]
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.doc = np.repeat(np.arange(len(docs)), sizes)[self.at]
+        self.train = np.array([t for _, t, _ in docs])[self.doc]
+        symbols = np.concatenate([part for t in texts for part in ([START], t, [END])]).astype(np.uint64)
+        place = self.at + self.doc + 1  # each document has START before it
+        before = place - (np.cumsum(sizes + 1) - sizes - 1)[self.doc]  # symbols that precede the token
+        power = np.cumprod(np.full(len(symbols) + 1, _PRIME))
+        back = np.cumprod(np.full(len(symbols), np.uint64(pow(int(_PRIME), -1, 1 << 64))))
+        sums = np.append(np.uint64(0), np.cumsum(symbols * back))
+        shift, self.lengths, self.which, keys = np.uint64(64 - bits), lengths, [], []
+        for k in lengths:
+            which = np.flatnonzero(before >= k)
+            context = mix((sums[place[which]] - sums[place[which] - k]) * power[place[which]] + np.uint64(2 * k))
+            keys += [context >> shift, mix(context * _PRIME + symbols[place[which]] + np.uint64(2 * k + 1)) >> shift]
+            self.which.append(which)
+        self.ends = np.cumsum([len(k) for k in keys])[:-1]
+        self.keys, self.back = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def counts(self) -> np.ndarray:
+        train = np.concatenate([self.train[w] for w in self.which for _ in (0, 1)])
+        return np.bincount(self.back[train], minlength=len(self.keys))
+
+    def steps(self, parts: pd.DataFrame, smoothing: float, without: int) -> Iterator[tuple]:
+        """For every length: which tokens, where their contexts' keys are, how often these occur,
+        and the tokens' probabilities in the context one word shorter and in this one."""
+        n = np.concatenate([_whole(p) for p in parts.sort_values("key")["n"]])
+        backs = np.split(self.back, self.ends)
+        chance = (self.one if without else self.whole).copy()
+        for i, which in enumerate(self.which):
+            context, gram, shorter = n[backs[2 * i]], n[backs[2 * i + 1]], chance[which]
+            # Hundreds of lengths that all find a word unlikely would take it to 0.
+            chance[which] = np.maximum((np.maximum(gram - without, 0) + smoothing * shorter) / (np.maximum(context - without, 0) + smoothing), 1e-300)
+            yield which, backs[2 * i], context, shorter, chance[which]
+
+
+def _grow(blocks: DataFrame, state: DataFrame, bits: int, ranges: int, smoothing: float, least_count: int, cutoff: float) -> DataFrame:
+    """(block, state, left) once no context is left to grow; a state ends with what each document has gained."""
+    edges = np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1)
+    low, size = 3, 1
+
+    def over(other: DataFrame):
+        return blocks.groupBy("block").cogroup(other.groupBy("block"))
+
+    while not state.where("left > 0").isEmpty():
+        lengths = range(low, low + size)
+
+        def deep(own: pd.DataFrame, parts: pd.DataFrame) -> _Deep | None:
+            held = parts[parts["kind"] == STATE]
+            return _Deep(own["docs"].iloc[0], held["state"].iloc[0], lengths, bits) if len(held) else None
+
+        def ask(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            if not (block := deep(own, parts)):
+                return pd.DataFrame({"key": [], "block": [], "k": [], "n": []})
+            cuts = np.searchsorted(block.keys, edges)
+            keys, counts = np.split(block.keys, cuts), np.split(block.counts(), cuts)
+            return pd.DataFrame({"key": range(ranges), "block": own["block"].iloc[0], "k": [pack_sorted(k) for k in keys], "n": [pack(c) for c in counts]})
+
+        def add(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+            back, _ = _sum_up([_sorted(k) for k in cells["k"]], [_whole(n) for n in cells["n"]])
+            return pd.DataFrame({"kind": COUNTS, "key": key[0], "block": cells["block"], "n": [pack(b) for b in back]})
+
+        def gains(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            block = deep(own, parts)
+            if not block:
+                return pd.DataFrame({"key": [], "block": [], "k": [], "gains": [], "left": []})
+            gain, left, context = np.zeros(len(block.keys)), np.zeros(len(block.keys)), np.zeros(len(block.keys), bool)
+            for which, key, n, shorter, chance in block.steps(parts[parts["kind"] == COUNTS], smoothing, 1):
+                use = block.train[which]
+                context[key[n >= least_count]] = True
+                gain += np.bincount(key[use], np.log(chance[use] / shorter[use]), len(gain))
+                left += np.bincount(key[use], -np.log(chance[use]), len(left))
+            keys = block.keys[context]
+            split = lambda x: np.split(x, np.searchsorted(keys, edges))
+            floats = lambda x: [p.astype(np.float32).tobytes() for p in split(x[context])]
+            return pd.DataFrame({"key": range(ranges), "block": own["block"].iloc[0], "k": [pack_sorted(k) for k in split(keys)], "gains": floats(gain), "left": floats(left)})
+
+        def judge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            keys = [_sorted(k) for k in parts["k"]]
+            gain, left = (_sum_up(keys, [np.frombuffer(x, np.float32).astype(np.float64) for x in parts[c]])[0] for c in ("gains", "left"))
+            flags = [((np.round(g, 3) >= cutoff) + 2 * (np.round(x, 3) >= cutoff)).astype(np.uint8).tobytes() for g, x in zip(gain, left)]
+            return pd.DataFrame({"kind": FLAGS, "key": key[0], "block": parts["block"], "k": parts["k"], "n": flags})
+
+        def advance(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            block = deep(own, parts)
+            if not block:
+                return pd.DataFrame({"block": [], "state": [], "left": []})
+            counts, told = parts[parts["kind"] == COUNTS], parts[parts["kind"] == FLAGS].sort_values("key")
+            flags = np.zeros(len(block.keys), np.uint8)
+            if len(told):
+                flags[np.searchsorted(block.keys, np.concatenate([_sorted(k) for k in told["k"]]))] = np.frombuffer(b"".join(told["n"]), np.uint8)
+            live, one = np.ones(len(block.at), bool), block.one.copy()
+            for which, _, _, _, chance in block.steps(counts, smoothing, 1):
+                one[which] = chance
+            for which, key, n, _, chance in block.steps(counts, smoothing, 0):
+                block.whole[which] = chance
+                go = np.zeros(len(live), bool)
+                go[which] = n >= least_count
+                live &= go
+                use = live[which] & (flags[key] & 1 > 0)
+                at = which[use]
+                np.add.at(block.gained, block.doc[at], np.log10(chance[use] / block.chance[at]))
+                block.chance[at] = chance[use]
+                live[which] &= flags[key] & 2 > 0
+            kept = [x[live] for x in (block.at, one, block.whole, block.chance)]
+            return pd.DataFrame({"block": own["block"], "state": [pickle.dumps((*kept, block.gained))], "left": int(live.sum())})
+
+        # Blocks without a frontier have ended; they are put aside.
+        open_ = state.where("left > 0").select(F.lit(STATE).alias("kind"), "block", "state")
+        sent = over(open_).applyInPandas(ask, "key int, block long, k binary, n binary")
+        counts = cut(sent.groupBy("key").applyInPandas(add, "kind int, key int, block long, n binary"), "lm-deep-counts")
+        told = open_.unionByName(counts, allowMissingColumns=True)
+        judged = over(told).applyInPandas(gains, "key int, block long, k binary, gains binary, left binary")
+        flags = cut(judged.groupBy("key").applyInPandas(judge, "kind int, key int, block long, k binary, n binary"), "lm-deep-flags")
+        told = told.unionByName(flags, allowMissingColumns=True)
+        grown = over(told).applyInPandas(advance, "block long, state binary, left long")
+        state = cut(grown.unionByName(state.where("left = 0")), "lm-state")
+        low, size = low + size, size if low < 4 else size * 2
+    return state
+
+
 def suffix_tree_scores(
     docs: DataFrame, train, smoothing: float = 4.0, least_count: int = 4, cutoff: float = 2.0
 ) -> DataFrame:
@@ -190,7 +324,8 @@ def suffix_tree_scores(
     judged = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(gains, "length int, key int, block long, contexts binary, gains binary")
     kept = cut(judged.groupBy("length", "key").applyInPandas(keep, "length int, key int, block long, n1 binary"), "lm-contexts")
 
-    def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    def short(own: pd.DataFrame, parts: pd.DataFrame) -> tuple[_Block, np.ndarray, np.ndarray, np.ndarray]:
+        """The block, and its tokens' probabilities at the root, in two words and in the longest kept context of at most two."""
         block = _Block(own["docs"].iloc[0], bits)
         block.totals(parts[parts["length"] == 0])
         root, *deeper = block.likelihoods(smoothing, 0)
@@ -204,14 +339,29 @@ def suffix_tree_scores(
                 place = np.minimum(np.searchsorted(known, context), len(known) - 1)
                 use = which & (known[place] == context)
                 chance[use] = deeper[length - 1][use]
+        return block, root, deeper[1], chance
+
+    def begin(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        block, _, two, chance = short(own, parts)
+        at = np.flatnonzero(block.deep & (block.n_context2 >= least_count))
+        one = block.likelihoods(smoothing, 1)[2]
+        state = pickle.dumps((at, one[at], two[at], chance[at], np.zeros(len(block.first))))
+        return pd.DataFrame({"block": own["block"], "state": [state], "left": len(at)})
+
+    def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        block, root, _, chance = short(own, parts[parts["length"] >= 0])
+        gained = pickle.loads(parts.loc[parts["length"] < 0, "n1"].iloc[0])[-1]
         total = lambda x: np.add.reduceat(x, block.first)
         return pd.DataFrame({
             "doc_id": pd.array(block.doc_ids, dtype="Int64"), "train": block.train[block.first], "n_tokens": block.sizes,
             "n_known": total((block.n_now > 0).astype(np.int64)), "train_tokens": block.tokens,
-            "base_score": total(np.log10(root)), "score": total(np.log10(chance)),
+            "base_score": total(np.log10(root)), "score": total(np.log10(chance)) + gained,
         })
 
     told = counts.withColumn("length", F.lit(0)).unionByName(kept, allowMissingColumns=True)
+    state = cut(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(begin, "block long, state binary, left long"), "lm-state")
+    state = _grow(blocks, state, bits, ranges, smoothing, least_count, cutoff)
+    told = told.unionByName(state.select(F.lit(-1).alias("length"), "block", F.col("state").alias("n1")), allowMissingColumns=True)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, schema)
 

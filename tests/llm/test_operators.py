@@ -306,3 +306,14 @@ def test_stages_judge_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(None, clean), (None, lone), (1, one), (1, two)} <= {(r["doc_id"], r["text"]) for r in out}
     assert not any(item in r["text"] for r in out)
+
+
+def test_lm_score_long_contexts(spark):
+    """What follows a passage depends on the word before it, six words back."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"{first} p q r s t {last}", True) for first, last in (("a", "x"), ("b", "y")) for _ in range(30)]
+    rows += [("a p q r s t x", False), ("a p q r s t y", False)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, known boolean")
+    got = by_id(lm_score.suffix_tree_scores(docs, F.col("known")), "doc_id", "score")
+    assert got[60][0] > got[61][0] + 0.5
