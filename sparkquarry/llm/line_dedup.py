@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import BLANKS, ascii_lower, table
+from sparkquarry.llm.shared import BLANKS, ascii_lower, cut, table
+
+#: Lines that make up more than one in so many of all are marked without a shuffle; there can't be more of them than that.
+HOT_SHARE = 4096
 
 
 def _lines(text: Column) -> Column:
@@ -18,6 +21,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     Lines are exploded, normalised (blanks stripped at both ends, A-Z lower-cased) and
     hashed to 128 bits; documents are counted per hash, and what stays of a text is put
     together again by position. Keys shorter than `min_chars` code points always stay.
+    Very common lines are marked where they are, by a broadcast table of `HOT_SHARE` rows
+    at most, so that none of them fills a task of the join.
 
     Returns the columns of `docs` with `text` rewritten, plus n_lines and n_dropped.
     Defined cases: a null or empty text is one empty line (and becomes ""); rows without
@@ -38,34 +43,36 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         .select("_doc", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
     if min_docs <= 2:  # two documents hold a key when its smallest and largest doc_id differ
-        shared = hashed.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last")
+        held = hashed.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.count("*").alias("_lines")).where("_first < _last")
     else:
-        shared = (
-            hashed.groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_one"))
-            .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
+        held = (
+            hashed.groupBy("_h1", "_h2", "_doc").agg(F.count("*").alias("_own"))
+            .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n"), F.sum("_own").alias("_lines")).where(F.col("_n") >= min_docs)
         )
+    shared = cut(held.select("_h1", "_h2", "_first", "_lines"), "shared-lines")
+    least = max(1000, (shared.agg(F.sum("_lines")).first()[0] or 0) // HOT_SHARE)
+    hot = shared.where(F.col("_lines") > least).select("_h1", "_h2", F.col("_first").alias("_hot"))
+    rest = shared.where(F.col("_lines") <= least).select(F.col("_h1").alias("_r1"), F.col("_h2").alias("_r2"), "_first")
+    marked = hashed.join(F.broadcast(hot), ["_h1", "_h2"], "left")
+    # A line that is marked already goes to any task; it meets nothing there.
+    at = F.when(F.col("_hot").isNull(), F.col("_h1")).otherwise(F.xxhash64("_doc", "_text", "_pos"))
+    marked = marked.select("_doc", "_text", "_pos", "_hot", at.alias("_at"), "_h2")
+    met = marked.join(rest, (F.col("_at") == F.col("_r1")) & (F.col("_h2") == F.col("_r2")) & F.col("_hot").isNull(), "left")
     dropped = (
-        hashed.join(shared.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
-        .where("_doc > _first")
+        met.where(F.col("_doc") > F.coalesce("_hot", "_first"))
         .groupBy("_doc", "_text")
         .agg(F.collect_set("_pos").alias("_dropped"))
     )
-    lines = _lines(F.col("text"))
-    joined = docs.withColumn("_th", text_hash).join(
-        dropped, (F.col("doc_id") == F.col("_doc")) & (F.col("_th") == F.col("_text")), "left"
-    )
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(
-            F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped")), lambda i: F.get(lines, i)
-            ),
-            "\n",
-        )
+    # The text is split below the join: what stands above it reads a finished array, not a split of its own for every line.
+    row = docs.select(
+        F.struct(*[docs[c] for c in others]).alias("_row"), F.col("doc_id").alias("_id"), text_hash.alias("_own_text"), _lines(F.col("text")).alias("_split")
     )
+    joined = row.join(dropped, (F.col("_id") == F.col("_doc")) & (F.col("_own_text") == F.col("_text")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.coalesce("_dropped", F.array().cast("array<int>")))
     return joined.select(
-        *others,
-        kept.alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
+        *[F.col("_row")[c].alias(c) for c in others],
+        F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n").alias("text"),
+        F.size("_split").cast("long").alias("n_lines"),
         F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
@@ -91,12 +98,15 @@ FROM marked GROUP BY doc_id
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that an earlier one holds; n_chars follows the text."""
+    """Every document, without the lines that an earlier one holds; n_chars follows the text.
+
+    Null texts become empty; rows without doc_id keep all their lines.
+    """
     out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
