@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +19,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    A folder of this machine is used only where the setting is absent, as in tests.
-    """
+    """The folder in spark.checkpoint.dir, which driver and executors share; it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="spark-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished write gives back its shuffle files at once, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
-    Later stages then start from files that outlive any executor.
+    Later stages then start from files that outlive any executor; `free` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    with _shuffles_freed(spark):
+        writer.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back.cut_path = path
+    return back
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what `cut` has written, once nothing will read it any more."""
+    for df in tables:
+        spark = df.sparkSession.sparkContext
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):
