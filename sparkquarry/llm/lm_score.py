@@ -1,19 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of preceding words, of any length. A context is kept if the training
-occurrences of what follows it are likelier under its own distribution than under that of
-its suffix, by at least `cutoff` nats in all; each occurrence is judged without itself, so
-that rare contexts don't pass by repeating what they have seen. Distributions are smoothed
-towards the suffix's, and at the root towards 0.1 occurrences of any word. A word is scored
-by the longest kept context that precedes it.
-
-Contexts of one and two words are counted together; longer ones grow, round by round and by
-twice as many words each, below contexts that occur `least_count` times and whose training
-occurrences leave at least `cutoff` nats to gain. Growth ends when no such context is left.
-
-Documents are kept in compressed blocks. Blocks send the hashes of their n-grams, by ranges,
-to tasks that add up counts and send them back; what a block needs of the corpus so comes
-to it, and no task or driver holds the model whole.
+States are contexts of preceding words, of any length; the start of a text counts as a word
+of contexts. A context that occurs `least_count` times in training is kept if what follows
+it there is likelier under its own distribution than under its suffix's, by `cutoff` nats in
+all; each occurrence is judged without itself, so that rare contexts don't pass by repeating
+what they have seen. The suffixes of a kept context belong to the tree too, and distributions
+are smoothed along them: p_k = (g + s p_(k-1)) / (N + s), for a word that follows g of a
+context's N occurrences, and at the root by 0.1 occurrences of any word. A word is scored by
+the longest kept context before it.
+
+Contexts grow by one word a round. A context grows no further if its training occurrences,
+of words that it has seen before, leave less than `cutoff` nats to gain, or less than
+`least_left` nats for each occurrence. Growth ends when no context is left to grow.
+
+Documents are kept in compressed blocks of word numbers. Each round the blocks send hashes of
+n-grams and the gains of contexts, by ranges of hashes, to tasks that add them up and send
+counts and verdicts back, in the order in which they were asked. An n-gram is only asked for
+if the shorter ones in it occur twice. What a block needs of the corpus so comes to it, and
+no task or driver holds the model whole.
 """
 
 from __future__ import annotations
@@ -21,262 +25,242 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.blocks import documents_of, in_blocks
-from sparkquarry.llm.shared import cut, table
-from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes
+from sparkquarry.llm.shared import cut, free, table
+from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted
 
 WORDS_PER_RANGE = 1_000_000
-BLOCK_CHARS = 3_500_000
-START, END = np.uint64(0x5EED), np.uint64(0xE0F)
+BLOCK_CHARS, BLOCK_DOCS = 3_500_000, 50_000
+START, END = 0, 1  # numbers of the two marks in every block's vocabulary
+_MARKS = np.array([0x5EED, 0xE0F], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-ORDERS = (1, 2, 3)  # counted at once; longer n-grams below frequent contexts only
-STATE, COUNTS, FLAGS = 0, 1, 2
+STATE, ASK, GAIN, COUNTS, FLAGS = range(5)
+KEEP, GROW = 1, 2
+FULL = 4  # rounds whose answers are kept and read again; then a block's state is carried on
+_SENT = "kind int, length int, key int, block long, one binary, two binary, three binary"
+_NAMES = [part.split()[0] for part in _SENT.split(", ")]
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _release(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _in_blocks(source: DataFrame) -> DataFrame:
+    """(block, docs, size): the documents (doc_id, train, text) as numbers of words of a block's own vocabulary."""
+
+    class Numbers(dict):
+        def __missing__(self, word: bytes) -> int:
+            self[word] = found = len(self) + 2
+            return found
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, size, ids, train, numbers, texts = 0, 0, [], [], Numbers(), []
+
+        def flush() -> pd.DataFrame:
+            sizes = np.array([len(t) for t in texts])
+            vocabulary = np.append(_MARKS, np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers)))
+            rows = pickle.dumps((ids, np.array(train, bool), sizes, vocabulary, pack(np.concatenate(texts))), protocol=5)
+            return pd.DataFrame([((TaskContext.get().partitionId() << 32) | seq, _squeeze(rows))], columns=["block", "docs"])
+
+        for batch in batches:
+            for doc_id, learn, text in zip(batch["doc_id"], batch["train"], batch["text"]):
+                # On bytes, lower() and split() know ASCII letters and ASCII white space only.
+                words = (text or "").encode("utf-8", "replace").lower().split()
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                train.append(bool(learn))
+                texts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                size += len(text or "")
+                if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
+                    yield flush()
+                    seq, size, ids, train, numbers, texts = seq + 1, 0, [], [], Numbers(), []
+        if ids:
+            yield flush()
+
+    return cut(source.select("doc_id", "train", "text").mapInPandas(store, "block long, docs binary"), "lm-blocks")
 
 
 class _Block:
-    """A block's tokens in a row, with the keys of the n-grams that end at each of them."""
-
-    def __init__(self, data: bytes, bits: int):
-        docs = documents_of(data)
-        self.doc_ids = [d for d, *_ in docs]
-        texts = [word_hashes(t) for *_, t in docs]
-        self.sizes = np.array([len(t) + 1 for t in texts])
-        self.train = np.repeat([t for _, t, _ in docs], self.sizes)
-        ends = np.cumsum(self.sizes)
-        self.first = ends - self.sizes
-        self.now = np.full(int(ends[-1]), END)
-        inner = np.ones(len(self.now), bool)
-        inner[ends - 1] = False
-        self.now[inner] = np.concatenate(texts)
-        self.one = np.roll(self.now, 1)
-        self.one[self.first] = START
-        self.two = np.roll(self.one, 1)
-        self.at = np.arange(len(self.now)) - np.repeat(self.first, self.sizes)
-        shift = np.uint64(64 - bits)
-        pair = self.one * _PRIME + self.now
-        self.context2 = mix((self.two * _PRIME + self.one) + np.uint64(2)) >> shift  # of two words before
-        self.context1 = mix(np.where(self.one == START, END, self.one) + np.uint64(1)) >> shift  # texts start as often as they end
-        keys = {1: mix(self.now + np.uint64(1)) >> shift, 2: mix(pair + np.uint64(2)) >> shift}
-        keys[3] = mix((self.two * _PRIME + self.one) * _PRIME + self.now + np.uint64(3)) >> shift
-        self.deep = self.at >= 1  # has two symbols before it, the start being one
-        self.keys = {k: np.unique(v[self.deep] if k == 3 else v, return_inverse=True) for k, v in keys.items()}
-        del self.now, self.one, self.two, self.at
-
-    def counts(self, order: int) -> np.ndarray:
-        unique, place = self.keys[order]
-        train = self.train[self.deep] if order == 3 else self.train
-        return np.bincount(place[train], minlength=len(unique))
-
-    def totals(self, parts: pd.DataFrame) -> None:
-        """Take in the corpus's counts of the block's n-grams."""
-        parts = parts.sort_values("key")
-        self.vocabulary, self.tokens = int(parts["types"].sum()), int(parts["tokens"].sum())
-        n = {k: np.concatenate([unpack(p) for p in parts[f"n{k}"]]).astype(np.float64) for k in ORDERS}
-        self.n_now, self.n_pair = n[1][self.keys[1][1]], n[2][self.keys[2][1]]
-        self.n_triple = np.zeros(len(self.train))
-        self.n_triple[self.deep] = n[3][self.keys[3][1]]
-        # The context of a token is the n-gram that ends at its neighbour, but for START, which is counted as END is.
-        at = np.searchsorted(self.keys[1][0], self.context1)
-        self.n_context1 = n[1][at]
-        self.n_context2 = np.zeros(len(self.train))
-        self.n_context2[1:] = self.n_pair[:-1]
-        self.n_context2[~self.deep] = 0
-
-    def likelihoods(self, smoothing: float, without: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The probability of every token in its contexts of no, one and two words; `without`
-        takes the token's own occurrence out of the counts."""
-        least = lambda x: np.maximum(x - without, 0)
-        root = (least(self.n_now) + 0.1) / (self.tokens - without + 0.1 * (self.vocabulary + 1))
-        one = (least(self.n_pair) + smoothing * root) / (least(self.n_context1) + smoothing)
-        two = (least(self.n_triple) + smoothing * one) / (least(self.n_context2) + smoothing)
-        return root, one, two
-
-
-def _cells(batches: Iterator[pd.DataFrame], bits: int, ranges: int) -> Iterator[pd.DataFrame]:
-    edges = np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1)
-    for batch in batches:
-        for name, data in zip(batch["block"], batch["docs"]):
-            block, columns = _Block(data, bits), {}
-            for order in ORDERS:
-                cuts = np.searchsorted(block.keys[order][0], edges)
-                columns[f"k{order}"] = [pack_sorted(k) for k in np.split(block.keys[order][0], cuts)]
-                columns[f"n{order}"] = [pack(c) for c in np.split(block.counts(order), cuts)]
-            yield pd.DataFrame({"key": range(ranges), "block": name, **columns})
-
-
-def _sum_up(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each list of keys the sums of their values over all lists; and the sum of every distinct key."""
-    every = np.concatenate(keys)
-    if not len(every):
-        return values, np.zeros(0)
-    order = np.argsort(every, kind="stable")
-    first = np.flatnonzero(np.diff(every[order], prepend=~every[order][:1]))
-    sums = np.add.reduceat(np.concatenate(values)[order], first)
-    back = np.empty(len(every), sums.dtype)
-    back[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
-    return np.split(back, np.cumsum([len(k) for k in keys])[:-1]), sums
-
-
-def _total(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-    out = {"key": key[0], "block": cells["block"]}
-    for order in ORDERS:
-        back, sums = _sum_up([_sorted(k) for k in cells[f"k{order}"]], [_whole(n) for n in cells[f"n{order}"]])
-        out[f"n{order}"] = [pack(b) for b in back]
-        if order == 1:
-            out |= {"types": int((sums > 0).sum()), "tokens": int(sums.sum())}
-    return pd.DataFrame(out)
-
-
-def _sorted(data: bytes) -> np.ndarray:
-    return unpack_sorted(data) if len(data) > 1 else np.zeros(0, np.uint64)
-
-
-def _whole(data: bytes) -> np.ndarray:
-    return unpack(data).astype(np.int64) if len(data) > 1 else np.zeros(0, np.int64)
-
-
-def _contexts(block: _Block, least_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, which tokens have a context of it that is frequent enough, the context of each)"""
-    yield 1, block.n_context1 >= least_count, block.context1
-    yield 2, block.deep & (block.n_context2 >= least_count), block.context2
-
-
-class _Deep:
-    """A block's frontier: tokens whose contexts grow to `lengths`, with the keys of these
-    contexts and of the n-grams that they make with their tokens."""
-
-    def __init__(self, data: bytes, state: bytes, lengths: range, bits: int):
-        docs = documents_of(data)
-        self.at, self.one, self.whole, self.chance, self.gained = pickle.loads(state)
-        texts = [word_hashes(t) for *_, t in docs]
-        sizes = np.array([len(t) + 1 for t in texts])
-        self.doc = np.repeat(np.arange(len(docs)), sizes)[self.at]
-        self.train = np.array([t for _, t, _ in docs])[self.doc]
-        symbols = np.concatenate([part for t in texts for part in ([START], t, [END])]).astype(np.uint64)
-        place = self.at + self.doc + 1  # each document has START before it
-        before = place - (np.cumsum(sizes + 1) - sizes - 1)[self.doc]  # symbols that precede the token
-        power = np.cumprod(np.full(len(symbols) + 1, _PRIME))
-        back = np.cumprod(np.full(len(symbols), np.uint64(pow(int(_PRIME), -1, 1 << 64))))
-        sums = np.append(np.uint64(0), np.cumsum(symbols * back))
-        shift, self.lengths, self.which, keys = np.uint64(64 - bits), lengths, [], []
-        for k in lengths:
-            which = np.flatnonzero(before >= k)
-            context = mix((sums[place[which]] - sums[place[which] - k]) * power[place[which]] + np.uint64(2 * k))
-            keys += [context >> shift, mix(context * _PRIME + symbols[place[which]] + np.uint64(2 * k + 1)) >> shift]
-            self.which.append(which)
-        self.ends = np.cumsum([len(k) for k in keys])[:-1]
-        self.keys, self.back = np.unique(np.concatenate(keys), return_inverse=True)
-
-    def counts(self) -> np.ndarray:
-        train = np.concatenate([self.train[w] for w in self.which for _ in (0, 1)])
-        return np.bincount(self.back[train], minlength=len(self.keys))
-
-    def steps(self, parts: pd.DataFrame, smoothing: float, without: int) -> Iterator[tuple]:
-        """For every length: which tokens, where their contexts' keys are, how often these occur,
-        and the tokens' probabilities in the context one word shorter and in this one."""
-        n = np.concatenate([_whole(p) for p in parts.sort_values("key")["n"]])
-        backs = np.split(self.back, self.ends)
-        chance = (self.one if without else self.whole).copy()
-        for i, which in enumerate(self.which):
-            context, gram, shorter = n[backs[2 * i]], n[backs[2 * i + 1]], chance[which]
-            # Hundreds of lengths that all find a word unlikely would take it to 0.
-            chance[which] = np.maximum((np.maximum(gram - without, 0) + smoothing * shorter) / (np.maximum(context - without, 0) + smoothing), 1e-300)
-            yield which, backs[2 * i], context, shorter, chance[which]
-
-
-def _grow(blocks: DataFrame, state: DataFrame, bits: int, ranges: int, smoothing: float, least_count: int, cutoff: float) -> DataFrame:
-    """(block, state, left) once no context is left to grow; a state ends with what each document has gained."""
-    edges = np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1)
-    low, size = 3, 1
-
-    def over(other: DataFrame):
-        return blocks.groupBy("block").cogroup(other.groupBy("block"))
-
-    while not state.where("left > 0").isEmpty():
-        lengths = range(low, low + size)
-
-        def deep(own: pd.DataFrame, parts: pd.DataFrame) -> _Deep | None:
-            held = parts[parts["kind"] == STATE]
-            return _Deep(own["docs"].iloc[0], held["state"].iloc[0], lengths, bits) if len(held) else None
-
-        def ask(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-            if not (block := deep(own, parts)):
-                return pd.DataFrame({"key": [], "block": [], "k": [], "n": []})
-            cuts = np.searchsorted(block.keys, edges)
-            keys, counts = np.split(block.keys, cuts), np.split(block.counts(), cuts)
-            return pd.DataFrame({"key": range(ranges), "block": own["block"].iloc[0], "k": [pack_sorted(k) for k in keys], "n": [pack(c) for c in counts]})
-
-        def add(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-            back, _ = _sum_up([_sorted(k) for k in cells["k"]], [_whole(n) for n in cells["n"]])
-            return pd.DataFrame({"kind": COUNTS, "key": key[0], "block": cells["block"], "n": [pack(b) for b in back]})
-
-        def gains(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-            block = deep(own, parts)
-            if not block:
-                return pd.DataFrame({"key": [], "block": [], "k": [], "gains": [], "left": []})
-            gain, left, context = np.zeros(len(block.keys)), np.zeros(len(block.keys)), np.zeros(len(block.keys), bool)
-            for which, key, n, shorter, chance in block.steps(parts[parts["kind"] == COUNTS], smoothing, 1):
-                use = block.train[which]
-                context[key[n >= least_count]] = True
-                gain += np.bincount(key[use], np.log(chance[use] / shorter[use]), len(gain))
-                left += np.bincount(key[use], -np.log(chance[use]), len(left))
-            keys = block.keys[context]
-            split = lambda x: np.split(x, np.searchsorted(keys, edges))
-            floats = lambda x: [p.astype(np.float32).tobytes() for p in split(x[context])]
-            return pd.DataFrame({"key": range(ranges), "block": own["block"].iloc[0], "k": [pack_sorted(k) for k in split(keys)], "gains": floats(gain), "left": floats(left)})
-
-        def judge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            keys = [_sorted(k) for k in parts["k"]]
-            gain, left = (_sum_up(keys, [np.frombuffer(x, np.float32).astype(np.float64) for x in parts[c]])[0] for c in ("gains", "left"))
-            flags = [((np.round(g, 3) >= cutoff) + 2 * (np.round(x, 3) >= cutoff)).astype(np.uint8).tobytes() for g, x in zip(gain, left)]
-            return pd.DataFrame({"kind": FLAGS, "key": key[0], "block": parts["block"], "k": parts["k"], "n": flags})
-
-        def advance(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-            block = deep(own, parts)
-            if not block:
-                return pd.DataFrame({"block": [], "state": [], "left": []})
-            counts, told = parts[parts["kind"] == COUNTS], parts[parts["kind"] == FLAGS].sort_values("key")
-            flags = np.zeros(len(block.keys), np.uint8)
-            if len(told):
-                flags[np.searchsorted(block.keys, np.concatenate([_sorted(k) for k in told["k"]]))] = np.frombuffer(b"".join(told["n"]), np.uint8)
-            live, one = np.ones(len(block.at), bool), block.one.copy()
-            for which, _, _, _, chance in block.steps(counts, smoothing, 1):
-                one[which] = chance
-            for which, key, n, _, chance in block.steps(counts, smoothing, 0):
-                block.whole[which] = chance
-                go = np.zeros(len(live), bool)
-                go[which] = n >= least_count
-                live &= go
-                use = live[which] & (flags[key] & 1 > 0)
-                at = which[use]
-                np.add.at(block.gained, block.doc[at], np.log10(chance[use] / block.chance[at]))
-                block.chance[at] = chance[use]
-                live[which] &= flags[key] & 2 > 0
-            kept = [x[live] for x in (block.at, one, block.whole, block.chance)]
-            return pd.DataFrame({"block": own["block"], "state": [pickle.dumps((*kept, block.gained))], "left": int(live.sum())})
-
-        # Blocks without a frontier have ended; they are put aside.
-        open_ = state.where("left > 0").select(F.lit(STATE).alias("kind"), "block", "state")
-        sent = over(open_).applyInPandas(ask, "key int, block long, k binary, n binary")
-        counts = cut(sent.groupBy("key").applyInPandas(add, "kind int, key int, block long, n binary"), "lm-deep-counts")
-        told = open_.unionByName(counts, allowMissingColumns=True)
-        judged = over(told).applyInPandas(gains, "key int, block long, k binary, gains binary, left binary")
-        flags = cut(judged.groupBy("key").applyInPandas(judge, "kind int, key int, block long, k binary, n binary"), "lm-deep-flags")
-        told = told.unionByName(flags, allowMissingColumns=True)
-        grown = over(told).applyInPandas(advance, "block long, state binary, left long")
-        state = cut(grown.unionByName(state.where("left = 0")), "lm-state")
-        low, size = low + size, size if low < 4 else size * 2
-    return state
+    """A block's symbols in a row: of every document START, its words, END."""
+
+    def __init__(self, data: bytes):
+        self.doc_ids, self.doc_train, sizes, self.hashes, packed = pickle.loads(_release(data))
+        self.sizes = sizes + 1  # tokens: words and the end
+        ends = np.cumsum(sizes + 2)
+        self.starts = ends - sizes - 2
+        self.symbols = np.full(int(ends[-1]), END, np.int64)
+        inner = np.ones(len(self.symbols), bool)
+        inner[self.starts] = inner[ends - 1] = False
+        self.symbols[self.starts] = START
+        self.symbols[inner] = unpack(packed).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes + 2)
+        self.train = self.doc_train[self.doc]
+
+    def grams(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
+        """Keys of the n-grams of that length which end at these places."""
+        found = np.full(len(at), length, np.uint64)
+        for back in range(length - 1, -1, -1):
+            found = mix(found * _PRIME + self.hashes[self.symbols[at - back]])
+        return found >> np.uint64(64 - bits)
+
+    def asked(self, at: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of these places, and which one each has."""
+        return np.unique(self.grams(at, length, bits), return_inverse=True)
+
+
+def _split(kind: int, length: int, block: int, keys: np.ndarray, bits: int, buckets: int, *values) -> list[tuple]:
+    """Rows for the tasks of the ranges that the keys (ascending) fall into; each value is (array, how to pack it)."""
+    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - buckets.bit_length() + 1)
+    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    return [
+        (kind, length, key, block, _squeeze(pack_sorted(keys[a:b])), *[how(v[a:b]) for v, how in values], *[b""] * (2 - len(values)))
+        for key, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
+    ]
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return _squeeze(pack(numbers))
+
+
+def _halves(numbers: np.ndarray) -> bytes:
+    return _squeeze(np.clip(numbers, -60000, 60000).astype(np.float16).tobytes())
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For every key the sums of the values that its equals have, and which of the keys come first."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return *(np.add.reduceat(v[order], first)[group] for v in values), order[first]
+
+
+def _answer(key: tuple, cells: pd.DataFrame, cutoff: float) -> pd.DataFrame:
+    """What a range's task sends back: sums of counts, and verdicts on contexts."""
+    kind, length = int(key[0]), int(key[1])
+    if kind == STATE:
+        return cells.assign(types=0, tokens=0)
+    keys = [unpack_sorted(_release(k)) for k in cells["one"]]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    out = {"length": length, "key": key[2], "block": cells["block"], "two": b"", "three": b"", "types": 0, "tokens": 0}
+    if kind == ASK:
+        counts, first = _sums(np.concatenate(keys), np.concatenate([unpack(_release(c)) for c in cells["two"]]).astype(np.int64))
+        if length == 1:
+            out |= {"types": int((counts[first] > 0).sum()), "tokens": int(counts[first].sum())}
+        return pd.DataFrame(out | {"kind": COUNTS, "one": [_packed(c) for c in np.split(counts, ends)]})
+    gain, left = (np.concatenate([np.frombuffer(_release(x), np.float16) for x in cells[c]]).astype(np.float64) for c in ("two", "three"))
+    gain, left, _ = _sums(np.concatenate(keys), gain, left)
+    flags = KEEP * (np.round(gain, 2) >= cutoff) + GROW * (np.round(left, 2) >= 1)
+    return pd.DataFrame(out | {"kind": FLAGS, "one": [_packed(f) for f in np.split(flags, ends)]})
+
+
+class _Growth:
+    """The tokens of a block that contexts still grow for, round by round.
+
+    After round m: `at`, the tokens that have a frequent context of m - 1 words; their
+    probability in it with all counts (`whole`) and without their own (`apart`); `chance`, that
+    in the longest context known to be kept; `held`, how often their context of m words occurs;
+    `seen`, how often the n-gram of m words does that ends with them; `asked`, where n-grams of
+    m + 1 words end that counts are wanted of.
+    """
+
+    def __init__(self, block: _Block, bits: int, smoothing: float, least_count: int, cutoff: float, least_left: float, max_depth: float):
+        self.block, self.bits, self.smoothing = block, bits, smoothing
+        self.least_count, self.cutoff, self.least_left, self.max_depth = least_count, cutoff, least_left, max_depth
+
+    def begin(self, counts: np.ndarray, types: int, tokens: int) -> None:
+        block = self.block
+        number = np.empty(len(block.hashes), np.int64)
+        number[1:] = counts[np.unique(block.hashes[1:], return_inverse=True)[1]]
+        number[START] = number[END]  # texts start as often as they end
+        count = number[block.symbols]
+        self.at = np.flatnonzero(block.symbols != START)
+        self.seen, own = count[self.at], block.train[self.at]
+        self.whole = (self.seen + 0.1) / (tokens + 0.1 * (types + 1))
+        self.apart = np.maximum(self.seen - own + 0.1, 0.1) / np.maximum(tokens - own + 0.1 * (types + 1), 0.1)
+        self.chance = self.root = self.whole
+        self.scores = np.zeros(len(block.sizes))
+        self._look_ahead(1, count)
+
+    def _need(self) -> np.ndarray:
+        """How often an n-gram must occur so that a token's own occurrence isn't all."""
+        return np.where(self.block.train[self.at], 2, 1)
+
+    def _look_ahead(self, m: int, count: np.ndarray) -> None:
+        """`count` has, by place, how often the n-gram of m words occurs that ends there, -1 where nobody asked."""
+        self.held = np.maximum(count[self.at - 1], 0)
+        if m > self.max_depth:
+            self.held[:] = 0
+        open_ = self.held >= self.least_count
+        tokens = self.at[open_ & (self.seen >= self._need())]
+        before = self.at[open_] - 1
+        before = before[before - self.block.starts[self.block.doc[before]] >= m]
+        shorter = count[before - 1]
+        self.asked = np.union1d(tokens, before[(shorter < 0) | (shorter >= self.least_count)])
+
+    def advance(self, m: int, counts: np.ndarray, flags: np.ndarray | None) -> None:
+        """Round m: take in the counts of n-grams of m words, and the verdicts on contexts of m - 2."""
+        block = self.block
+        go = self.held >= self.least_count
+        if flags is not None and len(self.at):
+            told = flags[block.asked(self.at - 1, m - 2, self.bits)[1]]
+            self.chance = np.where(told & KEEP > 0, self.whole, self.chance)
+            go &= told & GROW > 0
+        np.add.at(self.scores, block.doc[self.at[~go]], np.log10(self.chance[~go]))
+        count = np.full(len(block.symbols), -1, np.int64)
+        if len(self.asked):
+            count[self.asked] = counts[block.asked(self.asked, m, self.bits)[1]]
+        self.at, self.whole, self.apart, self.chance, self.held, self.seen = (x[go] for x in (self.at, self.whole, self.apart, self.chance, self.held, self.seen))
+        own = block.train[self.at].astype(np.int64)
+        self.seen = np.where(self.seen >= self._need(), count[self.at], own)
+        before, self.n = self.apart, self.held
+        self.apart = (self.seen - own + self.smoothing * before) / (self.n - own + self.smoothing)
+        self.whole = (self.seen + self.smoothing * self.whole) / (self.n + self.smoothing)
+        self.gain = np.where(own > 0, np.log(self.apart / before), 0.0)
+        # What is left to gain, as a share of what there must be for the context to grow.
+        self.left = np.where(own & (self.seen > own), -np.log(self.apart), 0.0) / np.maximum(self.cutoff, self.least_left * self.n)
+        self._look_ahead(m, count)
+
+    def gains(self, m: int, name: int, buckets: int) -> list[tuple]:
+        keys, back = self.block.asked(self.at - 1, m - 1, self.bits)
+        total = lambda x: np.bincount(back, x, len(keys))
+        return _split(GAIN, m - 1, name, keys, self.bits, buckets, (total(self.gain), _halves), (total(self.left), _halves)) if len(keys) else []
+
+    def asks(self, m: int, name: int, buckets: int) -> list[tuple]:
+        keys, back = self.block.asked(self.asked, m + 1, self.bits)
+        counts = np.bincount(back, self.block.train[self.asked], len(keys)).astype(np.uint64)
+        return _split(ASK, m + 1, name, keys, self.bits, buckets, (counts, _packed)) if len(keys) else []
+
+    def save(self) -> bytes:
+        chances = [x.astype(np.float32) for x in (self.whole, self.apart, self.chance)]
+        return _squeeze(pickle.dumps((pack_sorted(self.at), pack_sorted(self.asked), pack(self.held), pack(self.seen), chances, self.scores), protocol=5))
+
+    def load(self, data: bytes) -> None:
+        at, asked, held, seen, chances, self.scores = pickle.loads(_release(data))
+        self.at, self.asked = (unpack_sorted(x).astype(np.int64) for x in (at, asked))
+        self.held, self.seen = (unpack(x).astype(np.int64) for x in (held, seen))
+        self.whole, self.apart, self.chance = (x.astype(np.float64) for x in chances)
+
+
+def _told(parts: pd.DataFrame, kind: int, length: int) -> np.ndarray:
+    rows = parts[(parts["kind"] == kind) & (parts["length"] == length)].sort_values("key")
+    return np.concatenate([np.zeros(0, np.int64), *[unpack(_release(x)).astype(np.int64) for x in rows["one"]]])
 
 
 def suffix_tree_scores(
-    docs: DataFrame, train, smoothing: float = 4.0, least_count: int = 4, cutoff: float = 2.0
+    docs: DataFrame, train, smoothing: float = 1.0, least_count: int = 2, cutoff: float = 2.0, least_left: float = 0.05, max_depth: int | None = None
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -286,84 +270,81 @@ def suffix_tree_scores(
     n_known counts tokens seen in training, train_tokens all of the training tokens. A null,
     empty or blank text is its end alone. Rows that repeat are scored, and learned from, each
     for itself. Without training rows both scores are 0 (the end, or any word, is all there is
-    to expect). Other columns are ignored. `least_count` is how often a context must occur.
+    to expect). Other columns are ignored. Contexts have any length unless `max_depth` is given.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    blocks = in_blocks(source, BLOCK_CHARS)
-    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = 1 << max(4, math.ceil(math.log2(chars / 6 / WORDS_PER_RANGE + 1)))
-    bits = min(56, max(44, math.ceil(math.log2(chars / 6 + 1)) + 15))
-    names = ", ".join(f"k{k} binary, n{k} binary" for k in ORDERS)
-    sent = blocks.mapInPandas(lambda b: _cells(b, bits, ranges), f"key int, block long, {names}")
-    counted = ", ".join(f"n{k} binary" for k in ORDERS)
-    counts = cut(sent.groupBy("key").applyInPandas(_total, f"key int, block long, {counted}, types long, tokens long"), "lm-counts")
-
-    edges = np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1)
-
-    def gains(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own["docs"].iloc[0], bits)
-        block.totals(parts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            root, one, two = (np.log(p) for p in block.likelihoods(smoothing, 1))
-        rows = []
-        for length, which, context in _contexts(block, least_count):
-            gain = (one - root) if length == 1 else (two - one)
-            unique, place = np.unique(context[which], return_inverse=True)
-            sums = np.bincount(place, np.where(block.train[which], gain[which], 0), len(unique))
-            cuts = np.searchsorted(unique, edges)
-            for key, (k, s) in enumerate(zip(np.split(unique, cuts), np.split(sums, cuts))):
-                if len(k):
-                    rows.append((length, key, own["block"].iloc[0], pack_sorted(k), s.astype(np.float32).tobytes()))
-        return pd.DataFrame(rows, columns=["length", "key", "block", "contexts", "gains"])
-
-    def keep(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        back, _ = _sum_up([_sorted(k) for k in parts["contexts"]], [np.frombuffer(g, np.float32).astype(np.float64) for g in parts["gains"]])
-        kept = [pack_sorted(_sorted(k)[np.round(b, 3) >= cutoff]) for k, b in zip(parts["contexts"], back)]
-        return pd.DataFrame({"length": key[0], "key": key[1], "block": parts["block"], "n1": kept})
-
-    judged = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(gains, "length int, key int, block long, contexts binary, gains binary")
-    kept = cut(judged.groupBy("length", "key").applyInPandas(keep, "length int, key int, block long, n1 binary"), "lm-contexts")
-
-    def short(own: pd.DataFrame, parts: pd.DataFrame) -> tuple[_Block, np.ndarray, np.ndarray, np.ndarray]:
-        """The block, and its tokens' probabilities at the root, in two words and in the longest kept context of at most two."""
-        block = _Block(own["docs"].iloc[0], bits)
-        block.totals(parts[parts["length"] == 0])
-        root, *deeper = block.likelihoods(smoothing, 0)
-        chance = root.copy()
-        for length, which, context in _contexts(block, least_count):
-            held = parts[parts["length"] == length].sort_values("key")
-            if not len(held):
-                continue
-            known = np.concatenate([_sorted(k) for k in held["n1"]])
-            if len(known):
-                place = np.minimum(np.searchsorted(known, context), len(known) - 1)
-                use = which & (known[place] == context)
-                chance[use] = deeper[length - 1][use]
-        return block, root, deeper[1], chance
-
-    def begin(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        block, _, two, chance = short(own, parts)
-        at = np.flatnonzero(block.deep & (block.n_context2 >= least_count))
-        one = block.likelihoods(smoothing, 1)[2]
-        state = pickle.dumps((at, one[at], two[at], chance[at], np.zeros(len(block.first))))
-        return pd.DataFrame({"block": own["block"], "state": [state], "left": len(at)})
+    blocks = _in_blocks(source)
+    words = (source.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    buckets = 1 << max(4, math.ceil(math.log2(words / WORDS_PER_RANGE + 1)))
+    bits = min(60, max(40, math.ceil(math.log2(words + 1)) + 12))
+    depth = math.inf if max_depth is None else max_depth
+    answers = f"{_SENT}, types long, tokens long"
+
+    def growth(block: _Block) -> _Growth:
+        return _Growth(block, bits, smoothing, least_count, cutoff, least_left, depth)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["block"], batch["docs"]):
+                block = _Block(data)
+                keys, back = np.unique(block.hashes[1:], return_inverse=True)
+                tokens = block.symbols[block.train & (block.symbols != START)]
+                counts = np.bincount(back[tokens - 1], minlength=len(keys)).astype(np.uint64)
+                yield pd.DataFrame(_split(ASK, 1, name, keys, 64, buckets, (counts, _packed)), columns=_NAMES)
+
+    def answered(sent: DataFrame, m: int) -> DataFrame:
+        return cut(sent.groupBy("kind", "length", "key").applyInPandas(lambda key, cells: _answer(key, cells, cutoff), answers), f"lm-round-{m}")
+
+    def over(told: DataFrame, run, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, schema)
+
+    rounds = [answered(blocks.mapInPandas(first, _SENT), 1)]
+    totals = rounds[0].select("key", "types", "tokens").distinct().agg(F.sum("types"), F.sum("tokens")).first()
+    types, tokens = totals[0] or 0, totals[1] or 0
+
+    def step(own: pd.DataFrame, parts: pd.DataFrame, m: int) -> pd.DataFrame:
+        block, name = _Block(own["docs"].iloc[0]), int(own["block"].iloc[0])
+        grown = growth(block)
+        if m > FULL:
+            grown.load(parts.loc[parts["kind"] == STATE, "one"].iloc[0])
+        else:
+            grown.begin(_told(parts, COUNTS, 1), types, tokens)
+        for k in range(m if m > FULL else 2, m + 1):
+            grown.advance(k, _told(parts, COUNTS, k), _told(parts, FLAGS, k - 2) if k > 2 else None)
+        rows = grown.asks(m, name, buckets) + (grown.gains(m, name, buckets) if m > 1 else [])
+        if m >= FULL:
+            rows.append((STATE, 0, name % buckets, name, grown.save(), b"", b""))
+        return pd.DataFrame(rows, columns=_NAMES)
+
+    m = 1
+    while m <= FULL or not rounds[-1].where(F.col("kind") == FLAGS).isEmpty():
+        told = rounds[-1]
+        if m <= FULL:
+            for other in rounds[:-1]:
+                told = told.unionByName(other)
+        done = answered(over(told, partial(step, m=m), _SENT), m + 1)
+        if m > FULL:
+            free(rounds.pop())
+        rounds.append(done)
+        m += 1
 
     def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        block, root, _, chance = short(own, parts[parts["length"] >= 0])
-        gained = pickle.loads(parts.loc[parts["length"] < 0, "n1"].iloc[0])[-1]
-        total = lambda x: np.add.reduceat(x, block.first)
+        block = _Block(own["docs"].iloc[0])
+        grown = growth(block)
+        grown.begin(_told(parts, COUNTS, 1), types, tokens)
+        doc = block.doc[grown.at]
+        total = lambda x: np.bincount(doc, x, len(block.sizes))
+        known, base = total(grown.seen > 0), total(np.log10(grown.root))
+        grown.load(parts.loc[parts["kind"] == STATE, "one"].iloc[0])
         return pd.DataFrame({
-            "doc_id": pd.array(block.doc_ids, dtype="Int64"), "train": block.train[block.first], "n_tokens": block.sizes,
-            "n_known": total((block.n_now > 0).astype(np.int64)), "train_tokens": block.tokens,
-            "base_score": total(np.log10(root)), "score": total(np.log10(chance)) + gained,
+            "doc_id": pd.array(block.doc_ids, dtype="Int64"), "train": block.doc_train, "n_tokens": block.sizes,
+            "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": grown.scores,
         })
 
-    told = counts.withColumn("length", F.lit(0)).unionByName(kept, allowMissingColumns=True)
-    state = cut(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(begin, "block long, state binary, left long"), "lm-state")
-    state = _grow(blocks, state, bits, ranges, smoothing, least_count, cutoff)
-    told = told.unionByName(state.select(F.lit(-1).alias("length"), "block", F.col("state").alias("n1")), allowMissingColumns=True)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, schema)
+    told = rounds[0].unionByName(rounds[-1].where(F.col("kind") == STATE))
+    free(*rounds[1:-1])
+    return over(told, score, schema)
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -308,6 +308,63 @@ def test_stages_judge_rows(spark, tmp_path):
     assert not any(item in r["text"] for r in out)
 
 
+def suffix_tree_by_hand(docs, smoothing=1.0, least_count=2, cutoff=2.0, least_left=0.05, max_depth=None):
+    """The score of every (tokens, train) by plain dictionaries."""
+    rows = [(["<s>", *tokens, "</s>"], known) for tokens, known in docs]
+    ones = Counter(w for r, known in rows if known for w in r[1:])
+    total, types = ones.total(), len(ones)
+    places = [(d, i) for d, (r, _) in enumerate(rows) for i in range(1, len(r))]
+    root = lambda w, own: max(ones[w] - own + 0.1, 0.1) / max(total - own + 0.1 * (types + 1), 0.1)
+    whole = {(d, i): root(rows[d][0][i], 0) for d, i in places}
+    apart = {(d, i): root(rows[d][0][i], int(rows[d][1])) for d, i in places}
+    chance, open_, k = dict(whole), set(places), 1
+    while open_ and (max_depth is None or k <= max_depth):
+        context = {(d, i): tuple(rows[d][0][i - k : i]) for d, i in open_ if i >= k}
+        n, g = Counter(), Counter()
+        for r, known in rows:
+            for i in range(k, len(r)) if known else ():
+                n[tuple(r[i - k : i])] += 1
+                g[tuple(r[i - k : i + 1])] += 1
+        open_ = {x for x in context if n[context[x]] >= least_count}
+        gain, left = Counter(), Counter()
+        for d, i in open_:
+            own, s = int(rows[d][1]), context[d, i]
+            seen = g[(*s, rows[d][0][i])]
+            new = (seen - own + smoothing * apart[d, i]) / (n[s] - own + smoothing)
+            whole[d, i] = (seen + smoothing * whole[d, i]) / (n[s] + smoothing)
+            gain[s] += own * math.log(new / apart[d, i])
+            left[s] += own * (seen > 1) * -math.log(new) / max(cutoff, least_left * n[s])
+            apart[d, i] = new
+        for x in open_:
+            if round(gain[context[x]], 2) >= cutoff:
+                chance[x] = whole[x]
+        open_ = {x for x in open_ if round(left[context[x]], 2) >= 1}
+        k += 1
+    scores = [0.0] * len(rows)
+    for (d, _), c in chance.items():
+        scores[d] += math.log10(c)
+    return scores
+
+
+@pytest.mark.parametrize("depth", [None, 2, 0])
+def test_lm_score_equals_a_tree_by_hand(spark, depth):
+    from pyspark.sql import functions as F
+
+    own = random.Random(11)
+    some = ["".join(own.choices("abc", k=2)) for _ in range(12)]
+    line = lambda k: own.choices(some, k=k)
+    common = line(14)
+    texts = [line(own.randint(0, 25)) for _ in range(60)]
+    texts += [line(3) + common[: own.randint(4, 14)] + line(4) for _ in range(25)] + [common] * 2
+    rows = [(t, i % 7 != 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, " ".join(t), known) for i, (t, known) in enumerate(rows)], "doc_id long, text string, known boolean").repartition(3)
+    got = by_id(lm_score.suffix_tree_scores(docs, F.col("known"), max_depth=depth), "doc_id", "score", "base_score")
+    want = suffix_tree_by_hand(rows, max_depth=depth)
+    assert [got[i][0] for i in range(len(rows))] == pytest.approx(want, rel=1e-4)
+    if depth == 0:
+        assert all(math.isclose(*v) for v in got.values())
+
+
 def test_lm_score_long_contexts(spark):
     """What follows a passage depends on the word before it, six words back."""
     from pyspark.sql import functions as F
