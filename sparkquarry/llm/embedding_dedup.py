@@ -1,11 +1,13 @@
 """Embedding near-dedup over an inverted multi-index.
 
 Each half of the unit vectors has a codebook of its own; the pairs of codewords form a grid
-of cells. A vector visits the cells in the order of how near they can hold a similar vector
-(multi-sequence traversal) and stops when the rest can't hold one, or when the target recall
-is reached; then the vectors of the visited cells are compared exactly. Cells are cut into
-chunks of bounded size, and pairs of chunks are compared as matrices, so that a crowded cell
-becomes more tasks and no pair of vectors becomes a row.
+of cells. A vector visits the cells nearest to it, in the order of their distance
+(multi-sequence traversal), as many as the target recall asks for; then the vectors of the
+visited cells are compared exactly. How many these are is found beforehand, with pairs made
+for the purpose: vectors of the sample and copies of them turned away as far as the threshold
+allows, the hardest links there can be. Cells are cut into chunks of bounded size, and pairs
+of chunks are compared as matrices, so that a crowded cell becomes more tasks and no pair of
+vectors becomes a row.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from sparkquarry.llm.shared import cut, table
 
 #: Codebooks are fitted on so many distinct vectors at most, those with the smallest hashes.
 SAMPLE = 8192
-CHUNK = 512
-PER_CELL = 300
+CHUNK, VISITORS = 512, 4096  # vectors of a cell, and visitors of these, that are compared at once
+PER_CELL = 100  # vectors of a label that a cell should hold
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -47,21 +49,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _bounds(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """For each codeword the squared distance that x must move at least to be assigned to it."""
-    d2 = ((centres - x) ** 2).sum(1)
-    own = int(d2.argmin())
-    apart = np.linalg.norm(centres - centres[own], axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        move = np.where(apart > 0, (d2 - d2[own]) / (2 * apart), 0.0)
-    return move**2
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The squared distance of x from each codeword."""
+    return ((centres - x) ** 2).sum(1)
 
 
-def multi_sequence(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """The cells (i, j) with first[i] + second[j] <= reach, the smallest sum first."""
+def multi_sequence(first: np.ndarray, second: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """The `count` cells (i, j) with the smallest first[i] + second[j], the smallest sum first."""
     a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
     queue, visited, seen = [(float(first[a[0]] + second[b[0]]), 0, 0)], [], {(0, 0)}
-    while queue and queue[0][0] <= reach:
+    while queue and len(visited) < count:
         _, i, j = heapq.heappop(queue)
         visited.append((int(a[i]), int(b[j])))
         for p, q in ((i + 1, j), (i, j + 1)):
@@ -78,43 +75,60 @@ def _fit(sample: list[bytes], cells_wanted: float) -> tuple[np.ndarray, np.ndarr
     return _kmeans(x[:, :half], k), _kmeans(x[:, half:], k) if x.shape[1] > 1 else np.zeros((1, 0))
 
 
-def _reach(sample: list[bytes], books, threshold: float, target: float) -> float:
-    """How far vectors must be allowed to move for `target` of the similar pairs to be found."""
-    whole = 2 - 2 * threshold + 1e-9
+def _visits(sample: list[bytes], books, threshold: float, target: float, pairs: int = 1000) -> int:
+    """How many cells a vector must visit for `target` of the links at the threshold itself to be found.
+
+    A link is found when either vector visits the other's cell; both have the same count.
+    """
+    one, two = books
     if target >= 1:
-        return whole
-    x = _scaled(sample[:2048])
-    rows, cols = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-    if len(rows) < 100:
-        return whole
-    half = books[0].shape[1]
-    own = [tuple(int(((b - part) ** 2).sum(1).argmin()) for b, part in zip(books, (v[:half], v[half:]))) for v in x]
-    moves = [_bounds(x[r, :half], books[0])[own[c][0]] + _bounds(x[r, half:], books[1])[own[c][1]] for r, c in zip(rows, cols)]
-    return min(whole, 1.5 * float(np.quantile(moves, target)) + 1e-9)
-
-
-def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Two chunks: for each class its links in the other chunk, and edges that join linked classes."""
-    a, b = left.iloc[0], right.iloc[0]
-    ids_a, ids_b, same = np.asarray(a["ids"]), np.asarray(b["ids"]), a["a"] == a["b"]
-    size_a, size_b = np.asarray(a["sizes"]), np.asarray(b["sizes"])
-    x = np.frombuffer(a["matrix"], np.float64).reshape(len(ids_a), -1)
-    y = np.frombuffer(b["matrix"], np.float64).reshape(len(ids_b), -1)
-    links = x @ y.T >= threshold
-    if same:
-        np.fill_diagonal(links, False)
-    parts = [(ids_a, links @ size_b)]
-    if not same:
-        parts.append((ids_b, links.T @ size_a))
-    out = [pd.DataFrame({"id": ids[n > 0], "n": n[n > 0], "other": -1, "edge": False}) for ids, n in parts]
-    rows, cols = np.nonzero(links)
-    if len(rows):
-        one, two = spanning_edges(ids_a, ids_b, rows, cols)
-        out.append(pd.DataFrame({"id": one, "n": 0, "other": two, "edge": True}))
-    return pd.concat(out)
+        return len(one) * len(two)
+    x = _scaled(sample[:pairs])
+    make = np.random.default_rng(0)
+    turn = make.normal(size=x.shape)
+    turn -= (turn * x).sum(1, keepdims=True) * x
+    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * turn
+    half = one.shape[1]
+
+    def grid(v: np.ndarray) -> np.ndarray:
+        return (_apart(v[:half], one)[:, None] + _apart(v[half:], two)).ravel()
+
+    ranks = []
+    for v, w in zip(x, y):
+        a, b = grid(v), grid(w)
+        ranks.append(min((a < a[b.argmin()]).sum(), (b < b[a.argmin()]).sum()))
+    return int(np.quantile(ranks, target, method="higher")) + 1
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0, per_cell: int = PER_CELL) -> DataFrame:
+def _compare(members: pd.DataFrame, visitors: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """A chunk of a cell and vectors that visit it: the links of each, and edges that join linked classes.
+
+    Of two vectors that visit each other's cell, one counts as the visitor.
+    """
+    if not len(members) or not len(visitors):
+        return pd.DataFrame({"id": [], "n": [], "other": [], "edge": []})
+    ids_a, ids_b = visitors["_id"].to_numpy(), members["id"].to_numpy()
+    x, y = _scaled(visitors["_v"]), _scaled(members["v"])
+    links = x @ y.T >= threshold
+    rows, cols = np.nonzero(links)
+    home, cell = visitors["_home"].to_numpy()[rows], members["home"].to_numpy()[cols]
+    visits = np.stack(members["visits"].to_numpy())[cols]
+    mutual = (visits == home[:, None]).any(1)
+    count = np.where(home == cell, ids_a[rows] < ids_b[cols], ~mutual | (home < cell))
+    rows, cols = rows[count], cols[count]
+    if not len(rows):
+        return pd.DataFrame({"id": [], "n": [], "other": [], "edge": []})
+    of_a = np.bincount(rows, members["size"].to_numpy()[cols], len(ids_a)).astype(np.int64)
+    of_b = np.bincount(cols, visitors["_size"].to_numpy()[rows], len(ids_b)).astype(np.int64)
+    one, two = spanning_edges(ids_a, ids_b, rows, cols)
+    return pd.concat([
+        *[pd.DataFrame({"id": ids[n > 0], "n": n[n > 0], "other": -1, "edge": False}) for ids, n in ((ids_a, of_a), (ids_b, of_b))],
+        pd.DataFrame({"id": one, "n": 0, "other": two, "edge": True}),
+    ])
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 0.99, per_cell: int = PER_CELL) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of `vectors` (vec_id, embedding, label).
 
     Two vectors link when their labels are equal and not null and their cosine, in double
@@ -126,8 +140,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     Other columns are ignored.
 
     The codebooks are fitted on `SAMPLE` distinct vectors of the most frequent length; every
-    vector is indexed. With a target_recall of 1 a vector visits every cell that can hold a
-    similar one; below that, as far as similar pairs in the sample would need, and half more.
+    vector is indexed. `target_recall` is the share of links of exactly the threshold that the
+    visited cells hold; closer ones are found more often. With 1 all cells are visited and
+    every link is found, in quadratic time.
     """
     spark = vectors.sparkSession
     numbers = F.transform("embedding", lambda v: v.cast("double"))
@@ -153,11 +168,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     distinct = classes.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
     sample = [r["v"] for r in classes.where(F.col("dims") == usual["dims"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     books = _fit(sample, distinct["n"] / distinct["labels"] / per_cell)
-    reach = _reach(sample, books, threshold, target_recall)
-    sent = spark.sparkContext.broadcast((books, reach))  # at most 2 x 256 codewords
+    count = _visits(sample, books, threshold, target_recall)
+    sent = spark.sparkContext.broadcast((books, count))  # at most 2 x 256 codewords
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (one, two), limit = sent.value
+        (one, two), most = sent.value
         half, width = one.shape[1], len(two)
         for batch in batches:
             cells, visits = [], []
@@ -167,33 +182,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
                     cells.append(-len(x))  # all vectors of another length share a cell
                     visits.append([-len(x)])
                     continue
-                seen = multi_sequence(_bounds(x[:half], one), _bounds(x[half:], two), limit)
+                seen = multi_sequence(_apart(x[:half], one), _apart(x[half:], two), most)
                 visits.append([i * width + j for i, j in seen])
                 cells.append(visits[-1][0])
             yield pd.DataFrame({"label": batch["label"], "id": batch["id"], "size": batch["size"], "v": batch["v"], "cell": cells, "visits": visits})
 
     placed = cut(classes.select("label", "id", "size", "v").mapInPandas(place, "label long, id long, size long, v binary, cell int, visits array<int>"), "placed")
-    counts = placed.groupBy(F.col("label").alias("_label"), F.col("cell").alias("_cell")).agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks"))
-    counts = cut(counts, "cells")
-    same_cell = (F.col("label") == F.col("_label")) & (F.col("cell") == F.col("_cell"))
-    name = lambda label, cell, chunk: F.concat_ws("/", F.col(label).cast("string"), F.col(cell).cast("string"), F.col(chunk).cast("string"))
-    salted = placed.join(counts, same_cell).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("name", name("label", "cell", "chunk"))
-    salted = cut(salted.select("label", "cell", "name", "id", "size", "v", "visits"), "salted")
-
-    def stack(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], members["id"].tolist(), members["size"].tolist(), _scaled(members["v"]).tobytes())], columns=["name", "ids", "sizes", "matrix"])
-
-    chunks = cut(salted.select("name", "id", "size", "v").groupBy("name").applyInPandas(stack, "name string, ids array<long>, sizes array<long>, matrix binary"), "chunks")
-    wants = salted.select("label", "name", F.explode("visits").alias("cell")).distinct()
-    meets = wants.join(counts, same_cell).select("label", "cell", F.col("name").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    pairs = meets.select("one", name("label", "cell", "chunk").alias("two")).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
-    pairs = cut(pairs.distinct(), "chunk-pairs")
-    left = pairs.join(chunks, F.col("a") == F.col("name")).drop("name")
-    renamed = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    right = renamed.join(chunks, F.col("_b") == F.col("name")).select("_a", "_b", *[F.col(c).alias(f"_{c}") for c in ("ids", "sizes", "matrix")])
-    compared = left.groupBy("a", "b").cogroup(right.groupBy("_a", "_b")).applyInPandas(
-        lambda x, y: _compare(x, y.rename(columns=lambda c: c.lstrip("_")), threshold), "id long, n long, other long, edge boolean"
-    )
+    held = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("wanted"))
+    asked = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("wanted"))
+    sizes = held.unionByName(asked).groupBy(F.col("label").alias("_label"), F.col("cell").alias("_cell")).agg(F.sum("n").alias("n"), F.sum("wanted").alias("wanted")).where("n > 0")
+    counts = cut(sizes.select("_label", "_cell", F.ceil(F.col("n") / CHUNK).alias("_chunks"), F.ceil(F.col("wanted") / VISITORS).alias("_parts")), "cells")
+
+    def grouped(rows: DataFrame, chunk, part) -> DataFrame:
+        """With the group (label, cell, chunk of its members, part of its visitors) that each row goes to."""
+        met = rows.join(counts, (F.col("label") == F.col("_label")) & (F.col("cell") == F.col("_cell")))
+        met = met.withColumn("chunk", chunk).withColumn("part", part)
+        return met.withColumn("name", F.concat_ws("/", *[F.col(c).cast("string") for c in ("label", "cell", "chunk", "part")]))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    members = grouped(placed, own("_chunks"), every("_parts")).select("name", "id", "size", "v", F.col("cell").alias("home"), "visits")
+    visiting = placed.select("label", "id", "size", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+    visitors = grouped(visiting, every("_chunks"), own("_parts")).select(F.col("name").alias("_name"), *[F.col(c).alias(f"_{c}") for c in ("id", "size", "v", "home")])
+    compared = members.groupBy("name").cogroup(visitors.groupBy("_name")).applyInPandas(lambda x, y: _compare(x, y, threshold), "id long, n long, other long, edge boolean")
     compared = cut(compared, "compared")
     labels = components(compared.where("edge").select(F.col("id").alias("a"), F.col("other").alias("b")))
     degree = compared.where("NOT edge").groupBy("id").agg(F.sum("n").alias("n"))
