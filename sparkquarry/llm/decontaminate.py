@@ -11,30 +11,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.shared import cut, fresh_name, table
-from sparkquarry.llm.words import ngrams, word_hashes
-
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
-#: Items are sent to tasks in blocks of so many characters of text at most.
-BLOCK_CHARS = 8_000_000
+from sparkquarry.llm.words import mix, ngrams, ranges, word_hashes
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints have 128 bits in 8 blocks of 16; two that differ in RADIUS bits at most have a
+#: block in which they differ in 3 at most. At a similarity of 0.8 about 19 bits differ, give or take 4.
+WORDS, BLOCKS, RADIUS = 2, 8, 31
+#: Items are sent to tasks in blocks of so many characters of text, and so many items, at most.
+BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 20_000
 _BITS = np.arange(64, dtype=np.uint64)
-_NEAR = RADIUS // 8  # of 8 blocks of a fingerprint within RADIUS, one at least differs in so few bits
 _WEIGHT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: For each value of a block, the values within that many bits.
-_AROUND = _WEIGHT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= _NEAR
+
+
+def _within(bits: int) -> np.ndarray:
+    """All 16-bit numbers with so many bits set at most."""
+    every = np.arange(1 << 16)
+    return every[_WEIGHT[every & 0xFF] + _WEIGHT[every >> 8] <= bits].astype(np.uint16)
+
+
+#: An item stands under the values one bit away from its own, and a window looks up those two bits away: three in all.
+_STORED, _PROBED = _within(1), _within(RADIUS // BLOCKS - 1)
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
-    """For every shingle a row of 64 numbers, 1 or -1 by its hash's bits."""
-    return (((shingles[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
+    """For every shingle a row of 128 numbers, 1 or -1 by the bits of two hashes."""
+    both = np.stack([shingles, mix(shingles + np.uint64(1))], axis=1)[:, :, None]
+    return ((((both >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1).reshape(-1, 64 * WORDS)
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """64-bit SimHashes of rows of 64 weighted sums, as 8 bytes each."""
+    """SimHashes of rows of weighted sums, as bytes."""
     return np.packbits(sums > 0, axis=1, bitorder="little")
 
 
+class BlockIndex:
+    """Fingerprints by the values near those of each of their blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.tables = prints, []
+        for block in np.ascontiguousarray(prints).view("<u2").T:
+            values = (block[:, None] ^ _STORED).ravel()
+            order = np.argsort(values, kind="stable")
+            present = np.zeros(1 << 16, bool)
+            present[values] = True
+            self.tables.append((present, values[order], (order // len(_STORED)).astype(np.int64)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of all pairs that are near in a block, each once."""
+        found = []
+        for block, (present, values, owners) in zip(np.ascontiguousarray(prints).view("<u2").T, self.tables):
+            probes = block[:, None] ^ _PROBED
+            rows, columns = np.nonzero(present[probes])
+            wanted = probes[rows, columns]
+            low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
+            found.append(np.repeat(rows, high - low) * len(self.prints) + owners[ranges(low, high - low)])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of all pairs that differ in RADIUS bits at most."""
+        rows, items = self.near(prints)
+        apart = _WEIGHT[prints[rows] ^ self.prints[items]].sum(1)
+        return rows[apart <= RADIUS], items[apart <= RADIUS]
+
+
 class Items:
-    """The benchmark's items by length, with the index of their fingerprints' blocks."""
+    """The benchmark's items by length, with an index of their fingerprints for each."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.by_size: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
@@ -50,9 +92,7 @@ class Items:
             prints[size].append(fingerprints(signs(own).sum(0, keepdims=True))[0])
             for s in own.tolist():
                 holders[min(SHINGLE, size)][s].add(size)
-        self.prints = {size: np.stack(p) for size, p in prints.items()}
-        #: size -> block -> value -> which items have a block near that value
-        self.index = {size: [_AROUND[:, p[:, b]] for b in range(8)] for size, p in self.prints.items()}
+        self.index = {size: BlockIndex(np.stack(p)) for size, p in prints.items()}
         self.gates = {}
         for n, held in holders.items():
             keys = np.array(sorted(held), np.uint64)
@@ -87,15 +127,10 @@ class Items:
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > wide) + 1):
             for piece in np.array_split(part, max(1, len(part) // 4096)):
                 low, high = int(piece[0]), min(int(piece[-1]) + wide, len(own))
-                sums = np.zeros((high - low + 1, 64), np.int32)
+                sums = np.zeros((high - low + 1, 64 * WORDS), np.int32)
                 np.cumsum(signs(own[low:high]), axis=0, out=sums[1:])
                 prints = fingerprints(sums[np.minimum(piece + wide, high) - low] - sums[piece - low])
-                near = np.zeros((len(piece), len(self.prints[size])), bool)
-                for b in range(8):
-                    near |= self.index[size][b][prints[:, b]]
-                rows, items = np.nonzero(near)
-                apart = _WEIGHT[prints[rows] ^ self.prints[size][items]].sum(1)
-                rows, items = rows[apart <= RADIUS], items[apart <= RADIUS]
+                rows, items = self.index[size].within(prints)
                 for row, item in zip(rows.tolist(), items.tolist()):
                     at = int(piece[row])
                     window, (item_id, wanted) = Counter(own[at : at + wide].tolist()), self.by_size[size][item]
@@ -111,7 +146,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, in order of item_id and text."""
     block, chars = [], 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().sort("item_id", "text").toLocalIterator():
-        if block and chars + len(row["text"]) > BLOCK_CHARS:
+        if block and (chars + len(row["text"]) > BLOCK_CHARS or len(block) >= BLOCK_ITEMS):
             yield block
             block, chars = [], 0
         block.append((row["item_id"], row["text"]))
@@ -122,16 +157,17 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of `docs` that repeat a benchmark item: doc_id, item_id, start_word, n_words, similarity.
 
-    For every item, windows of its length slide over the whole text; the SimHash of a window
-    (over its 5-word shingles, weighted by their counts) must lie within 24 bits of the item's,
-    and the counted shingles must have a Jaccard similarity of 0.8 or more. The best window of
+    For every item, windows of its length slide over the whole text. The 128-bit SimHash of a
+    window (over its 5-word shingles, weighted by their counts) must lie within 31 bits of the
+    item's, which the index of their blocks finds without fail; the counted shingles must then
+    have a Jaccard similarity of 0.8 or more, which is computed exactly. The best window of
     each document and item is returned, the first if windows tie. Items of fewer than five words
     count as one shingle; documents shorter than an item are one window. Null, empty and blank
     texts and items match nothing; repeated items with one item_id may each give a row; rows
     that repeat a doc_id are judged alone. Other columns are ignored.
 
-    The items are a query set: they go to the tasks in blocks of at most 8 million characters
-    each, so that none outgrows a task however large the benchmark is.
+    The items are a query set: they go to the tasks in blocks of at most 20,000 items and 8
+    million characters each, so that none outgrows a task however large the benchmark is.
     """
     spark, found = docs.sparkSession, None
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
@@ -156,7 +192,10 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; each row is judged alone, whatever its doc_id."""
+    """Documents without a passage of the benchmark; each row is judged alone, whatever its doc_id.
+
+    Null and empty texts hold no passage and stay; without benchmark items all rows stay.
+    """
     row = fresh_name(docs, "row")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
     found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
