@@ -1,4 +1,7 @@
-"""Windows over the lines of one text, made inside its row: nothing is shuffled."""
+"""Windows over the lines of one text, made inside its row: nothing is shuffled.
+
+A text is split once and zipped with itself shifted, so the work grows with its lines, not with their square.
+"""
 
 from __future__ import annotations
 
@@ -11,25 +14,36 @@ def lines(value: Column) -> Column:
     return F.split(F.coalesce(value, F.lit("")), "\n", -1)
 
 
-def line_spans(value: Column, most: int = 3) -> Column:
+def _shifted(values: Column, most: int, *more: Column) -> Column:
+    """Every entry with the next ones up to `most` of them, null behind the end: fields `0`, `1`, ..."""
+    ahead = [F.slice(values, k + 1, F.greatest(F.size(values) - k, F.lit(0))) for k in range(most)]
+    return F.arrays_zip(*ahead, *more)
+
+
+def line_spans(value: Column, most: int = 3, by: str = " ") -> Column:
     """(start, width, text) of 1 to `most` consecutive lines from every line, by start, then width."""
-    rows = lines(value)
-    starts = F.sequence(F.lit(1), F.size(rows))
-    spans = lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(most), F.size(rows) - i + 1)),
-        lambda w: F.struct(i.alias("start"), w.alias("width"), F.concat_ws(" ", F.slice(rows, i, w)).alias("text")),
-    )
-    return F.flatten(F.transform(starts, spans))
+    return spans(lines(value), most, by)
+
+
+def spans(rows: Column, most: int = 3, by: str = " ") -> Column:
+    def from_here(z: Column, i: Column) -> Column:
+        of = lambda w: F.struct(
+            (i + 1).alias("start"), F.lit(w).alias("width"), F.concat_ws(by, *[z[str(k)] for k in range(w)]).alias("text")
+        )
+        return F.array_compact(F.array(*[F.when(z[str(w - 1)].isNotNull(), of(w)) for w in range(1, most + 1)]))
+
+    return F.flatten(F.transform(_shifted(rows, most), from_here))
 
 
 def lines_after(value: Column, heading, boundary, most: int = 8) -> Column:
     """(line, taken) of every heading line: how many of the next `most` lines precede a boundary."""
-    rows = F.transform(lines(value), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    heads = F.filter(rows, lambda r: heading(r["text"]))
+    rows = lines(value)
+    zipped = _shifted(F.transform(rows, lambda x: F.coalesce(boundary(x), F.lit(False))), most + 1, F.transform(rows, lambda x: F.coalesce(heading(x), F.lit(False))))
 
-    def after(head: Column) -> Column:
-        ahead = F.slice(rows, head["line"] + 1, F.lit(most))
-        stop = F.array_position(F.transform(ahead, lambda r: boundary(r["text"])), F.lit(True))
-        return F.struct(head["line"].alias("line"), F.when(stop > 0, stop - 1).otherwise(F.size(ahead)).cast("int").alias("taken"))
+    def after(z: Column, i: Column) -> Column:
+        taken = F.lit(most)
+        for k in range(most, 0, -1):
+            taken = F.when(z[str(k)].isNull() | z[str(k)], k - 1).otherwise(taken)
+        return F.when(z[str(most + 1)], F.struct((i + 1).alias("line"), taken.cast("int").alias("taken")))
 
-    return F.transform(heads, after)
+    return F.array_compact(F.transform(zipped, after))

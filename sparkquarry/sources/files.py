@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import js
+from sparkquarry.functions import names as n
+from sparkquarry.functions import pages
+
 CACHE_SCHEMA = "createdAt long, query string, results array<struct<title: string, url: string, snippet: string>>"
+#: The registry's headers, and what its columns are called here.
+REGISTRY = {
+    "Food licence number": "licence", "Legal name": "legal_name", "Address": "address", "Also doing business as": "dba", "Included establishments": "establishments",
+}
+#: The columns that lead tables start with.
+LEAD_COLUMNS = ("company", "stage", "industry", "notes", "contacts", "tags", "last_activity")
 
 
 def header_name(name: str | None, position: int) -> str:
@@ -15,30 +27,211 @@ def header_name(name: str | None, position: int) -> str:
     return re.sub(r"[^a-z0-9]+", "_", (name or "").strip().lower()).strip("_") or f"column_{position}"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header: cells trimmed, missing cells empty, doubled quotes and line ends in
-    quotes understood, rows without any content left out, the last of equal headers kept."""
-    raw = spark.read.csv(path, header=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False)
-    heads = spark.read.csv(path, header=False, multiLine=True, escape='"').limit(1).collect()
-    if not heads:
-        return raw
-    named = {header_name(h, i + 1): c for i, (h, c) in enumerate(zip(heads[0], raw.columns))}
-    rows = spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in raw.columns), multiLine=True, escape='"', enforceSchema=True)
-    cells = rows.select(*[F.btrim(F.coalesce(c, F.lit(""))).alias(n) for n, c in named.items()])
-    return cells.where(F.concat(*cells.columns) != "")
+def csv_rows(text: str) -> Iterator[list[str]]:
+    """Rows of cells. A quotation mark opens or closes quoting wherever it stands; two of them, inside
+    of quotes, are one; commas and line ends (CR, LF or both) count outside of quotes only."""
+    row, cell, quoted = [], [], False
+    parts = re.findall(r'"|,|\r\n|\r|\n|[^",\r\n]+', text)
+    at = 0
+    while at < len(parts):
+        part = parts[at]
+        at += 1
+        if part == '"':
+            if quoted and parts[at : at + 1] == ['"']:
+                cell.append('"')
+                at += 1
+            else:
+                quoted = not quoted
+        elif quoted or part not in (",", "\r\n", "\r", "\n"):
+            cell.append(part)
+        elif part == ",":
+            row.append("".join(cell))
+            cell = []
+        else:
+            yield [*row, "".join(cell)]
+            row, cell = [], []
+    if row or cell:
+        yield [*row, "".join(cell)]
+
+
+def read_csv(spark: SparkSession, path: str, profile: str = "lead") -> DataFrame:
+    """CSV files with header, read whole, each by one task; all have the header of one of them.
+
+    Quoting is lenient (see csv_rows); missing cells are empty, and of equal headers the last
+    column is kept. Profile "lead": headers in snake case, cells trimmed, rows without content
+    left out. "registry": headers with their blanks squeezed, cells as they are, all rows kept.
+    "research": the same, without rows whose cells are all empty. A byte-order mark is dropped.
+    """
+    files = spark.read.text(path, wholetext=True)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                rows = list(csv_rows(text.removeprefix("﻿")))
+                yield pd.DataFrame({"at": range(len(rows)), "cells": rows})
+
+    rows = files.mapInPandas(parse, "at long, cells array<string>")
+    head = rows.where("at = 0").select("cells").first()
+    if head is None:
+        return spark.createDataFrame([], "column_1 string")
+    name = header_name if profile == "lead" else (lambda h, i: " ".join(h.split()))
+    places = {name(h, i + 1): i for i, h in enumerate(head["cells"])}
+    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
+    out = rows.where("at > 0").select(*[(js.trim(cell(i)) if profile == "lead" else cell(i)).alias(h) for h, i in places.items()])
+    if profile == "registry":
+        return out
+    return out.where(F.concat(*[F.col(f"`{h}`") for h in places]) != "")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The food-licence registry: licence, legal_name, address, dba, establishments; cleaned texts."""
+    raw = read_csv(spark, path, "registry")
+    found = {h: js.clean(F.col(f"`{h}`")) if h in raw.columns else F.lit("") for h in REGISTRY}
+    return raw.select(*[found[h].alias(c) for h, c in REGISTRY.items()])
+
+
+def read_saved_leads(spark: SparkSession, *paths: str) -> DataFrame:
+    """The leads of the first of these files that exists and holds a row."""
+    for path in paths:
+        try:
+            rows = read_csv(spark, path)
+            if not rows.isEmpty():
+                return rows
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in LEAD_COLUMNS))
 
 
-def write_csv(df: DataFrame, path: str, first: tuple[str, ...] = ()) -> None:
-    """Columns of `first` lead; cells are quoted only where they must be."""
-    order = [c for c in first if c in df.columns] + [c for c in df.columns if c not in first]
-    df.select(*order).write.csv(path, header=True, escape='"')
+def write_csv(df: DataFrame, path: str, first: tuple[str, ...] = (), only: bool = False, line_end: str = "\n") -> None:
+    """Columns of `first` lead, and with `only` are all; cells are quoted only where they must be."""
+    order = [c for c in first if c in df.columns] + [c for c in df.columns if c not in first and not only]
+    df.select(*order).write.csv(
+        path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep=line_end
+    )
+
+
+def write_report(totals: DataFrame, results: DataFrame, path: str) -> None:
+    """A report as JSON lines: below `path`/totals its one row of totals, below `path`/results a row for each company."""
+    totals.write.json(f"{path}/totals", ignoreNullFields=False)
+    results.write.json(f"{path}/results", ignoreNullFields=False)
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Entries added to a log of one JSON object a line."""
+    entries.write.mode("append").json(path)
+
+
+def cache_slug(query: Column) -> Column:
+    return pages.slug(query)
 
 
 def read_search_cache(spark: SparkSession, path: str, now_ms: int, days: int = 7) -> DataFrame:
     """Cached searches younger than `days`."""
-    return spark.read.json(path, schema=CACHE_SCHEMA, multiLine=True).where(F.col("createdAt") > now_ms - days * 86_400_000)
+    return spark.read.json(path, schema=CACHE_SCHEMA, multiLine=True).where(F.lit(now_ms) - F.col("createdAt") < days * 86_400_000)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log of one JSON object a line; broken lines are left out."""
     return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
+
+
+def sends_of_day(log: DataFrame, day: str, result: str = "sent-pending-bounce") -> DataFrame:
+    """How many entries (ts, result) of that day, by the start of their time, have that result."""
+    return log.where(F.col("ts").startswith(day) & (F.col("result") == result)).agg(F.count("*").alias("n"))
+
+
+def sitemap_urls(xml: Column, host: str, folder: str) -> Column:
+    """(url, slug) of the addresses below `host`/`folder`/slug/ that a sitemap lists, each once."""
+    urls = F.array_distinct(js.every(xml, rf"<loc>(https://{re.escape(host)}/{folder}/[^/<]+/[^<]+)</loc>", 1, ""))
+    part = lambda u: js.sub(js.sub(F.lower(js.first(u, rf"/{folder}/([^/]+)/", 1, "")), "[^a-z0-9-]+", ""), "-+$", "")
+    return F.transform(urls, lambda u: F.struct(n.decode(u, (("&amp;", "&"),)).alias("url"), part(u).alias("slug")))
+
+
+def directory_profile(html: Column, slug: Column) -> Column:
+    """A maker's directory page as a profile: company, address, city, website, phone, description, categories, products."""
+    from sparkquarry.functions import values as v
+
+    plain = lambda x: js.clean(n.decode(js.sub(x, r"<[^>]+>", " "), v.ENTITIES_RESEARCH))
+    block = n.first_of(js.first(html, r'<div class="row manufacturer-page-logo">([\s\S]*?)</div><div class="container">', 1), F.coalesce(html, F.lit("")))
+    company = n.first_of(plain(js.first(block, r"<h1[^>]*>([\s\S]*?)</h1>", 1)), plain(js.first(html, r"<title[^>]*>([\s\S]*?)</title>", 1)))
+    address = plain(js.sub(js.first(block, r"<address[^>]*>([\s\S]*?)</address>", 1), r"<br\s*/?>", ", ", "i"))
+    website = js.clean(js.first(block, r'<p[^>]*class="[^"]*web-icon[^"]*"[\s\S]*?<a[^>]*href="([^"]+)"', 1))
+    phone = plain(js.first(block, r'<p[^>]*class="[^"]*phone-icon[^"]*"[\s\S]*?<a[^>]*>([\s\S]*?)</a>', 1))
+    words = n.first_of(js.first(block, r"<p>\s*<p>([\s\S]*?)</p>\s*</p>", 1), js.first(block, r"<h1[^>]*>[\s\S]*?</h1>[\s\S]*?<p>([\s\S]{20,2500}?)</p>", 1))
+    text = n.first_of(plain(words), plain(js.first(html, r"""<meta[^>]+(?:name|property)=["']description["'][^>]+content=["']([^"']*)["']""", 1)))
+    categories = n.distinct_in_order(F.transform(js.every(html, r'<h2 class="text-center">([\s\S]*?)</h2>', 1), plain), ignore_case=True)
+    products = F.transform(js.every(html, r'<h4 class="text-dark">([\s\S]*?)</h4>', 1), lambda p: js.clean(js.sub(plain(p), r"^\S*\s", "")))
+    own = F.filter(n.distinct_in_order(products, ignore_case=True), lambda p: n.census_name(p) != n.census_name(company))
+    city = n.first_of(pages.city_of_address(address), pages.title_case(F.replace(slug, F.lit("-"), F.lit(" "))))
+    return F.struct(
+        company.alias("company"), city.alias("city"), address.alias("address"), website.alias("website"), phone.alias("phone"), text.alias("description"),
+        categories.alias("categories"), F.slice(own, 1, 8).alias("products"),
+    )
+
+
+def directory_listing(html: Column, base: str) -> Column:
+    """(url, company, address) of the entries of a listing page: anchors of one entry are put together, the first name and the first address of each."""
+    from sparkquarry.functions import search
+
+    anchors = js.every(html, r'(href="[^"]*/bus/[^"]+"[^>]*>[\s\S]*?)</a>', 1)
+
+    def told(anchor: Column, at: Column) -> Column:
+        href = n.decode(js.first(anchor, r'href="([^"]+)"', 1), (("&amp;", "&"),))
+        text = search.plain(js.sub(anchor, r'^href="[^"]*"[^>]*>', "", "i"))
+        full = js.sub(F.when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(href), r"[?#].*$", "")
+        placed = js.test(text, r"\b\d{1,6}\s+.+,\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*,\s*(?:ON|Ontario)\b")
+        called = ~placed & (F.length(text) >= 3) & ~js.test(text, r"^(opening at|get directions|phone number|website|view map)$")
+        return F.struct(at.alias("at"), full.alias("url"), F.when(called, text).otherwise("").alias("company"), F.when(placed, js.trim(js.sub(text, r"\s*Get directions\s*$", "", "i"))).otherwise("").alias("address"))
+
+    rows = F.transform(anchors, told)
+    urls = F.array_distinct(F.transform(rows, lambda r: r["url"]))
+    first = lambda u, c: F.coalesce(F.get(F.filter(F.transform(F.filter(rows, lambda r: r["url"] == u), lambda r: r[c]), lambda x: x != ""), F.lit(0)), F.lit(""))
+    entries = F.transform(urls, lambda u: F.struct(u.alias("url"), first(u, "company").alias("company"), first(u, "address").alias("address")))
+    return F.filter(entries, lambda e: e["company"] != "")
+
+
+def template(text: Column, name: Column) -> Column:
+    """(name, category, subject, body) of a template: lines `key: value` between two rules, then the body."""
+    raw = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    front = F.regexp_extract(raw, r"\A---\n([\s\S]*?)\n---\n", 1)
+    framed = F.regexp_like(raw, F.lit(r"\A---\n[\s\S]*?\n---\n"))
+    lines = F.filter(F.split(front, "\n"), lambda x: F.contains(x, F.lit(":")))
+    key = lambda x: F.lower(js.trim(js.first(x, r"^[^:]*")))
+
+    def field(which: str) -> Column:
+        of_key = F.transform(F.filter(lines, lambda x: key(x) == which), lambda x: js.trim(js.sub(x, r"^[^:]*:", "")))
+        return F.coalesce(F.element_at(F.when(F.size(of_key) > 0, of_key), -1), F.lit(""))
+
+    body = js.sub(js.sub(F.regexp_replace(raw, r"\A---\n[\s\S]*?\n---\n", ""), r"^\n+", ""), r"\s+$", "")
+    return F.struct(
+        n.first_of(F.when(framed, field("name")).otherwise(""), name, F.lit("(unnamed)")).alias("name"), F.when(framed, field("category")).otherwise("").alias("category"),
+        F.when(framed, field("subject")).otherwise("").alias("subject"), F.when(framed, body).otherwise(js.trim(raw)).alias("body"),
+    )
+
+
+def read_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """The templates of a folder's .txt files, with their file's name."""
+    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").load(folder)
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    return files.select(file.alias("file"), template(F.col("value"), file).alias("t")).select("file", "t.*")
+
+
+def rendered(text: Column, values: Column) -> Column:
+    """The text with every {{name}} replaced by its value in a map; by nothing if it has none."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?=\{\{\s*[a-zA-Z0-9_]+\s*\}\})")
+    mark = r"^\{\{\s*([a-zA-Z0-9_]+)\s*\}\}"
+
+    def filled(part: Column) -> Column:
+        name = F.regexp_extract(part, mark, 1)
+        value = F.coalesce(F.try_element_at(values, name), F.lit(""))
+        return F.when(name == "", part).otherwise(F.concat(value, F.regexp_replace(part, mark, "")))
+
+    return F.array_join(F.transform(parts, filled), "")
+
+
+def subject(template_subject: Column, values: Column) -> Column:
+    """The filled subject, else a greeting."""
+    own = js.trim(rendered(template_subject, values))
+    who = n.first_of(*[F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("")) for k in ("first_name", "contact_name")])
+    return F.when(own != "", own).otherwise(js.trim(F.concat(F.lit("Hi "), who)))
