@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, table
+from sparkquarry.llm.shared import cut, free, table
 
 #: Codebooks are fitted on so many distinct vectors at most, those with the smallest hashes.
 SAMPLE = 8192
@@ -207,11 +207,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     compared = members.groupBy("name").cogroup(visitors.groupBy("_name")).applyInPandas(lambda x, y: _compare(x, y, threshold), "id long, n long, other long, edge boolean")
     compared = cut(compared, "compared")
     labels = components(compared.where("edge").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    free(placed, counts)
     degree = compared.where("NOT edge").groupBy("id").agg(F.sum("n").alias("n"))
     named = classes.join(degree.withColumnRenamed("id", "_d"), F.col("id") == F.col("_d"), "left").join(labels, F.col("id") == F.col("node"), "left")
     named = cut(named.select(
         *[classes[c].alias(f"_{c}") for c in key], (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("_links"), F.coalesce(labels["label"], classes["id"]).alias("_component")
     ), "named")
+    free(classes, compared, labels)
     out = rows.join(named, F.col("fine") & (F.col("label") == F.col("_label")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

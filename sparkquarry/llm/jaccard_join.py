@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, fresh_name, table
+from sparkquarry.llm.shared import cut, free, fresh_name, table
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
 BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a range of hashes
@@ -240,38 +240,46 @@ def _between(live: DataFrame, postings: DataFrame, hubs: DataFrame, labels: Data
     share a shingle are compared as matrices (shared prefix shingles first, all shingles
     then), unless both lie in one component; no pair of documents becomes a row.
     """
+    made: list[DataFrame] = []
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        made.append(cut(df, name))
+        return made[-1]
+
     known = postings.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    known = cut(known, "jaccard-postings")
+    known = part(known, "jaccard-postings")
     open_ = known.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select(F.col("token").alias("_open"))
-    hub_of = hubs.join(cut(open_, "jaccard-open"), F.col("_token") == F.col("_open"), "left_semi")
+    hub_of = hubs.join(part(open_, "jaccard-open"), F.col("_token") == F.col("_open"), "left_semi")
     hub_of = hub_of.join(labels, F.col("hub") == F.col("node"), "left").select("_token", F.coalesce("label", "hub").alias("_home"))
-    open_postings = cut(known.join(cut(hub_of, "jaccard-homes"), F.col("token") == F.col("_token")).select("token", "doc_id", "label", "_home"), "jaccard-open")
+    open_postings = part(known.join(part(hub_of, "jaccard-homes"), F.col("token") == F.col("_token")).select("token", "doc_id", "label", "_home"), "jaccard-open")
     homes = open_postings.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("_home").alias("home"))
-    homes = cut(homes.withColumn("whole", F.col("label") == F.col("home")), "jaccard-homes")
+    homes = part(homes.withColumn("whole", F.col("label") == F.col("home")), "jaccard-homes")
     sizes = homes.groupBy(F.col("home").alias("_home"), F.col("whole").alias("_whole")).agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("_chunks"))
     same = (F.col("home") == F.col("_home")) & (F.col("whole") == F.col("_whole"))
     salt = F.pmod(F.xxhash64("doc_id"), "_chunks").cast("string")
     name = F.concat_ws("/", F.col("home").cast("string"), F.col("whole").cast("string"), salt)
-    placed = homes.join(cut(sizes, "jaccard-sizes"), same).select(
+    placed = homes.join(part(sizes, "jaccard-sizes"), same).select(
         F.col("doc_id").alias("_doc"), F.col("label").alias("_label"), name.alias("chunk"), F.when(F.col("whole"), F.col("home")).alias("single")
     )
-    placed = cut(placed, "jaccard-placed")
+    placed = part(placed, "jaccard-placed")
 
     def stack(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], pickle.dumps(docs.drop(columns="chunk").to_dict("records"), protocol=5))], columns=["chunk", "docs"])
 
     members = live.join(placed, F.col("doc_id") == F.col("_doc")).select("chunk", "doc_id", "n_shingles", "matches", F.col("_label").alias("label"), "prefix", "tokens")
-    chunks = cut(members.groupBy("chunk").applyInPandas(stack, "chunk string, docs binary"), "jaccard-chunks")
+    chunks = part(members.groupBy("chunk").applyInPandas(stack, "chunk string, docs binary"), "jaccard-chunks")
     holds = open_postings.join(placed, F.col("doc_id") == F.col("_doc")).select("token", "chunk", "single").distinct()
-    holds = cut(holds, "jaccard-holds")
+    holds = part(holds, "jaccard-holds")
     other = holds.select(*[F.col(c).alias(f"_{c}") for c in holds.columns])
     apart = F.coalesce(F.col("single") != F.col("_single"), F.lit(True))
     pairs = holds.join(other, (F.col("token") == F.col("_token")) & (F.col("chunk") <= F.col("_chunk")) & apart)
-    pairs = cut(pairs.select(F.col("chunk").alias("a"), F.col("_chunk").alias("b")).distinct(), "jaccard-pairs")
+    pairs = part(pairs.select(F.col("chunk").alias("a"), F.col("_chunk").alias("b")).distinct(), "jaccard-pairs")
     left = pairs.join(chunks, F.col("a") == F.col("chunk")).select("a", "b", "docs")
     right = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(chunks, F.col("_b") == F.col("chunk")).select("_a", "_b", F.col("docs").alias("_docs"))
     edges = left.groupBy("a", "b").cogroup(right.groupBy("_a", "_b")).applyInPandas(lambda x, y: _compare(x, y, percent), "a long, b long")
-    return cut(edges, "jaccard-edges")
+    edges = cut(edges, "jaccard-edges")
+    free(*made)
+    return edges
 
 
 def _components_of_rows(source: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -292,11 +300,13 @@ def _components_of_rows(source: DataFrame, shingle: int, percent: int) -> DataFr
     postings = live.select("doc_id", "n_shingles", "matches", F.explode("prefix").alias("token"))
     hubs = cut(postings.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("_n")).where("_n > 1").select(F.col("token").alias("_token"), "hub"), "jaccard-hubs")
     star = postings.join(hubs, F.col("token") == F.col("_token")).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = cut(_verified(star, live, percent), "jaccard-star")
-    labels = components(links)
+    star = cut(_verified(star, live, percent), "jaccard-star")
+    labels = components(star)
 
-    links = links.unionByName(_between(live, postings, hubs, labels, percent))
-    labels = components(links)
+    between = _between(live, postings, hubs, labels, percent)
+    free(labels, hubs, live)
+    labels = components(star.unionByName(between))
+    free(star, between)
 
     named = sets.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "n_shingles", "set1", "set2", F.coalesce("label", "class_id").alias("component")
@@ -304,7 +314,9 @@ def _components_of_rows(source: DataFrame, shingle: int, percent: int) -> DataFr
     named = cut(named.select(*[F.col(c).alias(f"_{c}") for c in named.columns]), "jaccard-named")
     slim = profiles.select("doc_id", "n_shingles", "set1", "set2")
     joined = slim.join(named, [F.col(c) == F.col(f"_{c}") for c in ("n_shingles", "set1", "set2")], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    found = cut(joined.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")), "jaccard-found")
+    free(labels, sets, named, profiles)
+    return found
 
 
 def _with_row(docs: DataFrame, row: str) -> DataFrame:
@@ -324,9 +336,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     """
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
     rows = _with_row(known, "_row")
-    found = _components_of_rows(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
-    found = found.join(rows.select("_row", "_id"), F.col("doc_id") == F.col("_row"))
-    found = cut(found.select("_id", "n_shingles", F.col("component_id").alias("_group")), "jaccard-found")
+    parts = _components_of_rows(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+    found = parts.join(rows.select("_row", "_id"), F.col("doc_id") == F.col("_row"))
+    found = cut(found.select("_id", "n_shingles", F.col("component_id").alias("_group")), "jaccard-groups")
+    free(parts, rows)
     least = found.groupBy(F.col("_group").alias("_of")).agg(F.min("_id").alias("component_id"))
     joined = found.join(least, F.col("_group") == F.col("_of"))
     return joined.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
@@ -345,9 +358,10 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = fresh_name(docs, "row")
     rows = _with_row(docs, row)
-    found = _components_of_rows(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80)
+    parts = _components_of_rows(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80)
     ids = rows.select(F.col(row).alias("_at"), "doc_id")
-    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))
+    found = parts.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).getField("_row")
     kept = cut(found.groupBy("component_id").agg(first.alias("_kept")).select("_kept"), "jaccard-kept")
+    free(parts)
     return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*docs.columns)

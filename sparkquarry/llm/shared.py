@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; it must be set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only a session on one machine may leave it unset; it then has a folder of that machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
 @contextmanager
