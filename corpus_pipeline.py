@@ -9,7 +9,7 @@ from sparkquarry.llm.decontaminate import decontaminate_stage
 from sparkquarry.llm.jaccard_join import jaccard_stage
 from sparkquarry.llm.language_id import language_stage
 from sparkquarry.llm.line_dedup import line_stage
-from sparkquarry.llm.shared import cut, table
+from sparkquarry.llm.shared import cut, free, table
 
 #: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
@@ -25,7 +25,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        free(*before)
+        before = [docs]
     return docs
