@@ -103,14 +103,14 @@ def merged_contacts(contacts: DataFrame, weak: Callable[[Column], Column]) -> Da
     of_group = lambda kind, key: F.concat_ws("\x01", F.lit(kind), F.col("group").cast("string"), key)
     by_link, by_name = F.when(profile.isNotNull(), of_group("link", profile)), of_group("name", person)
     rows = rows.withColumn("_link", by_link).withColumn("_name", by_name)
-    # Both kinds of key are looked up in one index, so a link could meet a name; their marks keep them apart.
     told = walk(rows, "pos", {"link": F.col("_link"), "name": F.col("_name")}, lambda seen: seen["link"] | seen["name"]).checkpoint()
     heads = told.where("accepted")
     of_link = heads.where("_link IS NOT NULL").select(F.col("_link").alias("_k1"), F.col("pos").alias("_h1"))
     of_name = heads.select(F.col("_name").alias("_k2"), F.col("pos").alias("_h2"))
-    # One accepted row at most has a key, so these joins match once.
+    # One accepted row at most has a key, so these joins match once; a later one with it came too late.
+    earlier = lambda h: F.when(F.col(h) < F.col("pos"), F.col(h))
     homed = told.join(of_link, F.col("_link") == F.col("_k1"), "left").join(of_name, F.col("_name") == F.col("_k2"), "left")
-    homed = homed.withColumn("_home", F.when(F.col("accepted"), F.col("pos")).otherwise(F.coalesce("_h1", "_h2")))
+    homed = homed.withColumn("_home", F.when(F.col("accepted"), F.col("pos")).otherwise(F.coalesce(earlier("_h1"), earlier("_h2"))))
     filled = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("pos"))), F.lit(""))
     title = F.coalesce(F.min_by("title", F.when(~weak(F.col("title")), F.col("pos"))), F.max_by("title", "pos"))
     merged = homed.groupBy("group", "_home").agg(F.min_by("name", "pos").alias("name"), title.alias("title"), *[filled(c).alias(c) for c in ("link", "source", "notes")])
