@@ -1,4 +1,4 @@
-"""Text, name, phone, address and URL normalisers as column expressions."""
+"""Plain text, phone and URL normalisers as column expressions; keys of names are in `names`."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r\f\x0B]+"
 
-#: Legal suffixes that a company name's key leaves out.
-LEGAL_SUFFIXES = ("inc", "incorporated", "ltd", "limited", "corp", "corporation", "co", "company", "llc", "lp", "ulc")
-
-
 def _col(value: Column | str) -> Column:
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
 
@@ -32,15 +28,6 @@ def html_field(value: Column | str, tag: str) -> Column:
     return strip_html(F.regexp_extract(_col(value), rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
 
 
-def name_key(value: Column | str) -> Column:
-    """A company name's key: lower case, & as and, without legal suffixes, letters and digits only."""
-    key = F.regexp_replace(F.lower(_col(value)), "&", " and ")
-    key = F.regexp_replace(key, "[^a-z0-9]+", " ")
-    key = F.regexp_replace(F.concat(F.lit(" "), key, F.lit(" ")), " ", "  ")
-    key = F.regexp_replace(key, f" (?:{'|'.join(LEGAL_SUFFIXES)}) ", " ")
-    return clean_text(key)
-
-
 def phone_key(value: Column | str) -> Column:
     """The last ten digits, empty if there are fewer."""
     digits = F.regexp_replace(_col(value), "[^0-9]", "")

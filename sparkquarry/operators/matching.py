@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
 
-def _prefixes(sets: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     """Each set's rarest tokens, one of which every set that is similar enough must share.
 
     Of n tokens, a set of similarity `least` shares at least ceil(least * n), so it can't
     lack all of the first n - ceil(least * n) + 1. Common tokens come last and rarely count.
     """
     each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").count()
     ordered = each.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("by_count"))
     # Rounding may only lengthen a prefix: 0.28 * 25 is 7.000000000000001 in doubles.
     length = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
-    return ordered.select("id", F.explode(F.slice("by_count", 1, F.least(length, F.col("n")))["token"]).alias("token"))
+    return ordered.select("id", "n", F.explode(F.slice("by_count", 1, F.least(length, F.col("n")))["token"]).alias("token"))
 
 
 def jaccard_matches(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -25,20 +26,22 @@ def jaccard_matches(left: DataFrame, right: DataFrame, least: float) -> DataFram
     a Jaccard similarity of `least` (above 0) or more.
 
     Tokens of a row are distinct. Equal sets are compared once: rows are grouped by their set
-    first, so that many rows of one name cost one comparison. Rows without tokens match nothing.
+    first, so that many rows of one name cost one comparison. Sets travel as digests; pairs
+    whose sizes alone rule them out aren't formed. Rows without tokens match nothing.
     """
-    sides = [side.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens")) for side in (left, right)]
-    sets = sides[0].select("tokens").union(sides[1].select("tokens")).distinct().withColumn("id", F.concat_ws("\x01", "tokens"))
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    short = _prefixes(sets, counts, least)
-    met = short.alias("a").join(short.alias("b"), F.col("a.token") == F.col("b.token")).where("a.id <= b.id")
-    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    tokens = lambda name: F.split(name, "\x01")
-    both = F.size(F.array_intersect(tokens("a"), tokens("b")))
-    similarity = both / (F.size(tokens("a")) + F.size(tokens("b")) - both)
-    close = met.withColumn("similarity", F.round(similarity, 6)).where(similarity >= least)
+    digest = F.md5(F.concat_ws("\x01", "tokens"))
+    sides = [side.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens")).withColumn("set", digest) for side in (left, right)]
+    sets = sides[0].select("set", "tokens").union(sides[1].select("set", "tokens")).groupBy(F.col("set").alias("id")).agg(F.first("tokens").alias("tokens"))
+    short = _prefixes(sets, least)
+    a, b = (short.select(*[F.col(c).alias(p + c) for c in ("id", "n", "token")]) for p in "ab")
+    met = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("aid") <= F.col("bid")) & (F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(least) - F.lit(1e-9)))
+    met = met.select("aid", "bid").distinct()
+    whole = met.join(sets.select(F.col("id").alias("aid"), F.col("tokens").alias("at")), "aid").join(sets.select(F.col("id").alias("bid"), F.col("tokens").alias("bt")), "bid")
+    both = F.size(F.array_intersect("at", "bt"))
+    similarity = both / (F.size("at") + F.size("bt") - both)
+    close = whole.select(F.col("aid").alias("a"), F.col("bid").alias("b"), F.round(similarity, 6).alias("similarity")).where(similarity >= least)
     back = close.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
-    keyed = [side.select(F.col("id").alias(name + "_id"), F.concat_ws("\x01", "tokens").alias(key)) for side, name, key in zip(sides, ("left", "right"), "ab")]
+    keyed = [side.select(F.col("id").alias(name + "_id"), F.col("set").alias(key)) for side, name, key in zip(sides, ("left", "right"), "ab")]
     return close.unionByName(back).join(keyed[0], "a").join(keyed[1], "b").select("left_id", "right_id", "similarity")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import js, names
 from sparkquarry.functions import text as t
 from sparkquarry.operators import relational as r
 from sparkquarry.operators.matching import jaccard_matches
@@ -59,12 +60,12 @@ def doc_entities(table):
     return table("documents").select("doc_id", F.size(t.emails("text")).cast("long").alias("n_emails"), F.size(t.phones("text")).cast("long").alias("n_phones"))
 
 
-_NAME = "trim(regexp_replace(regexp_replace(replace(' ' || regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g') || ' ', ' ', '  '), ' (?:inc|incorporated|ltd|limited|corp|corporation|co|company|llc|lp|ulc) ', ' ', 'g'), '[ ]+', ' ', 'g'))"
+_NAME = f"trim({js.sql_sub(js.sql_sub(js.sql_sub('lower({0})', '&', ' and '), chr(92) + 'b(?:ltd|limited|inc|incorporated|corp|corporation|co|company|llc|lp|plc)' + chr(92) + 'b', ' '), '[^a-z0-9]+', ' ')})"
 
 
 @_query(f"SELECT p_partkey, {_NAME.format('p_name')} AS name_key FROM part")
 def name_keys(table):
-    return table("part").select("p_partkey", t.name_key("p_name").alias("name_key"))
+    return table("part").select("p_partkey", names.dedupe_name("p_name").alias("name_key"))
 
 
 @_query("SELECT source, min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang FROM documents GROUP BY source")
@@ -97,8 +98,10 @@ def top_per_key(table):
 
 @_query("SELECT user_id, event_id, event_type FROM (SELECT *, min(event_type) OVER (PARTITION BY user_id) AS lowest FROM events) WHERE event_type = lowest")
 def provider_fallback(table):
-    lowest = F.min("event_type").over(W.partitionBy("user_id"))
-    return table("events").withColumn("lowest", lowest).where("event_type = lowest").select("user_id", "event_id", "event_type")
+    """The events of each user's first provider that has any; its name is found by a partial aggregate, not by a window over all rows."""
+    lowest = table("events").groupBy(F.col("user_id").alias("_user")).agg(F.min("event_type").alias("lowest"))
+    found = table("events").join(lowest, (F.col("user_id") == F.col("_user")) & (F.col("event_type") == F.col("lowest")))
+    return found.select("user_id", "event_id", "event_type")
 
 
 @_query("SELECT user_id, event_id FROM (SELECT *, coalesce(sum(1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) WHERE b < 3")

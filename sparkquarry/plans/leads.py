@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import js, names
 from sparkquarry.functions import lines as ln
+from sparkquarry.functions import values as v
 from sparkquarry.functions import text as t
+from sparkquarry.operators import gates as g
 from sparkquarry.operators import matching as m
 from sparkquarry.operators import relational as r
 from sparkquarry.operators import rules
@@ -32,7 +35,7 @@ def page_links_ranked(table):
   {_NAME.format("string_split(coalesce(text, ''), chr(10))[1]")} AS name_key FROM documents""")
 def doc_keys(table):
     first = lambda found: F.coalesce(F.get(found, 0), F.lit(""))
-    return table("documents").select("doc_id", first(t.emails("text")).alias("email"), t.phone_key(first(t.phones("text"))).alias("phone"), t.name_key(F.get(ln.lines(F.col("text")), 0)).alias("name_key"))
+    return table("documents").select("doc_id", first(t.emails("text")).alias("email"), t.phone_key(first(t.phones("text"))).alias("phone"), names.dedupe_name(F.get(ln.lines(F.col("text")), 0)).alias("name_key"))
 
 
 @_query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -80,13 +83,19 @@ def log_fold(table):
     return each.groupBy("user_id").agg(n("view").alias("n_seen"), n("error").alias("n_skipped"), n("purchase").alias("n_added"), F.max_by("event_type", "last").alias("last_type"), top.alias("top_type"))
 
 
-_SIGNAL_SQL = " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{n}'" for n, p in rules.SIGNALS)
+_SAID = "coalesce(text, '')"
+_SIGNAL_SQL = f"""CASE WHEN {js.sql_test(_SAID, v.SIGNAL_HIRING)} AND {js.sql_test(_SAID, '|'.join(p for _, p in v.SIGNAL_ROLES))} THEN 'Hiring' WHEN NOT {js.sql_test(_SAID, v.SIGNAL_GROWTH)} THEN 'none'
+  WHEN {js.sql_test(_SAID, v.SIGNAL_PERMIT)} THEN 'Permit' WHEN {js.sql_test(_SAID, v.SIGNAL_CAPACITY)} THEN 'Capacity' WHEN {js.sql_test(_SAID, v.SIGNAL_PLANNED)} THEN 'Planned expansion' ELSE 'Expansion' END"""
+_SIGNAL_OUT = f"""({js.sql_test(_SAID, v.SIGNAL_NEGATIVE)} OR (({js.sql_test(_SAID, v.SIGNAL_OTHER_ROLE)} OR label = 'Hiring') AND NOT {js.sql_test(_SAID, v.SIGNAL_ROLE)})
+  OR ({js.sql_test(_SAID, v.SIGNAL_OLD_YEAR)} AND NOT {js.sql_test(_SAID, v.SIGNAL_NEW_YEAR)} AND NOT {js.sql_test(_SAID, v.SIGNAL_CURRENT)}))"""
 
 
-@_query(f"SELECT source, coalesce(CASE {_SIGNAL_SQL} END, 'none') AS signal, count(*) AS n FROM documents GROUP BY ALL")
+@_query(f"SELECT source, CASE WHEN {_SIGNAL_OUT} THEN 'none' ELSE label END AS signal, count(*) AS n FROM (SELECT *, {_SIGNAL_SQL} AS label FROM documents) GROUP BY ALL")
 def signal_classes(table):
-    signal = F.coalesce(rules.signal_class(F.col("text")), F.lit("none"))
-    return table("documents").groupBy("source", signal.alias("signal")).agg(F.count("*").alias("n"))
+    """Documents of each source by the signal that they would be taken for, of whatever company."""
+    found = g.signal(F.lit(""), F.col("text"), F.lit("https://x.example/"), F.lit(True), F.lit(True))
+    label = F.coalesce(found["type"], F.lit("none"))
+    return table("documents").groupBy("source", label.alias("signal")).agg(F.count("*").alias("n"))
 
 
 PRESETS = [("bolt", "Fasteners"), ("widget", "Machinery"), ("cold", "Cold storage"), ("steel", "Metals")]
@@ -98,14 +107,13 @@ def industry_label(table):
     return table("part").select("p_partkey", rules.first_label(F.col("p_name"), PRESETS, "Other").alias("label"))
 
 
-@_query("""SELECT quality = 1 AS expected, reason, count(*) AS n FROM (SELECT quality, CASE WHEN NOT coalesce(n_chars > 200, false) THEN 'qualified' WHEN NOT coalesce(toxic = 0, false) THEN 'real_company'
-  WHEN trim(coalesce(lang, '')) = '' THEN 'proof' ELSE '' END AS reason FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
+@_query(f"""SELECT quality = 1 AS expected, reason, count(*) AS n FROM (SELECT quality, CASE WHEN NOT coalesce(n_chars > 200, false) THEN {js.quoted(v.GATE_REASONS[0])} WHEN NOT coalesce(toxic = 0, false) THEN {js.quoted(v.GATE_REASONS[1])}
+  WHEN coalesce(lang, '') = '' THEN {js.quoted(v.GATE_REASONS[5])} ELSE '' END AS reason FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
 def gate_confusion(table):
-    """What a gate over stand-in tests decides, against the expected answer."""
+    """What the gates decide of documents, by tests that stand in for theirs, against the expected answer."""
     yes = F.lit(True)
-    flags = {n: yes for n in rules.GATE} | {"qualified": F.col("n_chars") > 200, "real_company": F.col("toxic") == 0}
     joined = table("documents").select("doc_id", "n_chars", "lang").join(table("labels"), "doc_id")
-    reason = rules.gate_reason(flags, {"proof": F.col("lang")})
+    reason = g.default_reason(F.col("n_chars") > 200, F.col("toxic") == 0, yes, yes, yes, F.coalesce("lang", F.lit("")) != "")
     return joined.groupBy((F.col("quality") == 1).alias("expected"), reason.alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -175,7 +175,7 @@ def directory_listings(table):
     placed = F.when(F.col("address").contains(", ON") | F.col("address").contains(", Ontario"), F.concat("address", F.lit(" Get directions"))).otherwise("View map")
     html = F.concat(anchor(F.lit("Website")), anchor(placed), anchor(F.concat(F.lit("<b>"), "company", F.lit("</b>"))))
     page = sample(table, "leads").groupBy("nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", html.alias("h")))), lambda x: x["h"]), "\n").alias("html"))
-    return page.select("nation", F.inline(files.directory_listing(F.col("html"), "https://list.example.com")))
+    return files.directory_listing(page.withColumnRenamed("nation", "page"), "https://list.example.com").withColumnRenamed("page", "nation")
 
 
 _BODY = "'Dear {{ first_name }}, {{company}}{{missing}} in {{city }}.'"
@@ -218,11 +218,11 @@ def known_companies(table):
 
 
 @_query(f"""WITH l AS (SELECT id AS pos, nation % 3 AS nation, lower(person) AS name, lower(title) AS title, CASE WHEN contains(link, 'linkedin') THEN link ELSE '' END AS link FROM {_LEADS})
-SELECT a.pos AS next_pos, min(b.pos) AS existing_pos FROM l a JOIN l b ON a.nation = b.nation WHERE a.pos % 2 = 0 AND b.pos % 2 = 1 AND ((a.link <> '' AND a.link = b.link) OR (a.name = b.name AND (a.title = b.title OR b.title = '' OR {_T('b.title', v.WEAK_TITLE)}))) GROUP BY 1""")
+SELECT a.pos AS next_pos, min(b.pos) AS existing_pos FROM l a JOIN l b ON a.nation = b.nation WHERE a.pos % 5 < 2 AND b.pos % 5 >= 2 AND ((a.link <> '' AND a.link = b.link) OR (a.name = b.name AND (a.title = b.title OR b.title = '' OR {_T('b.title', v.WEAK_TITLE)}))) GROUP BY 1""")
 def existing_contacts(table):
     link = F.when(F.contains("link", F.lit("linkedin")), F.col("link")).otherwise("")
     rows = sample(table, "leads").select(F.col("id").alias("pos"), (F.col("nation") % 3).alias("group"), F.lower("person").alias("name"), F.lower("title").alias("title"), link.alias("link"))
-    return greedy.first_existing(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"), c.is_weak_title)
+    return greedy.first_existing(rows.where("pos % 5 < 2"), rows.where("pos % 5 >= 2"), c.is_weak_title)
 
 
 _LOOSE = "list_filter({0}, lambda w: w NOT IN ('com', 'ca', 'www'))"

@@ -170,25 +170,21 @@ def directory_profile(html: Column, slug: Column) -> Column:
     )
 
 
-def directory_listing(html: Column, base: str) -> Column:
-    """(url, company, address) of the entries of a listing page: anchors of one entry are put together, the first name and the first address of each."""
+def directory_listing(listings: DataFrame, base: str) -> DataFrame:
+    """(page, url, company, address) of the entries of listing pages (page, html): the anchors of one
+    entry are put together, the first name and the first address of each; those without name are left out."""
     from sparkquarry.functions import search
 
-    anchors = js.every(html, r'(href="[^"]*/bus/[^"]+"[^>]*>[\s\S]*?)</a>', 1)
-
-    def told(anchor: Column, at: Column) -> Column:
-        href = n.decode(js.first(anchor, r'href="([^"]+)"', 1), (("&amp;", "&"),))
-        text = search.plain(js.sub(anchor, r'^href="[^"]*"[^>]*>', "", "i"))
-        full = js.sub(F.when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(href), r"[?#].*$", "")
-        placed = js.test(text, r"\b\d{1,6}\s+.+,\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*,\s*(?:ON|Ontario)\b")
-        called = ~placed & (F.length(text) >= 3) & ~js.test(text, r"^(opening at|get directions|phone number|website|view map)$")
-        return F.struct(at.alias("at"), full.alias("url"), F.when(called, text).otherwise("").alias("company"), F.when(placed, js.trim(js.sub(text, r"\s*Get directions\s*$", "", "i"))).otherwise("").alias("address"))
-
-    rows = F.transform(anchors, told)
-    urls = F.array_distinct(F.transform(rows, lambda r: r["url"]))
-    first = lambda u, c: F.coalesce(F.get(F.filter(F.transform(F.filter(rows, lambda r: r["url"] == u), lambda r: r[c]), lambda x: x != ""), F.lit(0)), F.lit(""))
-    entries = F.transform(urls, lambda u: F.struct(u.alias("url"), first(u, "company").alias("company"), first(u, "address").alias("address")))
-    return F.filter(entries, lambda e: e["company"] != "")
+    anchors = js.every("html", r'(href="[^"]*/bus/[^"]+"[^>]*>[\s\S]*?)</a>', 1)
+    each = listings.select("page", F.posexplode(anchors).alias("at", "anchor"))
+    href = n.decode(js.first("anchor", r'href="([^"]+)"', 1), (("&amp;", "&"),))
+    full = js.sub(F.when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(href), r"[?#].*$", "")
+    told = each.select("page", "at", full.alias("url"), search.plain(js.sub("anchor", r'^href="[^"]*"[^>]*>', "", "i")).alias("text"))
+    placed = js.test("text", r"\b\d{1,6}\s+.+,\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*,\s*(?:ON|Ontario)\b")
+    named = ~placed & (F.length("text") >= 3) & ~js.test("text", r"^(opening at|get directions|phone number|website|view map)$")
+    address = js.trim(js.sub("text", r"\s*Get directions\s*$", "", "i"))
+    first = lambda test, value: F.coalesce(F.min_by(value, F.when(test, F.col("at"))), F.lit(""))
+    return told.groupBy("page", "url").agg(first(named, F.col("text")).alias("company"), first(placed, address).alias("address")).where("company <> ''")
 
 
 def template(text: Column, name: Column) -> Column:

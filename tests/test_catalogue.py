@@ -73,15 +73,16 @@ def test_quota_pick_equals_a_plain_walk(spark):
 def test_rules(spark):
     from pyspark.sql import functions as F
 
-    from sparkquarry.operators import rules
+    from sparkquarry.operators import records, rules
 
     row = spark.range(1).select(
-        rules.signal_class(F.lit("They plan to expand, HIRING now")).alias("a"), rules.signal_class(F.lit("a new plant")).alias("b"), rules.signal_class(F.lit(None)).alias("c"),
-        rules.lead_stage(F.lit(False), F.lit(False)).alias("d"), rules.lead_stage(F.lit(True), F.lit(True)).alias("e"), rules.lead_stage(F.lit(True), F.lit(False)).alias("f"),
+        records.lead_stage(F.lit(False), F.lit(False)).alias("d"), records.lead_stage(F.lit(True), F.lit(True)).alias("e"), records.lead_stage(F.lit(True), F.lit(False)).alias("f"),
         rules.sweep_score(*map(F.lit, (0, 1, 0)), 2, *map(F.lit, (False, True, False, True))).alias("g"), rules.sweep_score(*map(F.lit, (2, 1, 3)), 2, *map(F.lit, (True,) * 4)).alias("h"),
+        rules.personal_addresses(F.lit("Dr. Ann B. O'Hara"), F.lit("www.X.example")).alias("i"), rules.personal_addresses(F.lit("Cher"), F.lit("x.example")).alias("j"), rules.personal_addresses(F.lit(None), F.lit("x")).alias("k"),
     ).first()
-    assert row[:6] == ("Hiring", "Expansion", None, "Plant Verified - Needs Contact + Products", "Ready for Outreach", "Plant Verified - Needs Products")
-    assert row[6:] == (10 + 40 + 40 + 15 + 35 + 20 - 5, 5)
+    assert row[:3] == ("Plant Verified - Needs Contact + Products", "Ready for Outreach", "Plant Verified - Needs Products")
+    assert row[3:5] == (10 + 40 + 40 + 15 + 35 + 20 - 5, 5)
+    assert row[5:] == (["ann.ohara@x.example", "annohara@x.example", "aohara@x.example", "ann@x.example", "ohara@x.example"], ["cher@x.example"], [])
 
 
 def test_jaccard_matches_with_copies_and_empty_sets(spark):
