@@ -1,17 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of preceding words, of any length; the start of a text counts as a word
-of contexts. A context that occurs `least_count` times in training is kept if what follows
-it there is likelier under its own distribution than under its suffix's, by `cutoff` nats in
-all; each occurrence is judged without itself, so that rare contexts don't pass by repeating
-what they have seen. The suffixes of a kept context belong to the tree too, and distributions
-are smoothed along them: p_k = (g + s p_(k-1)) / (N + s), for a word that follows g of a
-context's N occurrences, and at the root by 0.1 occurrences of any word. A word is scored by
-the longest kept context before it.
-
-Contexts grow by one word a round. A context grows no further if its training occurrences,
-of words that it has seen before, leave less than `cutoff` nats to gain, or less than
-`least_left` nats for each occurrence. Growth ends when no context is left to grow.
+States are contexts of 1, 2, 3, 4, 6, 8, 12, 16, ... preceding words, without end; the start of
+a text counts as a word of contexts. A context that occurs `least_count` times in training is
+kept if what follows it there is likelier under its own distribution than under that of its
+longest kept suffix, by `cutoff` nats in all; each occurrence is judged without itself, so that
+rare contexts don't pass by repeating what they have seen. Distributions are smoothed along
+kept states only: (g + s p) / (N + s), for a word that follows g of a context's N occurrences
+and has probability p in the longest kept suffix, and at the root by 0.1 occurrences of any
+word. Of several weights s each context takes the one that gains most. A word is scored by the
+longest kept context before it.
+
+Contexts grow by a length a round. A context grows no further if its training occurrences, of
+words that it has seen before, leave less than `cutoff` nats to gain, or less than `least_left`
+nats for each occurrence. Growth ends when no context is left to grow.
 
 Documents are kept in compressed blocks of word numbers. Each round the blocks send hashes of
 n-grams and the gains of contexts, by ranges of hashes, to tasks that add them up and send
@@ -25,7 +26,6 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -43,9 +43,10 @@ BLOCK_CHARS, BLOCK_DOCS = 3_500_000, 50_000
 START, END = 0, 1  # numbers of the two marks in every block's vocabulary
 _MARKS = np.array([0x5EED, 0xE0F], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-STATE, ASK, GAIN, COUNTS, FLAGS = range(5)
-KEEP, GROW = 1, 2
+STATE, ASK, GAIN, COUNTS, FLAGS, SCORES = range(6)
+GROW = 64  # a verdict is the number of the weight that a context is kept with, 0 if it isn't, and this if it grows
 FULL = 4  # rounds whose answers are kept and read again; then a block's state is carried on
+SMALL = 6  # from this round on only documents that contexts still grow for are carried on, with the state
 _SENT = "kind int, length int, key int, block long, one binary, two binary, three binary"
 _NAMES = [part.split()[0] for part in _SENT.split(", ")]
 
@@ -147,10 +148,10 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return *(np.add.reduceat(v[order], first)[group] for v in values), order[first]
 
 
-def _answer(key: tuple, cells: pd.DataFrame, cutoff: float) -> pd.DataFrame:
+def _answer(key: tuple, cells: pd.DataFrame, cutoff: float, weights: int) -> pd.DataFrame:
     """What a range's task sends back: sums of counts, and verdicts on contexts."""
     kind, length = int(key[0]), int(key[1])
-    if kind == STATE:
+    if kind in (STATE, SCORES):
         return cells.assign(types=0, tokens=0)
     keys = [unpack_sorted(_release(k)) for k in cells["one"]]
     ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -160,24 +161,34 @@ def _answer(key: tuple, cells: pd.DataFrame, cutoff: float) -> pd.DataFrame:
         if length == 1:
             out |= {"types": int((counts[first] > 0).sum()), "tokens": int(counts[first].sum())}
         return pd.DataFrame(out | {"kind": COUNTS, "one": [_packed(c) for c in np.split(counts, ends)]})
-    gain, left = (np.concatenate([np.frombuffer(_release(x), np.float16) for x in cells[c]]).astype(np.float64) for c in ("two", "three"))
-    gain, left, _ = _sums(np.concatenate(keys), gain, left)
-    flags = KEEP * (np.round(gain, 2) >= cutoff) + GROW * (np.round(left, 2) >= 1)
+    gains = np.concatenate([np.frombuffer(_release(x), np.float16).reshape(weights, -1) for x in cells["two"]], axis=1).astype(np.float64)
+    left = np.concatenate([np.frombuffer(_release(x), np.float16) for x in cells["three"]]).astype(np.float64)
+    *gains, left, _ = _sums(np.concatenate(keys), *gains, left)
+    gains = np.round(np.stack(gains), 2)
+    flags = np.where(gains.max(0) >= cutoff, gains.argmax(0) + 1, 0) + GROW * (np.round(left, 2) >= 1)
     return pd.DataFrame(out | {"kind": FLAGS, "one": [_packed(f) for f in np.split(flags, ends)]})
 
 
+def context_length(m: int) -> int:
+    """How many words the contexts have that round m judges, from the second round on: 1, 2, 3, 4, 6, 8, 12, 16, ..."""
+    k = m - 1
+    return k if k < 4 else (2 + k % 2) << (k // 2 - 1)
+
+
 class _Growth:
     """The tokens of a block that contexts still grow for, round by round.
 
-    After round m: `at`, the tokens that have a frequent context of m - 1 words; their
-    probability in it with all counts (`whole`) and without their own (`apart`); `chance`, that
-    in the longest context known to be kept; `held`, how often their context of m words occurs;
-    `seen`, how often the n-gram of m words does that ends with them; `asked`, where n-grams of
-    m + 1 words end that counts are wanted of.
+    After round m: `at`, the tokens that have a frequent context of the round's length; how
+    often that occurs (`n`) and the n-gram of it and the token does (`seen`); the token's
+    probability in the longest context known to be kept, with all counts (`kept`) and without its
+    own (`apart`); `held`, how often the next longer context occurs, as far as known; `asked` and
+    `asked_contexts`, where n-grams end that counts are wanted of.
     """
 
-    def __init__(self, block: _Block, bits: int, smoothing: float, least_count: int, cutoff: float, least_left: float, max_depth: float):
-        self.block, self.bits, self.smoothing = block, bits, smoothing
+    PLACES, NUMBERS, CHANCES = ("at", "asked", "asked_contexts"), ("n", "seen", "held"), ("kept", "apart")
+
+    def __init__(self, block: _Block, bits: int, weights: tuple[float, ...], least_count: int, cutoff: float, least_left: float, max_depth: float):
+        self.block, self.bits, self.weights = block, bits, weights
         self.least_count, self.cutoff, self.least_left, self.max_depth = least_count, cutoff, least_left, max_depth
 
     def begin(self, counts: np.ndarray, types: int, tokens: int) -> None:
@@ -188,70 +199,115 @@ class _Growth:
         count = number[block.symbols]
         self.at = np.flatnonzero(block.symbols != START)
         self.seen, own = count[self.at], block.train[self.at]
-        self.whole = (self.seen + 0.1) / (tokens + 0.1 * (types + 1))
+        self.kept = self.root = (self.seen + 0.1) / (tokens + 0.1 * (types + 1))
         self.apart = np.maximum(self.seen - own + 0.1, 0.1) / np.maximum(tokens - own + 0.1 * (types + 1), 0.1)
-        self.chance = self.root = self.whole
+        self.n = self.seen
         self.scores = np.zeros(len(block.sizes))
         self._look_ahead(1, count)
 
-    def _need(self) -> np.ndarray:
-        """How often an n-gram must occur so that a token's own occurrence isn't all."""
-        return np.where(self.block.train[self.at], 2, 1)
-
-    def _look_ahead(self, m: int, count: np.ndarray) -> None:
-        """`count` has, by place, how often the n-gram of m words occurs that ends there, -1 where nobody asked."""
-        self.held = np.maximum(count[self.at - 1], 0)
-        if m > self.max_depth:
+    def _keep(self, which: np.ndarray) -> None:
+        """Go on with these tokens; the others have their score."""
+        np.add.at(self.scores, self.block.doc[self.at[~which]], np.log10(self.kept[~which]))
+        for name in ("at", *self.NUMBERS, *self.CHANCES):
+            setattr(self, name, getattr(self, name)[which])
+
+    def _alive(self) -> np.ndarray:
+        """Tokens whose n-gram occurs more often than here."""
+        return self.seen >= np.where(self.block.train[self.at], 2, 1)
+
+    def _look_ahead(self, m: int, count: np.ndarray | None) -> None:
+        """What the next round will need. `count` has, by place, how often the n-gram of m words ends
+        there that the next context is, -1 where nobody asked; without it contexts are asked for too."""
+        length, after = context_length(m + 1), context_length(m + 2)
+        self.asked_contexts = np.zeros(0, np.int64)
+        if count is not None:
+            self.held = np.maximum(count[self.at - 1], 0)
+        else:
+            self.held = np.where(self.at - length >= self.block.starts[self.block.doc[self.at]], self.least_count, 0)
+        if length > self.max_depth:
             self.held[:] = 0
         open_ = self.held >= self.least_count
-        tokens = self.at[open_ & (self.seen >= self._need())]
-        before = self.at[open_] - 1
-        before = before[before - self.block.starts[self.block.doc[before]] >= m]
-        shorter = count[before - 1]
-        self.asked = np.union1d(tokens, before[(shorter < 0) | (shorter >= self.least_count)])
-
-    def advance(self, m: int, counts: np.ndarray, flags: np.ndarray | None) -> None:
-        """Round m: take in the counts of n-grams of m words, and the verdicts on contexts of m - 2."""
-        block = self.block
+        self.asked = self.at[open_ & self._alive()]
+        if count is None:
+            self.asked_contexts = self.at[open_] - 1
+        elif after == length + 1:  # the round after the next one will know its contexts from these
+            before = self.at[open_] - 1
+            before = before[before - self.block.starts[self.block.doc[before]] >= length]
+            shorter = count[before - 1]
+            self.asked = np.union1d(self.asked, before[(shorter < 0) | (shorter >= self.least_count)])
+
+    def advance(self, m: int, counts: np.ndarray, contexts: np.ndarray, flags: np.ndarray | None) -> None:
+        """Round m: take in counts of n-grams and contexts, and the verdicts on the contexts of round m - 1."""
+        block, length = self.block, context_length(m)
         go = self.held >= self.least_count
         if flags is not None and len(self.at):
-            told = flags[block.asked(self.at - 1, m - 2, self.bits)[1]]
-            self.chance = np.where(told & KEEP > 0, self.whole, self.chance)
-            go &= told & GROW > 0
-        np.add.at(self.scores, block.doc[self.at[~go]], np.log10(self.chance[~go]))
+            told = flags[block.asked(self.at - 1, context_length(m - 1), self.bits)[1]]
+            own, choice = block.train[self.at], told % GROW
+            weight = np.array([0.0, *self.weights])[choice]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                self.kept = np.where(choice > 0, (self.seen + weight * self.kept) / (self.n + weight), self.kept)
+                self.apart = np.where(choice > 0, (self.seen - own + weight * self.apart) / (self.n - own + weight), self.apart)
+            go &= told >= GROW
         count = np.full(len(block.symbols), -1, np.int64)
         if len(self.asked):
-            count[self.asked] = counts[block.asked(self.asked, m, self.bits)[1]]
-        self.at, self.whole, self.apart, self.chance, self.held, self.seen = (x[go] for x in (self.at, self.whole, self.apart, self.chance, self.held, self.seen))
+            count[self.asked] = counts[block.asked(self.asked, length + 1, self.bits)[1]]
+        if len(self.asked_contexts):
+            of = np.zeros(len(block.symbols), np.int64)
+            of[self.asked_contexts] = contexts[block.asked(self.asked_contexts, length, self.bits)[1]]
+            self.held = of[self.at - 1]
+            go &= self.held >= self.least_count
+        self._keep(go)
         own = block.train[self.at].astype(np.int64)
-        self.seen = np.where(self.seen >= self._need(), count[self.at], own)
-        before, self.n = self.apart, self.held
-        self.apart = (self.seen - own + self.smoothing * before) / (self.n - own + self.smoothing)
-        self.whole = (self.seen + self.smoothing * self.whole) / (self.n + self.smoothing)
-        self.gain = np.where(own > 0, np.log(self.apart / before), 0.0)
+        self.seen = np.where(self._alive(), count[self.at], own)
+        self.n = self.held
+        chances = [(self.seen - own + w * self.apart) / (self.n - own + w) for w in self.weights]
+        self.gain = [np.where(own > 0, np.log(c / self.apart), 0.0) for c in chances]
         # What is left to gain, as a share of what there must be for the context to grow.
-        self.left = np.where(own & (self.seen > own), -np.log(self.apart), 0.0) / np.maximum(self.cutoff, self.least_left * self.n)
-        self._look_ahead(m, count)
+        self.left = np.where((own > 0) & (self.seen > own), -np.log(chances[0]), 0.0) / np.maximum(self.cutoff, self.least_left * self.n)
+        self._look_ahead(m, count if context_length(m + 1) == length + 1 else None)
 
     def gains(self, m: int, name: int, buckets: int) -> list[tuple]:
-        keys, back = self.block.asked(self.at - 1, m - 1, self.bits)
+        length = context_length(m)
+        keys, back = self.block.asked(self.at - 1, length, self.bits)
         total = lambda x: np.bincount(back, x, len(keys))
-        return _split(GAIN, m - 1, name, keys, self.bits, buckets, (total(self.gain), _halves), (total(self.left), _halves)) if len(keys) else []
+        gains = np.stack([total(g) for g in self.gain], axis=1)  # a row for each context, which is what is cut into ranges
+        return _split(GAIN, length, name, keys, self.bits, buckets, (gains, lambda x: _halves(x.T)), (total(self.left), _halves)) if len(keys) else []
 
     def asks(self, m: int, name: int, buckets: int) -> list[tuple]:
-        keys, back = self.block.asked(self.asked, m + 1, self.bits)
-        counts = np.bincount(back, self.block.train[self.asked], len(keys)).astype(np.uint64)
-        return _split(ASK, m + 1, name, keys, self.bits, buckets, (counts, _packed)) if len(keys) else []
+        rows, length = [], context_length(m + 1)
+        for places, size in ((self.asked, length + 1), (self.asked_contexts, length)):
+            keys, back = self.block.asked(places, size, self.bits)
+            counts = np.bincount(back, self.block.train[places], len(keys)).astype(np.uint64)
+            rows += _split(ASK, size, name, keys, self.bits, buckets, (counts, _packed)) if len(keys) else []
+        return rows
 
     def save(self) -> bytes:
-        chances = [x.astype(np.float32) for x in (self.whole, self.apart, self.chance)]
-        return _squeeze(pickle.dumps((pack_sorted(self.at), pack_sorted(self.asked), pack(self.held), pack(self.seen), chances, self.scores), protocol=5))
+        numbers = [pack_sorted(getattr(self, x)) for x in self.PLACES] + [pack(getattr(self, x)) for x in self.NUMBERS]
+        return _squeeze(pickle.dumps((numbers, [getattr(self, x).astype(np.float32) for x in self.CHANCES], self.scores), protocol=5))
 
     def load(self, data: bytes) -> None:
-        at, asked, held, seen, chances, self.scores = pickle.loads(_release(data))
-        self.at, self.asked = (unpack_sorted(x).astype(np.int64) for x in (at, asked))
-        self.held, self.seen = (unpack(x).astype(np.int64) for x in (held, seen))
-        self.whole, self.apart, self.chance = (x.astype(np.float64) for x in chances)
+        numbers, chances, self.scores = pickle.loads(_release(data))
+        for name, x in zip((*self.PLACES, *self.NUMBERS), numbers):
+            setattr(self, name, (unpack_sorted(x) if name in self.PLACES else unpack(x)).astype(np.int64))
+        for name, x in zip(self.CHANCES, chances):
+            setattr(self, name, x.astype(np.float64))
+
+    def shrink(self) -> tuple[bytes, list[tuple[int, float]]]:
+        """Go on with the documents that have a token left. Returns these as a block's data, and the
+        (doc, score) of the others, docs by their numbers in the block."""
+        block, open_ = self.block, np.zeros(len(self.block.sizes), bool)
+        open_[block.doc[self.at]] = True
+        ended = [(block.doc_ids[d], float(self.scores[d])) for d in np.flatnonzero(~open_)]
+        inside = open_[block.doc]
+        place = np.cumsum(inside) - 1
+        words = block.symbols[inside & (block.symbols > END)]
+        numbers, of = np.unique(words, return_inverse=True)
+        ids = [block.doc_ids[d] for d in np.flatnonzero(open_)]
+        rows = (ids, block.doc_train[open_], block.sizes[open_] - 1, np.append(block.hashes[:2], block.hashes[numbers]), pack(of + 2))
+        for name in self.PLACES:
+            setattr(self, name, place[getattr(self, name)])
+        self.scores = self.scores[open_]
+        return _squeeze(pickle.dumps(rows, protocol=5)), ended
 
 
 def _told(parts: pd.DataFrame, kind: int, length: int) -> np.ndarray:
@@ -260,7 +316,8 @@ def _told(parts: pd.DataFrame, kind: int, length: int) -> np.ndarray:
 
 
 def suffix_tree_scores(
-    docs: DataFrame, train, smoothing: float = 1.0, least_count: int = 2, cutoff: float = 2.0, least_left: float = 0.05, max_depth: int | None = None
+    docs: DataFrame, train, weights: tuple[float, ...] = (1.0, 8.0, 64.0), least_count: int = 2, cutoff: float = 2.0, least_left: float = 0.25,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -270,7 +327,8 @@ def suffix_tree_scores(
     n_known counts tokens seen in training, train_tokens all of the training tokens. A null,
     empty or blank text is its end alone. Rows that repeat are scored, and learned from, each
     for itself. Without training rows both scores are 0 (the end, or any word, is all there is
-    to expect). Other columns are ignored. Contexts have any length unless `max_depth` is given.
+    to expect). Other columns are ignored. Contexts have any of the
+    lengths above, up to `max_depth` words if it is given.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
     blocks = _in_blocks(source)
@@ -281,7 +339,7 @@ def suffix_tree_scores(
     answers = f"{_SENT}, types long, tokens long"
 
     def growth(block: _Block) -> _Growth:
-        return _Growth(block, bits, smoothing, least_count, cutoff, least_left, depth)
+        return _Growth(block, bits, weights, least_count, cutoff, least_left, depth)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -293,7 +351,7 @@ def suffix_tree_scores(
                 yield pd.DataFrame(_split(ASK, 1, name, keys, 64, buckets, (counts, _packed)), columns=_NAMES)
 
     def answered(sent: DataFrame, m: int) -> DataFrame:
-        return cut(sent.groupBy("kind", "length", "key").applyInPandas(lambda key, cells: _answer(key, cells, cutoff), answers), f"lm-round-{m}")
+        return cut(sent.groupBy("kind", "length", "key").applyInPandas(lambda key, cells: _answer(key, cells, cutoff, len(weights)), answers), f"lm-round-{m}")
 
     def over(told: DataFrame, run, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, schema)
@@ -302,31 +360,58 @@ def suffix_tree_scores(
     totals = rounds[0].select("key", "types", "tokens").distinct().agg(F.sum("types"), F.sum("tokens")).first()
     types, tokens = totals[0] or 0, totals[1] or 0
 
-    def step(own: pd.DataFrame, parts: pd.DataFrame, m: int) -> pd.DataFrame:
-        block, name = _Block(own["docs"].iloc[0]), int(own["block"].iloc[0])
+    def step(own: pd.DataFrame | None, parts: pd.DataFrame, m: int) -> pd.DataFrame:
+        held = parts[parts["kind"] == STATE]
+        data = held["two"].iloc[0] if m > SMALL else own["docs"].iloc[0]
+        block, name = _Block(data), int((held if m > SMALL else own)["block"].iloc[0])
         grown = growth(block)
         if m > FULL:
-            grown.load(parts.loc[parts["kind"] == STATE, "one"].iloc[0])
+            grown.load(held["one"].iloc[0])
         else:
             grown.begin(_told(parts, COUNTS, 1), types, tokens)
         for k in range(m if m > FULL else 2, m + 1):
-            grown.advance(k, _told(parts, COUNTS, k), _told(parts, FLAGS, k - 2) if k > 2 else None)
+            length = context_length(k)
+            flags = _told(parts, FLAGS, context_length(k - 1)) if k > 2 else None
+            grown.advance(k, _told(parts, COUNTS, length + 1), _told(parts, COUNTS, length), flags)
         rows = grown.asks(m, name, buckets) + (grown.gains(m, name, buckets) if m > 1 else [])
-        if m >= FULL:
-            rows.append((STATE, 0, name % buckets, name, grown.save(), b"", b""))
+        if m >= SMALL:
+            if m == SMALL:
+                block.doc_ids = list(range(len(block.sizes)))
+            data, ended = grown.shrink()
+            if ended:
+                rows.append((SCORES, m, name % buckets, name, _squeeze(pickle.dumps(ended)), b"", b""))
+            if len(grown.at):
+                rows.append((STATE, m, name % buckets, name, grown.save(), data, b""))
+        elif m >= FULL:
+            rows.append((STATE, m, name % buckets, name, grown.save(), b"", b""))
         return pd.DataFrame(rows, columns=_NAMES)
 
+    def carried_on(m: int):
+        def run(parts: pd.DataFrame) -> pd.DataFrame:
+            return step(None, parts, m)
+
+        return run
+
+    def with_blocks(m: int):
+        def run(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            return step(own, parts, m)
+
+        return run
+
     m = 1
-    while m <= FULL or not rounds[-1].where(F.col("kind") == FLAGS).isEmpty():
+    while m <= SMALL or not rounds[-1].where(F.col("kind") == STATE).isEmpty():
         told = rounds[-1]
         if m <= FULL:
             for other in rounds[:-1]:
                 told = told.unionByName(other)
-        done = answered(over(told, partial(step, m=m), _SENT), m + 1)
-        if m > FULL:
-            free(rounds.pop())
-        rounds.append(done)
+        if m <= SMALL:
+            sent = over(told, with_blocks(m), _SENT)
+        else:
+            sent = told.where(F.col("kind") != SCORES).groupBy("block").applyInPandas(carried_on(m), _SENT)
+        rounds.append(answered(sent, m + 1))
         m += 1
+        if FULL + 1 < m <= SMALL + 1:
+            free(rounds.pop(-2))
 
     def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         block = _Block(own["docs"].iloc[0])
@@ -335,15 +420,18 @@ def suffix_tree_scores(
         doc = block.doc[grown.at]
         total = lambda x: np.bincount(doc, x, len(block.sizes))
         known, base = total(grown.seen > 0), total(np.log10(grown.root))
-        grown.load(parts.loc[parts["kind"] == STATE, "one"].iloc[0])
+        ended = [e for data in parts.loc[parts["kind"] == SCORES, "one"] for e in pickle.loads(_release(data))]
+        scores = np.zeros(len(block.sizes))
+        scores[[d for d, _ in ended]] = [x for _, x in ended]
         return pd.DataFrame({
             "doc_id": pd.array(block.doc_ids, dtype="Int64"), "train": block.doc_train, "n_tokens": block.sizes,
-            "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": grown.scores,
+            "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": scores,
         })
 
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = rounds[0].unionByName(rounds[-1].where(F.col("kind") == STATE))
-    free(*rounds[1:-1])
+    told = rounds[0]
+    for other in rounds[1:]:
+        told = told.unionByName(other.where(F.col("kind") == SCORES))
     return over(told, score, schema)
 
 

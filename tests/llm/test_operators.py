@@ -239,7 +239,8 @@ def test_lm_score(docs, none):
     assert set(untaught.values()) == {(0, 0.0, 0.0)}
 
 
-def test_suffix_dedup(docs, none):
+@pytest.mark.parametrize("crowd", [1, suffix_dedup.CROWD])
+def test_suffix_dedup(docs, none, crowd):
     seen, want = {}, {}
     for i, text in enumerate(TEXTS):
         data = (text or "").encode()
@@ -249,7 +250,7 @@ def test_suffix_dedup(docs, none):
                 gone[at : at + 50] = [True] * 50
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want[i * 3] = (len(data), sum(gone), bytes(b for b, g in zip(data, gone) if not g), spans)
-    found = suffix_dedup.dedup_substrings(docs)
+    found = suffix_dedup.dedup_substrings(docs, crowd)
     got = {k: (*v[:2], bytes(v[2]), len(v[3])) for k, v in by_id(found, "doc_id", "n_bytes", "n_removed", "kept", "starts").items()}
     assert got == want and sum(w[1] for w in want.values()) > 1000
     assert suffix_dedup.dedup_substrings(none).count() == 0
@@ -308,7 +309,7 @@ def test_stages_judge_rows(spark, tmp_path):
     assert not any(item in r["text"] for r in out)
 
 
-def suffix_tree_by_hand(docs, smoothing=1.0, least_count=2, cutoff=2.0, least_left=0.05, max_depth=None):
+def suffix_tree_by_hand(docs, weights=(1.0, 8.0, 64.0), least_count=2, cutoff=2.0, least_left=0.25, max_depth=None):
     """The score of every (tokens, train) by plain dictionaries."""
     rows = [(["<s>", *tokens, "</s>"], known) for tokens, known in docs]
     ones = Counter(w for r, known in rows if known for w in r[1:])
@@ -317,8 +318,10 @@ def suffix_tree_by_hand(docs, smoothing=1.0, least_count=2, cutoff=2.0, least_le
     root = lambda w, own: max(ones[w] - own + 0.1, 0.1) / max(total - own + 0.1 * (types + 1), 0.1)
     whole = {(d, i): root(rows[d][0][i], 0) for d, i in places}
     apart = {(d, i): root(rows[d][0][i], int(rows[d][1])) for d, i in places}
-    chance, open_, k = dict(whole), set(places), 1
-    while open_ and (max_depth is None or k <= max_depth):
+    open_ = set(places)
+    for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32):
+        if max_depth is not None and k > max_depth:
+            break
         context = {(d, i): tuple(rows[d][0][i - k : i]) for d, i in open_ if i >= k}
         n, g = Counter(), Counter()
         for r, known in rows:
@@ -326,23 +329,22 @@ def suffix_tree_by_hand(docs, smoothing=1.0, least_count=2, cutoff=2.0, least_le
                 n[tuple(r[i - k : i])] += 1
                 g[tuple(r[i - k : i + 1])] += 1
         open_ = {x for x in context if n[context[x]] >= least_count}
-        gain, left = Counter(), Counter()
-        for d, i in open_:
-            own, s = int(rows[d][1]), context[d, i]
-            seen = g[(*s, rows[d][0][i])]
-            new = (seen - own + smoothing * apart[d, i]) / (n[s] - own + smoothing)
-            whole[d, i] = (seen + smoothing * whole[d, i]) / (n[s] + smoothing)
-            gain[s] += own * math.log(new / apart[d, i])
-            left[s] += own * (seen > 1) * -math.log(new) / max(cutoff, least_left * n[s])
-            apart[d, i] = new
+        gain, left = {w: Counter() for w in weights}, Counter()
+        seen = {(d, i): g[(*context[d, i], rows[d][0][i])] for d, i in open_}
+        mixed = lambda x, w, own, p: (seen[x] - own + w * p[x]) / (n[context[x]] - own + w)  # noqa: B023, E731
         for x in open_:
-            if round(gain[context[x]], 2) >= cutoff:
-                chance[x] = whole[x]
+            own, s = int(rows[x[0]][1]), context[x]
+            for w in weights:
+                gain[w][s] += own * math.log(mixed(x, w, own, apart) / apart[x])
+            left[s] += own * (seen[x] > 1) * -math.log(mixed(x, weights[0], own, apart)) / max(cutoff, least_left * n[s])
+        for x in open_:
+            best = max(weights, key=lambda w: (round(gain[w][context[x]], 2), -w))  # noqa: B023
+            if round(gain[best][context[x]], 2) >= cutoff:
+                whole[x], apart[x] = mixed(x, best, 0, whole), mixed(x, best, int(rows[x[0]][1]), apart)
         open_ = {x for x in open_ if round(left[context[x]], 2) >= 1}
-        k += 1
     scores = [0.0] * len(rows)
-    for (d, _), c in chance.items():
-        scores[d] += math.log10(c)
+    for (d, _), chance in whole.items():
+        scores[d] += math.log10(chance)
     return scores
 
 
