@@ -8,6 +8,8 @@ strings make alike. Sampled suffixes, with a hash of the 26 bytes before and the
 their start, are sorted by ranges of hashes in tasks of their own (Spark keeps what waits on
 disk). Where that neighbourhood stands in an earlier document too, all strings over it do;
 where it stands there in part, the neighbourhoods themselves are compared, 50 bytes at a time.
+A gram that many neighbourhoods share, as at the edges of a passage that a source repeats, would
+fill a task with these; its strings are spread over tasks by their own hashes instead.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.blocks import documents_of, in_blocks
-from sparkquarry.llm.shared import cut, table
+from sparkquarry.llm.shared import cut, free, table
 from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted
 
 LENGTH, GRAM = 50, 24
@@ -34,7 +36,8 @@ OUTSIDE = 256  # stands for what is before or after a document
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CODES = mix(np.arange(1, 258, dtype=np.uint64) * _PRIME)
 
-SAMPLES, COVERED, WANTED = 0, 1, 2
+SAMPLES, COVERED, WANTED, CROWDED = 0, 1, 2, 3
+CROWD = 2_000  # neighbourhoods of one gram, from which on they are spread over tasks by the strings in them
 _SENT = "kind int, key int, block long, one binary, two binary, three binary"
 _NAMES = [part.split()[0] for part in _SENT.split(", ")]
 
@@ -128,9 +131,10 @@ def _send(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFram
             yield pd.DataFrame(rows, columns=_NAMES)
 
 
-def _judge(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+def _judge(key: tuple, cells: pd.DataFrame, crowd: int) -> pd.DataFrame:
     """Flags of each block's classes: COVERED if their neighbourhood stands in an earlier document,
-    WANTED if only their gram stands elsewhere in another neighbourhood, else 0."""
+    WANTED if only their gram stands elsewhere in another neighbourhood, CROWDED if in more than
+    `crowd` of them, else 0."""
     full = [len(c) > 1 for c in cells["one"]]
     none = np.zeros(0, np.uint64)
     keys = [unpack_sorted(c) if f else none for c, f in zip(cells["one"], full)]
@@ -146,9 +150,9 @@ def _judge(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         new = new_key | np.append(True, around[1:] != around[:-1])
         group, start = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
         lowest, highest = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
-        several = ((lowest != highest) & (np.bincount(group, new) > 1))[group]
+        others = np.where(lowest != highest, np.bincount(group, new), 0)[group]
         class_least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        flags[order] = np.where(docs > class_least, COVERED, np.where(several, WANTED, 0))
+        flags[order] = np.where(docs > class_least, COVERED, np.where(others > crowd, CROWDED, np.where(others > 1, WANTED, 0)))
     return pd.DataFrame({"kind": SAMPLES, "key": key[0], "block": cells["block"], "one": [f.tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])], "two": b"", "three": b""})
 
 
@@ -169,11 +173,57 @@ def _follow(own: pd.DataFrame, flags: pd.DataFrame, buckets: int) -> pd.DataFram
             around = block.codes[at[:, None] + np.arange(-REACH, LENGTH)]
             meta = np.stack([keys[part], block.docs[wanted[part]].view(np.uint64), at.astype(np.uint64)])
             rows.append((WANTED, key, name, (around & 0xFF).astype(np.uint8).tobytes(), np.packbits(around == OUTSIDE).tobytes(), meta.tobytes()))
+    return pd.DataFrame(rows + _strings(block, int(name), np.flatnonzero((flag_of == CROWDED) & block.earliest), buckets), columns=_NAMES)
+
+
+def _strings(block: _Bytes, name: int, which: np.ndarray, buckets: int) -> list[tuple]:
+    """The strings over these sampled suffixes, by ranges of their hashes; those that an earlier
+    document of the block holds are told at once."""
+    if not len(which):
+        return []
+    starts = np.unique(block.at[which][:, None] + np.arange(-REACH, 1))
+    outside = np.append(0, np.cumsum(block.codes == OUTSIDE))
+    starts = starts[(starts >= 0) & (outside[np.minimum(starts + LENGTH, len(block.codes))] == outside[np.maximum(starts, 0)])]
+    whole = hashes(block.codes, LENGTH)[starts]
+    numbers = np.array([0 if d is None else d for d in block.doc_ids], np.int64)
+    docs = numbers[np.searchsorted(block.first, starts, side="right") - 1]
+    order = np.lexsort((docs, whole))
+    starts, whole, docs = starts[order], whole[order], docs[order]
+    first = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+    least = np.repeat(docs[first], np.diff(np.append(first, len(whole))))
+    rows, later = [], np.sort(starts[docs > least]).astype(np.uint64)
+    if len(later):
+        rows.append((COVERED, name % buckets, name, b"", pack_sorted(later), b""))
+    starts, whole, docs = (x[docs == least] for x in (starts, whole, docs))
+    cuts = np.searchsorted(whole, np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length()))
+    for key, part in enumerate(np.split(np.arange(len(whole)), cuts)):
+        if len(part):
+            rows.append((CROWDED, key, name, pack_sorted(whole[part]), pack(_zigzag(docs[part])), starts[part].astype(np.uint64).tobytes()))
+    return rows
+
+
+def _compare_strings(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """For strings of one range of hashes: where each block has some that an earlier document holds."""
+    whole = [unpack_sorted(c) for c in cells["one"]]
+    docs = [_unzigzag(unpack(c)) for c in cells["two"]]
+    every, owner = np.concatenate(whole), np.concatenate(docs)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+    least = np.empty(len(every), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, len(every))))
+    rows, at = [], 0
+    for block, own, starts in zip(cells["block"], docs, cells["three"]):
+        hit = least[at : at + len(own)] < own
+        at += len(own)
+        if hit.any():
+            rows.append((WANTED, key[1], block, pack_sorted(np.sort(np.frombuffer(starts, np.uint64)[hit])), b"", b""))
     return pd.DataFrame(rows, columns=_NAMES)
 
 
 def _compare(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
     """For every wanted suffix, which of the strings around it also start in an earlier document."""
+    if key[0] == CROWDED:
+        return _compare_strings(key, cells)
     if key[0] != WANTED:
         return cells
     metas = [np.frombuffer(m, np.uint64).reshape(3, -1) for m in cells["three"]]
@@ -222,13 +272,13 @@ def _cut_out(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     """Every document of a block without the bytes that earlier documents hold."""
     block = _Bytes(own["docs"].iloc[0])
     change = np.zeros(len(block.codes) + 1, np.int32)
-    for kind, data in zip(parts["kind"], parts["one"]):
-        if not data:
-            continue
-        at = unpack_sorted(data).astype(np.int64)
-        # A covered suffix covers its neighbourhood; a string that was found covers its 50 bytes.
-        np.add.at(change, at - REACH if kind == COVERED else at, 1)
-        np.add.at(change, at + LENGTH, -1)
+    covered = [d for k, d in zip(parts["kind"], parts["one"]) if k == COVERED]
+    found = [d for k, d in zip(parts["kind"], parts["one"]) if k == WANTED] + list(parts["two"])
+    # A covered suffix covers its neighbourhood; a string that was found covers its 50 bytes.
+    for before, told in ((REACH, covered), (0, found)):
+        for at in (unpack_sorted(d).astype(np.int64) for d in told if d):
+            np.add.at(change, at - before, 1)
+            np.add.at(change, at + LENGTH, -1)
     gone = (np.cumsum(change[:-1]) > 0) & (block.codes != OUTSIDE)
     rows = []
     for doc_id, first, size in zip(block.doc_ids, block.first, block.sizes):
@@ -239,7 +289,7 @@ def _cut_out(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "kept", "starts", "stops"]).astype({"doc_id": "Int64"})
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (binary), starts and stops (of the removed runs) of every row.
 
     A byte is removed if it lies in a string of 50 bytes of its document (as UTF-8) that also
@@ -253,9 +303,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(chars / 14 / PER_RANGE + 1)))
     sent = blocks.mapInPandas(lambda b: _send(b, buckets), _SENT)
-    flags = cut(sent.groupBy("key").applyInPandas(_judge, _SENT), "suffix-flags")
+    flags = cut(sent.groupBy("key").applyInPandas(lambda key, cells: _judge(key, cells, crowd), _SENT), "suffix-flags")
     asked = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(lambda own, f: _follow(own, f, buckets), _SENT)
     runs = cut(asked.groupBy("kind", "key").applyInPandas(_compare, _SENT), "suffix-runs")
+    free(flags)
     schema = "doc_id long, n_bytes long, n_removed long, kept binary, starts array<long>, stops array<long>"
     return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInPandas(_cut_out, schema)
 
