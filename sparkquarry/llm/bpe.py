@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from sparkquarry.llm.shared import table
 
 #: About so much memory a Python worker spends on words whose ids it keeps; then it starts afresh.
-CACHED_BYTES, WORD_BYTES = 64_000_000, 160
+CACHED_BYTES, WORD_BYTES = 32_000_000, 160
 SLICE_CHARS = 500_000
 SURROGATES = range(0xD800, 0xE000)
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hashes a Python worker keeps; then it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 150_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
