@@ -103,28 +103,28 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, per_language: int = 300, family_count: int | None = None, dims: int = DIMS) -> LanguageModel:
-    """Fit on at most `per_language` texts of each language, chosen by a hash of the text.
+    """Fit on at most `per_language` different texts of each language, chosen by a hash of the text.
 
     That bound (and so what reaches the driver) holds at every corpus size. `labelled` has
     text and lang; rows without either, or without a letter, teach nothing. Families are the
     nearest groups of language centroids; by default there are as many as the square root
     of the number of languages, rounded up.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    rates = rows.groupBy("lang").agg(F.count("*").alias("n")).select(
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("_hash"))
+    rates = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).select(
         "lang", F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")).alias("rate")
     )
     rates = {r["lang"]: r["rate"] for r in rates.collect()}  # one row per language
     if not rates:
         return LanguageModel([], np.zeros((0, dims + 1), np.float32), {})
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    place = F.pmod("_hash", F.lit(1 << 20))
     chosen = F.lit(False)
     for name, rate in sorted(rates.items()):
         chosen = chosen | ((F.col("lang") == name) & (place < F.lit(int(rate * (1 << 20)) + 1)))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = (
-        rows.where(chosen).withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= per_language)
-    )  # of 1.5 times the bound at most
+    # Copies of a text have one hash and are one row before they are shuffled, however many they are.
+    distinct = rows.where(chosen).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy("_hash")
+    sample = distinct.withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= per_language)  # of about 1.5 times the bound
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letter = _letters()
@@ -192,7 +192,12 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language; the model learns from all documents."""
+    """Keep documents in a language: those of which the text has a letter.
+
+    The model learns from the labelled documents of the input table that aren't held out; it
+    gives every text with letters some learned language, so what the stage rejects are null,
+    empty and letterless texts (and all, if there is nothing to learn from).
+    """
     model = train_on_documents(table(spark, sf_dir, "documents"))
     out = identify(docs, model)
     return out.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)

@@ -176,7 +176,8 @@ def read_token_files(segments: DataFrame, with_ids: bool = True) -> DataFrame:
     # A row per shard, of which there are as many as the writer had tasks.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
-    placed = segments.join(offsets, F.col("shard") == F.col("_shard")).select((F.col("_before") + F.col("shard_start")).alias("start"), "doc_ids", "lengths", "codes")
+    # A row a shard, as many as the writer had tasks: bounded, so the codes needn't move.
+    placed = segments.join(F.broadcast(offsets), F.col("shard") == F.col("_shard")).select((F.col("_before") + F.col("shard_start")).alias("start"), "doc_ids", "lengths", "codes")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,6 +197,30 @@ def read_token_files(segments: DataFrame, with_ids: bool = True) -> DataFrame:
     return placed.mapInPandas(read, schema)
 
 
+def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, token) of the tokens that `wanted` (doc_id, at: from 0, the end id included) asks for.
+
+    Codes are addressed one by one: of a segment that holds wanted tokens nothing but these is
+    decoded, and other segments don't move. Tokens that don't exist are left out, nulls match
+    nothing; of rows that repeat a doc_id each answers.
+    """
+    at = wanted.where("doc_id IS NOT NULL AND at >= 0").select("doc_id", F.col("at").cast("long").alias("at")).distinct()
+    held = segments.select("shard", "segment", F.posexplode("doc_ids").alias("place", "_doc"), "lengths")
+    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x)
+    met = held.join(at, F.col("_doc") == F.col("doc_id")).where(F.get("lengths", F.col("place")) > F.col("at"))
+    asked = met.select(F.col("shard").alias("_shard"), F.col("segment").alias("_segment"), "doc_id", "at", (start + F.col("at")).alias("position"))
+    asked = asked.groupBy("_shard", "_segment").agg(F.collect_list(F.struct("doc_id", "at", "position")).alias("asked"))
+    rows = segments.select("shard", "segment", "codes").join(asked, (F.col("shard") == F.col("_shard")) & (F.col("segment") == F.col("_segment")))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, places in zip(batch["codes"], batch["asked"]):
+                codes = Codes(data)
+                yield pd.DataFrame([(p["doc_id"], p["at"], codes[p["position"]]) for p in places], columns=["doc_id", "at", "token"])
+
+    return rows.select("codes", "asked").mapInPandas(read, "doc_id long, at long, token long")
+
+
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -169,6 +169,11 @@ def test_token_files(docs, none):
             ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
             assert got[i * 3] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
             start += len(ids)
+        segments = token_files.write_token_files(docs, path, segment_ids=size)
+        places = [(i * 3, at) for i in range(len(TEXTS)) for at in (0, 1, 7, got[i * 3][1] - 1, got[i * 3][1])] + [(None, 0), (1, 0)]
+        found = token_files.tokens_at(segments, docs.sparkSession.createDataFrame(places, "doc_id long, at int"))
+        want = {(d, at): got[d][3][at] for d, at in places if d in got and at < got[d][1]}
+        assert {(r["doc_id"], r["at"]): r["token"] for r in found.collect()} == want
     assert token_files.read_token_files(token_files.write_token_files(none, path)).count() == 0
     numbers = np.array([0, 255, 256, 65535, 65536, 2**32 - 1] * 300, np.uint32)
     codes = token_files.Codes(token_files.pack(numbers))
@@ -376,3 +381,67 @@ def test_lm_score_long_contexts(spark):
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, known boolean")
     got = by_id(lm_score.suffix_tree_scores(docs, F.col("known")), "doc_id", "score")
     assert got[60][0] > got[61][0] + 0.5
+
+
+def test_columns_of_any_name_pass_through_line_dedup(spark):
+    """The operator's own names, clashing; repeated and missing ids; three documents to make a line common."""
+    line, other = "a line that is long enough", "another line of some length"
+    rows = [(1, line, 7, 8, 9, 10, 11), (1, line + "\n" + other, 7, 8, 9, 10, 11), (2, other + "\n" + line, 7, 8, 9, 10, 11), (3, line, 7, 8, 9, 10, 11), (None, line, 7, 8, 9, 10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _th int, _doc int, _text int, _dropped int, _row int")
+    found = sorted(tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped", "_th", "_doc", "_text", "_dropped", "_row").collect() if r[0])
+    assert found == [(1, line, 0, 7, 8, 9, 10, 11), (1, line + "\n" + other, 0, 7, 8, 9, 10, 11), (2, "", 2, 7, 8, 9, 10, 11), (3, "", 1, 7, 8, 9, 10, 11)]
+    three = {(r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, min_docs=3).collect()}
+    assert three == {(1, 0), (2, 1), (3, 1), (None, 0)}
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "\n".join(f"line number {i}" for i in range(60_000))), (2, "\n".join(f"line number {i}" for i in range(0, 60_000, 2)))], "doc_id long, text string")
+    began = time.time()
+    assert sorted(r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()) == [0, 30_000]
+    assert time.time() - began < 60
+
+
+def test_bpe_knows_the_library_s_letters(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    own = random.Random(2)
+    texts = ["\ua7cb x", "\u1c89\u1c8a", "\U00010d50 a", "\U00011935\U00011930", "e\u0301\u0344"]
+    texts += ["".join(chr(c) + " " * (own.random() < 0.2) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000) for low in range(0x80, 0x1F000, 64)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(bpe.encode_decode(docs, path), "doc_id", "ids")
+    assert [got[i][0] for i in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_fingerprints_within_the_radius_are_found():
+    own = np.random.default_rng(0)
+    items = own.integers(0, 256, (300, 16), dtype=np.uint8)
+    queries = []
+    for bits in (0, 5, 20, decontaminate.RADIUS):
+        for item in items[:50]:
+            flipped = np.unpackbits(item)
+            flipped[own.choice(128, bits, replace=False)] ^= 1
+            queries.append(np.packbits(flipped))
+    index = decontaminate.BlockIndex(items)
+    rows, found = index.within(np.stack(queries))
+    assert {(i, i % 50) for i in range(200)} <= set(zip(rows.tolist(), found.tolist()))
+    rows, _ = index.near(own.integers(0, 256, (1000, 16), dtype=np.uint8))
+    assert len(rows) < 0.12 * 1000 * 300
+
+
+def test_language_sample_takes_different_texts(spark):
+    rows = [("aa", "etaoin shrdlu")] * 500 + [("aa", f"etaoin {i}") for i in range(30)] + [("bb", "äöü ß")]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), per_language=5)
+    assert {m for f in model.families for m in f} == {"aa", "bb"}
+
+
+def test_components_of_chains_and_stars(spark):
+    from sparkquarry.llm.components import components as of
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    got = {r["node"]: r["label"] for r in of(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {200: 200, 201: 200}
+    assert of(spark.createDataFrame([], "a long, b long")).count() == 0
