@@ -154,6 +154,58 @@ def contact_block(name: Column, title: Column, link: Column, source: Column, not
     return F.array_join(F.array_compact(lines), "\n")
 
 
+def number(value: Column, other: float = 0.0) -> Column:
+    """A text as a number: an empty one is 0, what isn't a number is `other`, and so is null."""
+    text = js.trim(value)
+    found = F.when(text == "", 0.0).otherwise(F.when(js.test(text, r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"), text.cast("double")))
+    return F.when(value.isNull(), other).otherwise(F.coalesce(found, F.lit(other)))
+
+
+#: The columns of the flat file.
+FLAT_COLUMNS = (
+    "record_type", "company", "name", "title_or_type", "address", "city", "province", "postal_code", "phone", "fax", "email", "linkedin_url", "source_url", "notes",
+)
+
+
+def flattened(results: DataFrame) -> DataFrame:
+    """A row of FLAT_COLUMNS for every facility and every contact of `results` (company, facilities, contacts:
+    arrays of structs with some of these columns, `facility_type`, `title` or `role_match`). What is missing is empty."""
+
+    def rows(kind: str, column: str, renamed: dict[str, tuple[str, ...]]) -> DataFrame:
+        each = results.select("company", F.explode(column).alias("r"))
+        known = {f.name for f in each.schema["r"].dataType.fields}
+        text = lambda *names: n.first_of(*[F.coalesce(F.col(f"r.{x}").cast("string"), F.lit("")) for x in names if x in known], F.lit(""))
+        fixed = {"record_type": F.lit(kind), "company": F.coalesce("company", F.lit(""))}
+        return each.select(*[fixed.get(c, text(*renamed.get(c, (c,)))).alias(c) for c in FLAT_COLUMNS])
+
+    contact = {c: () for c in ("address", "city", "province", "postal_code", "fax")}
+    facility = {"title_or_type": ("facility_type",), "linkedin_url": ()}
+    return rows("facility", "facilities", facility).unionByName(rows("contact", "contacts", contact | {"title_or_type": ("title", "role_match")}))
+
+
+def intelligence(verdict: Column, company: Column, products: Column, equipment: Column, website: Column, source_url: Column, city: Column) -> Column:
+    """What is known of a lead: a verifier's `verdict` (see gates.verify_plant) put together with what enrichment
+    found (lists, which come first). Contacts are found later, so there are none and the stage says so."""
+    none = F.array().cast("array<string>")
+    merged = lambda found, field: n.distinct_in_order(F.transform(F.concat(F.coalesce(found, none), F.coalesce(verdict[field], none)), js.clean))
+    made = F.array_join(merged(products, "end_products"), ", ")
+    facility, stage = verdict["facility"], lead_stage(F.lit(False), made != "")
+    lines = F.when(facility.isNotNull(), F.array(facility_line(facility["name"], facility["address"], facility["phone"], F.lit(""), facility["source_url"]))).otherwise(none)
+    tools = merged(equipment, "likely_equipment")
+    proof = F.when(F.coalesce(verdict["evidence"], F.lit("")) != "", F.array(F.concat_ws(" | ", js.clean(verdict["evidence"]), F.nullif(js.clean(source_url), F.lit(""))))).otherwise(none)
+    return F.struct(
+        js.clean(company).alias("company"), js.clean(website).alias("website"), js.clean(city).alias("city"), n.first_of(made, F.lit("Not confidently confirmed from public pages yet.")).alias("products"),
+        tools.alias("equipment"), stage.alias("stage"), F.array_join(lead_tags(F.lit(False), F.lit(False), made != "", stage), " | ").alias("tags"),
+        lead_notes(js.clean(company), lines, made, tools, none, proof).alias("notes"),
+    )
+
+
+def packet(text: Column, first: Column, urls: Column, most: int = 24) -> Column:
+    """An evidence packet: snippets that come first, then a text's telling sentences, each once, `most` at most; and its addresses, each once."""
+    told = n.distinct_in_order(F.concat(F.transform(first, js.clean), evidence(text, 10)))
+    return F.struct(F.slice(told, 1, most).alias("snippets"), n.distinct_in_order(F.transform(urls, js.clean)).alias("urls"))
+
+
 def evidence(text: Column, most: int = 12) -> Column:
     """The first sentences of thirty letters or more that tell of a plant, each once."""
     sentences = F.transform(js.split(js.sub(text, r"\s+", " "), r"(?<=[.!?])\s+"), js.clean)

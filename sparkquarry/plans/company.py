@@ -241,7 +241,7 @@ SELECT id, company, s AS stage, array_to_string(list_filter(t, lambda x, i: list
 def saved_leads(table):
     """Saved leads with stage and tags worked out anew; those without a plant are gone."""
     lead = rec.saved_lead(F.col("company"), F.col("stage"), F.col("notes"), F.col("contacts"), F.col("tags"))
-    return sample(table, "leads").select("id", lead.alias("s")).where("s IS NOT NULL").select("id", "s.*")
+    return sample(table, "leads").select("id", F.inline(F.array_compact(F.array(lead))))
 
 
 _LABEL = f"""CASE WHEN NOT ({_T('t', v.SIGNAL_INCLUDE)} OR {_T('t', v.SIGNAL_HIRING)} OR {_T('t', v.SIGNAL_GROWTH)}) THEN NULL WHEN {_T('t', v.SIGNAL_HIRING)} AND role <> '' THEN 'Hiring'
@@ -262,7 +262,7 @@ def recent_signals(table):
     text = F.concat_ws(" ", js.clean("news"), told)
     named = g.names_company(text, F.array("company"), n.company_key, n.company_tokens)
     found = g.signal(F.col("news"), told, F.col("news_url"), named, F.col("id") % 7 == 0)
-    return sample(table, "leads").select("id", found.alias("s")).where("s IS NOT NULL").select("id", "s.*")
+    return sample(table, "leads").select("id", F.inline(F.array_compact(F.array(found))))
 
 
 @_query(f"""SELECT id, array_to_string(list_filter([CASE WHEN d <> '' AND NOT {_T('d', v.SKIP_HOSTS)} THEN 'domain:' || d END,

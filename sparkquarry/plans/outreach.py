@@ -127,3 +127,54 @@ def filtered_leads(table):
     """Leads that a word in any case of letters is part of, or of one city."""
     leads = sample(table, "leads").where(F.contains(F.lower("company"), F.lit("foods")) | (F.lower(js.clean("city")) == "guelph"))
     return leads.select("id", F.when(g.is_closed(F.col("stage")), "").when(F.col("id") % 2 == 0, "ready").otherwise("open").alias("state"))
+
+
+@_query(f"""SELECT 'facility' AS record_type, company, '' AS name, 'plant' AS title_or_type, address, city, 'ON' AS province, '' AS postal_code, phone, '' AS fax, '' AS email, '' AS linkedin_url, website AS source_url, '' AS notes FROM {_LEADS} WHERE address <> ''
+UNION ALL SELECT 'contact', company, person, title, '', '', '', '', phone, '', '', link, '', news FROM {_LEADS} WHERE title <> ''""")
+def flat_records(table):
+    """The flat file's fourteen columns: a row for every facility and every contact."""
+    leads = sample(table, "leads")
+    place = F.array(F.struct(F.lit("plant").alias("facility_type"), "address", "city", F.lit("ON").alias("province"), "phone", F.col("website").alias("source_url")))
+    who = F.array(F.struct(F.col("person").alias("name"), "title", "phone", F.col("link").alias("linkedin_url"), F.col("news").alias("notes")))
+    return records.flattened(leads.select("company", F.filter(place, lambda p: p["address"] != "").alias("facilities"), F.filter(who, lambda p: p["title"] != "").alias("contacts")))
+
+
+@_query(f"""SELECT id, CASE WHEN v IS NULL THEN -1.0 WHEN {js.sql_trim('v')} = '' THEN 0.0 ELSE coalesce(CASE WHEN regexp_matches({js.sql_trim('v')}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN CAST({js.sql_trim('v')} AS DOUBLE) END, -1.0) END AS number
+  FROM (SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN CAST(id AS STRING) || '.5' WHEN 3 THEN '12 a' ELSE ' -' || CAST(id AS STRING) END AS v FROM {_LEADS})""")
+def read_numbers(table):
+    k, text = F.col("id") % 5, F.col("id").cast("string")
+    value = F.when(k == 1, " ").when(k == 2, F.concat(text, F.lit(".5"))).when(k == 3, "12 a").when(k == 4, F.concat(F.lit(" -"), text))
+    return sample(table, "leads").select("id", records.number(value, -1.0).alias("number"))
+
+
+@_query(f"""SELECT id, CASE WHEN q THEN 'Plant Verified - Needs Contact' ELSE 'Plant Verified - Needs Contact + Products' END AS stage, 'plant-verified | contact:missing | products:' || CASE WHEN q THEN 'confirmed' ELSE 'missing' END AS tags,
+  CASE WHEN q THEN 'own line' ELSE 'Not confidently confirmed from public pages yet.' END AS products FROM (SELECT id, id % 2 = 0 AS q FROM {_LEADS})""")
+def lead_intelligence(table):
+    """Leads as they are put together before contacts are looked for."""
+    nothing = g.verify_plant(*[F.lit("")] * 4, F.array().cast("array<string>"))
+    found = F.when(F.col("id") % 2 == 0, F.array(F.lit(" own  line"), F.lit("own line"))).otherwise(F.array().cast("array<string>"))
+    leads = sample(table, "leads").withColumn("v", nothing)
+    made = records.intelligence(F.col("v"), F.col("company"), found, F.array("says"), F.col("website"), F.col("website"), F.col("city"))
+    return leads.select("id", made.alias("m")).select("id", "m.stage", "m.tags", "m.products")
+
+
+@_query(f"""SELECT id, concat_ws(' - ', {_E('news')}, {_E('says')}) AS snippets, CASE WHEN website = '' THEN '' ELSE {_E('website')} END AS urls FROM {_LEADS} WHERE NOT {_T('says', v.EVIDENCE)}""")
+def evidence_packets(table):
+    """What is given to a verifier of leads whose own text says nothing of a plant."""
+    made = records.packet(F.col("says"), F.array("news", "says", "news"), F.array("website", "website"))
+    rows = sample(table, "leads").where(~js.test("says", v.EVIDENCE)).select("id", made.alias("p"))
+    return rows.select("id", F.array_join("p.snippets", " - ").alias("snippets"), F.array_join("p.urls", " - ").alias("urls"))
+
+
+_SOLO = "regexp_matches(person, '^(Mike|Anne-Marie|Robert|Jane|Liz|Joe) (Doe|Miller|Stone|O''Hara|B. Smith)$')"
+
+
+@_query(f"""SELECT id, CASE WHEN {_SOLO} THEN person ELSE '' END AS name, {_ROLE} AS role, CASE WHEN contains(link, 'linkedin') THEN 'https://www.linkedin.com/in/p-' || (id % 40) ELSE '' END AS profile
+  FROM {_LEADS} WHERE contains(link, 'linkedin') AND id % 4 <> 1 AND {_ROLE} <> ''""")
+def profile_contacts(table):
+    """Contacts in profile pages among search results; roles that have ended are left out."""
+    title = F.concat("person", F.lit(" - "), "title", F.lit(" - X | LinkedIn"))
+    snippet = F.when(F.col("id") % 4 == 1, "Jan 2019 - Mar 2021 there").otherwise("is there")
+    # Unfolded instead of filtered by null: a filter would be pushed below and work the contact out twice.
+    rows = sample(table, "leads").select("id", F.inline(F.array_compact(F.array(c.profile_contact(title, snippet, F.col("link"))))))
+    return rows.where("title <> ''").select("id", "name", F.col("title").alias("role"), F.col("link").alias("profile"))

@@ -134,3 +134,26 @@ def test_files(spark, tmp_path):
     assert text == 'z,x\r\n"q""","a,b"\r\n'
     files.write_report(log.limit(1), log, str(tmp_path / "rep"))
     assert spark.read.json(str(tmp_path / "rep" / "results")).count() == 3
+
+
+def test_roles_and_pasted_contacts(spark):
+    assert told(spark, c.role_text, "Plant Manager at X Foods", "as Owner and", "About Jo: phone number. Jo is currently a Head Brewer at X", "experience: QA Manager - ZoomInfo x", "Brewing Assist.") == [
+        "Plant Manager", "Owner", "Head Brewer at X", "QA Manager", "Brewing Assistant",
+    ]
+    row = spark.createDataFrame([("1. Jane Doe\tPlant Manager at X | jim roe   Owner   Sales Team | nobody",)], "v string")
+    assert [tuple(r) for r in row.select(c.pasted_contacts(F.col("v"), F.lit("u")).alias("x")).first()["x"]] == [("Jane Doe", "Plant Manager", "u"), ("Jim Roe", "Owner", "u")]
+    assert told(spark, lambda x: rec.number(x, 7.0), "", " 3.5 ", "a", None, "1e3") == [0.0, 3.5, 7.0, 7.0, 1000.0]
+
+
+def test_periods_stream_as_in_batch(spark, tmp_path):
+    from sparkquarry.streaming.events import busy_periods, log_counts
+
+    rows = [("a", f"2024-01-01 00:{m:02}:00", line) for m, line in ((0, "Search: x"), (5, " Skipped: y | z"), (30, "Added row 1: q"))] + [("b", "2024-01-01 00:01:00", "Skipped: late")]
+    lines = spark.createDataFrame(rows, "run string, ts string, line string").selectExpr("run", "cast(ts as timestamp) ts", "line")
+    assert sorted((r["run"], r["lines"]) for r in busy_periods(lines).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    lines.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+    for name, make in (("periods", busy_periods), ("log_counts", log_counts)):
+        query = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert sorted(spark.table(name).collect()) == sorted(make(lines).collect())
