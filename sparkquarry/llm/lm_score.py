@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.shared import cut, free, table
 from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted
 
-WORDS_PER_RANGE = 1_000_000
-BLOCK_CHARS, BLOCK_DOCS = 3_500_000, 50_000
+WORDS_PER_RANGE = 500_000
+BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 50_000
 START, END = 0, 1  # numbers of the two marks in every block's vocabulary
 _MARKS = np.array([0x5EED, 0xE0F], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-STATE, ASK, GAIN, COUNTS, FLAGS, SCORES = range(6)
+STATE, ASK, GAIN, COUNTS, FLAGS, SCORES, BY_PLACE = range(7)
 GROW = 64  # a verdict is the number of the weight that a context is kept with, 0 if it isn't, and this if it grows
 FULL = 4  # rounds whose answers are kept and read again; then a block's state is carried on
 SMALL = 6  # from this round on only documents that contexts still grow for are carried on, with the state
@@ -51,12 +51,15 @@ _SENT = "kind int, length int, key int, block long, one binary, two binary, thre
 _NAMES = [part.split()[0] for part in _SENT.split(", ")]
 
 
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _compressor.compress(data)
 
 
 def _release(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _decompressor.decompress(data)
 
 
 def _in_blocks(source: DataFrame) -> DataFrame:
@@ -118,7 +121,13 @@ class _Block:
 
     def asked(self, at: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys of these places, and which one each has."""
-        return np.unique(self.grams(at, length, bits), return_inverse=True)
+        if length > 1 or not len(at):
+            return np.unique(self.grams(at, length, bits), return_inverse=True)
+        words = np.flatnonzero(np.bincount(self.symbols[at], minlength=len(self.hashes)))  # few, and each once
+        keys, of = np.unique(mix(np.uint64(length) * _PRIME + self.hashes[words]) >> np.uint64(64 - bits), return_inverse=True)
+        rank = np.zeros(len(self.hashes), np.int64)
+        rank[words] = of
+        return keys, rank[self.symbols[at]]
 
 
 def _split(kind: int, length: int, block: int, keys: np.ndarray, bits: int, buckets: int, *values) -> list[tuple]:
@@ -151,7 +160,7 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 def _answer(key: tuple, cells: pd.DataFrame, cutoff: float, weights: int) -> pd.DataFrame:
     """What a range's task sends back: sums of counts, and verdicts on contexts."""
     kind, length = int(key[0]), int(key[1])
-    if kind in (STATE, SCORES):
+    if kind in (STATE, SCORES, BY_PLACE):
         return cells.assign(types=0, tokens=0)
     keys = [unpack_sorted(_release(k)) for k in cells["one"]]
     ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -234,14 +243,23 @@ class _Growth:
             before = self.at[open_] - 1
             before = before[before - self.block.starts[self.block.doc[before]] >= length]
             shorter = count[before - 1]
-            self.asked = np.union1d(self.asked, before[(shorter < 0) | (shorter >= self.least_count)])
+            marked = np.zeros(len(self.block.symbols), bool)
+            marked[self.asked] = marked[before[(shorter < 0) | (shorter >= self.least_count)]] = True
+            self.asked = np.flatnonzero(marked)
+
+    def by_place(self, m: int, counts: np.ndarray, flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The counts of the n-grams that round m asked for and the verdicts of the round before, one for each place."""
+        told = counts[self.block.asked(self.asked, context_length(m) + 1, self.bits)[1]] if len(self.asked) else counts[:0]
+        if flags is None or not len(self.at):
+            return told, flags
+        return told, flags[self.block.asked(self.at - 1, context_length(m - 1), self.bits)[1]]
 
     def advance(self, m: int, counts: np.ndarray, contexts: np.ndarray, flags: np.ndarray | None) -> None:
-        """Round m: take in counts of n-grams and contexts, and the verdicts on the contexts of round m - 1."""
+        """Round m: take in counts of n-grams and verdicts, by place (see `by_place`), and counts of contexts."""
         block, length = self.block, context_length(m)
         go = self.held >= self.least_count
         if flags is not None and len(self.at):
-            told = flags[block.asked(self.at - 1, context_length(m - 1), self.bits)[1]]
+            told = flags
             own, choice = block.train[self.at], told % GROW
             weight = np.array([0.0, *self.weights])[choice]
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -249,8 +267,7 @@ class _Growth:
                 self.apart = np.where(choice > 0, (self.seen - own + weight * self.apart) / (self.n - own + weight), self.apart)
             go &= told >= GROW
         count = np.full(len(block.symbols), -1, np.int64)
-        if len(self.asked):
-            count[self.asked] = counts[block.asked(self.asked, length + 1, self.bits)[1]]
+        count[self.asked] = counts
         if len(self.asked_contexts):
             of = np.zeros(len(block.symbols), np.int64)
             of[self.asked_contexts] = contexts[block.asked(self.asked_contexts, length, self.bits)[1]]
@@ -369,11 +386,19 @@ def suffix_tree_scores(
             grown.load(held["one"].iloc[0])
         else:
             grown.begin(_told(parts, COUNTS, 1), types, tokens)
+        memory = []
         for k in range(m if m > FULL else 2, m + 1):
             length = context_length(k)
-            flags = _told(parts, FLAGS, context_length(k - 1)) if k > 2 else None
-            grown.advance(k, _told(parts, COUNTS, length + 1), _told(parts, COUNTS, length), flags)
-        rows = grown.asks(m, name, buckets) + (grown.gains(m, name, buckets) if m > 1 else [])
+            known = parts[(parts["kind"] == BY_PLACE) & (parts["length"] == k)]
+            if len(known):  # an earlier run of this round has found which count and verdict belong to which place
+                counts, flags = (unpack(_release(x)).astype(np.int64) if x else None for x in known[["one", "two"]].iloc[0])
+            else:
+                flags = _told(parts, FLAGS, context_length(k - 1)) if k > 2 else None
+                counts, flags = grown.by_place(k, _told(parts, COUNTS, length + 1), flags)
+                if k < FULL:
+                    memory.append((BY_PLACE, k, name % buckets, name, _packed(counts), _packed(flags) if flags is not None else b"", b""))
+            grown.advance(k, counts, _told(parts, COUNTS, length), flags)
+        rows = memory + grown.asks(m, name, buckets) + (grown.gains(m, name, buckets) if m > 1 else [])
         if m >= SMALL:
             if m == SMALL:
                 block.doc_ids = list(range(len(block.sizes)))
