@@ -176,5 +176,6 @@ def profile_contacts(table):
     title = F.concat("person", F.lit(" - "), "title", F.lit(" - X | LinkedIn"))
     snippet = F.when(F.col("id") % 4 == 1, "Jan 2019 - Mar 2021 there").otherwise("is there")
     # Unfolded instead of filtered by null: a filter would be pushed below and work the contact out twice.
-    rows = sample(table, "leads").select("id", F.inline(F.array_compact(F.array(c.profile_contact(title, snippet, F.col("link"))))))
-    return rows.where("title <> ''").select("id", "name", F.col("title").alias("role"), F.col("link").alias("profile"))
+    named = sample(table, "leads").where(c.role_in(F.col("title")) != "")
+    rows = named.select("id", F.inline(F.array_compact(F.array(c.profile_contact(title, snippet, F.col("link"))))))
+    return rows.select("id", "name", F.col("title").alias("role"), F.col("link").alias("profile"))
