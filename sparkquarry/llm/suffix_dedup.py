@@ -95,7 +95,8 @@ class _Bytes:
         pad = np.zeros(width - 1, np.uint64)
         self.at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), width, np.maximum) == grams) & (grams > 0))
         around = hashes(self.codes, SPAN)[self.at - REACH]
-        keys = grams[self.at] >> np.uint64(64 - BITS)
+        # Sampled grams have small hashes; mixed once more they fall into all ranges alike.
+        keys = mix(grams[self.at] * _PRIME) >> np.uint64(64 - BITS)
         numbers = np.array([0 if d is None else d for d in self.doc_ids], np.int64)
         docs = numbers[np.searchsorted(self.first, self.at, side="right") - 1]
         order = np.lexsort((docs, around, keys))
