@@ -219,8 +219,11 @@ def looked_up(wanted: DataFrame, known: DataFrame) -> DataFrame:
     one = rare(long_a, "id", "words").join(long_b.select("known_id", F.explode("w").alias("word")), "word").select("id", "known_id")
     two = rare(long_b, "known_id", "w").join(long_a.select("id", F.explode("words").alias("word")), "word").select("id", "known_id")
     loose = one.union(two).distinct().join(long_a, "id").join(long_b, "known_id").where(subset(F.col("words"), F.col("w")) | subset(F.col("w"), F.col("words")))
-    first_word = F.get(F.col("words"), F.lit(0))
-    held = a.where(F.size("words") > 0).select("id", "low", first_word.alias("word")).join(b.select("known_id", "l", F.explode("w").alias("word")), "word")
+    # A name that holds another from a word's start on has all its words, but for the last, which may go on.
+    sure = F.when(F.size("words") > 1, F.slice("words", 1, F.size("words") - 1)).otherwise(F.col("words"))
+    each = a.select("id", F.explode(sure).alias("word")).join(counts, "word", "left")
+    rarest = each.groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), F.col("word")))["word"].alias("word"))
+    held = a.select("id", "low").join(rarest, "id").join(b.select("known_id", "l", F.explode("w").alias("word")), "word")
     inside = held.where(F.contains("l", F.col("low"))).select("id", "known_id", F.lit(2).alias("rank"))
     ranked = exact.union(loose.select("id", "known_id", F.when(holds, 1).otherwise(4).alias("rank"))).union(inside)
     return ranked.groupBy("id").agg(F.min(F.struct("rank", "known_id"))["known_id"].alias("known_id"))
