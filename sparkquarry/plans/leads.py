@@ -172,7 +172,10 @@ def json_props(table):
     return table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@_query(None)
+@_query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i, c_custkey, c_nationkey, c_mktsegment, c_acctbal FROM customer),
+w AS (SELECT 0::BIGINT AS z, []::STRUCT(id BIGINT, k INT, s VARCHAR)[] AS p UNION ALL SELECT r.i, CASE WHEN len(p) < 100 AND len(list_filter(p, lambda x: x.k = c_nationkey)) < 12 AND len(list_filter(p, lambda x: x.s = c_mktsegment)) < 34
+  THEN list_append(p, {'id': c_custkey, 'k': c_nationkey, 's': c_mktsegment}) ELSE p END FROM w JOIN r ON r.i = w.z + 1), l AS (SELECT list_transform(p, lambda x: x.id) AS ids FROM w ORDER BY z DESC LIMIT 1)
+SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, NOT list_contains(ids, c_custkey) AS _fill FROM (SELECT *, row_number() OVER (PARTITION BY list_contains(ids, c_custkey) ORDER BY i) AS n FROM r, l) WHERE list_contains(ids, c_custkey) OR n <= 100 - len(ids)""")
 def quota_pick(table):
     """A hundred customers, the richest first, at most 12 of a nation and 34 of a segment, then filled up."""
     rows = table("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")

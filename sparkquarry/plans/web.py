@@ -10,7 +10,7 @@ from sparkquarry.functions import names as n
 from sparkquarry.functions import values as v
 from sparkquarry.operators import greedy, records
 from sparkquarry.plans.catalogue import _query
-from sparkquarry.plans.company import _company, _decoded, _domain, _key, _tokens
+from sparkquarry.plans.company import _PROFILE, _WHAT, _address, _company, _decoded, _digits, _domain, _key, _person, _tokens
 from sparkquarry.plans.samples import sample, sql
 from sparkquarry.sources import files
 
@@ -238,9 +238,17 @@ def company_lookup(table):
     return greedy.looked_up(rows.where("id % 3 = 0"), rows.where("id % 3 <> 0"))
 
 
-@_query(None)
+_NEW = "list_filter([CASE WHEN name <> '' THEN 'n' || name END, CASE WHEN address <> '' THEN 'a' || address END, CASE WHEN domain <> '' THEN 'd' || domain END, CASE WHEN phone <> '' THEN 'p' || phone END], lambda x: x IS NOT NULL)"
+_HELD = lambda kind, col: f"({col} <> '' AND (list_contains(seen, '{kind}' || {col}) OR list_contains(old, '{kind}' || {col})))"
+
+
+@_query(f"""WITH RECURSIVE l AS (SELECT id, {_key('company', v.LEGAL)} AS name, {_address('address')} AS address, {_domain('website')} AS domain, CASE WHEN length({_digits('phone')}) < 10 THEN '' ELSE right({_digits('phone')}, 10) END AS phone FROM {_LEADS}),
+r AS (SELECT row_number() OVER (ORDER BY id) AS i, * FROM l WHERE id % 4 <> 0), o AS (SELECT list('n' || name) FILTER (WHERE name <> '') || list('a' || address) FILTER (WHERE address <> '') AS old, list(name) FILTER (WHERE id % 24 = 0 AND name <> '') AS hard FROM l WHERE id % 12 = 0),
+w AS (SELECT 0::BIGINT AS z, []::VARCHAR[] AS seen, []::BIGINT[] AS ids UNION ALL SELECT i, CASE WHEN dup THEN seen ELSE list_concat(seen, new) END, CASE WHEN dup THEN ids ELSE list_append(ids, id) END FROM (SELECT r.i, r.id, w.seen, w.ids, {_NEW} AS new,
+  coalesce(list_contains(hard, name), false) OR {_HELD('a', 'address')} OR (address = '' AND ({_HELD('n', 'name')} OR {_HELD('p', 'phone')})) OR (name <> '' AND domain <> '' AND list_contains(seen, 'n' || name) AND list_contains(seen, 'd' || domain)) AS dup
+  FROM w JOIN r ON r.i = w.z + 1, o)) SELECT id AS pos, name, address, domain, phone, list_contains((SELECT ids FROM w ORDER BY z DESC LIMIT 1), id) AS accepted FROM r""")
 def accepted_leads(table):
-    """Leads in order, without duplicates of known companies or of leads accepted before; tested against a plain walk."""
+    """Leads in order, without duplicates of known companies or of leads accepted before."""
     leads = sample(table, "leads").where("id % 4 <> 0")
     keys = leads.select(F.col("id").alias("pos"), n.dedupe_name("company").alias("name"), n.address_key("address").alias("address"), n.domain_key("website").alias("domain"), n.phone_key("phone").alias("phone"))
     old = sample(table, "leads").where("id % 12 = 0")
@@ -249,9 +257,15 @@ def accepted_leads(table):
     return greedy.without_duplicates(keys, known)
 
 
-@_query(None)
+_SCORE = f"""30 * CAST(p <> '' AS INT) + 8 * CAST(link <> '' AS INT) + 20 * CAST({_T(_WHAT, v.STRONG_ROLE)} AS INT) + 8 * CAST({_T(_WHAT, v.SCORED_ROLE)} AS INT) - 30 * CAST({_T(_WHAT, v.WEAK_TITLE)} AS INT) - 8 * CAST({_T(_WHAT, v.DIRECTORY_TITLE)} AS INT)"""
+
+
+@_query(f"""WITH RECURSIVE s AS (SELECT id, person, title, p AS link, {_person('person')} AS k, {_SCORE} AS score FROM (SELECT *, {_PROFILE} AS p FROM {_LEADS}) WHERE title <> ''), r AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS i, * FROM s),
+w AS (SELECT 0::BIGINT AS z, []::VARCHAR[] AS seen, []::BIGINT[] AS ids UNION ALL SELECT r.i, CASE WHEN list_contains(seen, k) OR list_contains(seen, r.link) THEN seen ELSE list_concat(seen, CASE WHEN r.link = '' THEN [k] ELSE [k, r.link] END) END,
+  CASE WHEN list_contains(seen, k) OR list_contains(seen, r.link) THEN ids ELSE list_append(ids, r.id) END FROM w JOIN r ON r.i = w.z + 1)
+SELECT id, person, title, link, score FROM r WHERE list_contains((SELECT ids FROM w ORDER BY z DESC LIMIT 1), id)""")
 def distinct_contacts(table):
-    """Contacts in order of score, none with the name or link of one before; tested against a plain walk."""
+    """Contacts in order of score, none with the name or link of one before."""
     link = c.linkedin_url(F.col("link"))
     scored = sample(table, "leads").where("person <> '' AND title <> ''").select("id", "person", "title", link.alias("link"), c.contact_score(F.col("title"), F.col("link"), F.col("link"), F.lit("")).alias("score"))
     # The order of the walk: no row number over all rows, but score and id in one number.
@@ -277,8 +291,16 @@ def merged_companies(table):
     return greedy.merged_profiles(rows)
 
 
-@_query(None)
+_OLD = "chr(10) || chr(10) || '**Recent signals / changes / hiring?**' || chr(10) || 'old' || chr(10) || 'news' || chr(10) || chr(10) || '**proof**' || chr(10) || 'x'"
+_NOTES = f"notes || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN {_OLD} ELSE chr(10) || '**recent hiring / expansion signals**' || chr(10) || 'last' END"
+_SECTION = r"(?i)(?:\n\n)?\*\*(?:recent hiring / expansion signals|recent signals / changes / hiring\?)\*\*\s*[\s\S]*?(\n\n\*\*|$)"
+
+
+@_query(f"""SELECT id, CASE WHEN regexp_matches(n, '{_SECTION}') THEN {js.sql_trim("regexp_replace(n, '" + _SECTION + "', chr(10) || chr(10) || '**recent hiring / expansion signals**' || chr(10) || news || '" + chr(92) + "1')")}
+  ELSE n || chr(10) || chr(10) || '**recent hiring / expansion signals**' || chr(10) || news END AS notes FROM (SELECT id, news, {js.sql_trim(_NOTES)} AS n FROM {_LEADS})""")
 def noted_signals(table):
-    """Notes with their section on signals written anew; SQL has no look-ahead, so this is tested by examples."""
+    """Notes with their section on signals written anew, or added."""
+    leads = sample(table, "leads")
+    rows = leads.sparkSession.sql(f"SELECT id, news, {_NOTES} AS notes FROM {{leads}}", leads=leads)
     known = ("recent signals / changes / hiring?",)
-    return sample(table, "leads").select("id", records.with_section(F.col("notes"), "recent hiring / expansion signals", F.col("news"), known).alias("notes"))
+    return rows.select("id", records.with_section(F.col("notes"), "recent hiring / expansion signals", F.col("news"), known).alias("notes"))
