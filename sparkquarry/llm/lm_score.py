@@ -45,8 +45,8 @@ _MARKS = np.array([0x5EED, 0xE0F], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 STATE, ASK, GAIN, COUNTS, FLAGS, SCORES, BY_PLACE = range(7)
 GROW = 64  # a verdict is the number of the weight that a context is kept with, 0 if it isn't, and this if it grows
-FULL = 4  # rounds whose answers are kept and read again; then a block's state is carried on
-SMALL = 6  # from this round on only documents that contexts still grow for are carried on, with the state
+FULL = 4  # rounds whose answers are kept and gone through again; then a block's state is carried on
+SMALL = 8  # from this round on only documents that contexts still grow for are carried on, with the state
 _SENT = "kind int, length int, key int, block long, one binary, two binary, three binary"
 _NAMES = [part.split()[0] for part in _SENT.split(", ")]
 
@@ -391,12 +391,14 @@ def suffix_tree_scores(
             length = context_length(k)
             known = parts[(parts["kind"] == BY_PLACE) & (parts["length"] == k)]
             if len(known):  # an earlier run of this round has found which count and verdict belong to which place
-                counts, flags = (unpack(_release(x)).astype(np.int64) if x else None for x in known[["one", "two"]].iloc[0])
+                data = known[["one", "two"]].iloc[0].tolist()
+                counts, flags = (unpack(_release(x)).astype(np.int64) if x else None for x in data)
             else:
                 flags = _told(parts, FLAGS, context_length(k - 1)) if k > 2 else None
                 counts, flags = grown.by_place(k, _told(parts, COUNTS, length + 1), flags)
-                if k < FULL:
-                    memory.append((BY_PLACE, k, name % buckets, name, _packed(counts), _packed(flags) if flags is not None else b"", b""))
+                data = [_packed(counts), _packed(flags) if flags is not None else b""]
+            if m < FULL:
+                memory.append((BY_PLACE, k, name % buckets, name, *data, b""))
             grown.advance(k, counts, _told(parts, COUNTS, length), flags)
         rows = memory + grown.asks(m, name, buckets) + (grown.gains(m, name, buckets) if m > 1 else [])
         if m >= SMALL:
@@ -426,17 +428,16 @@ def suffix_tree_scores(
     m = 1
     while m <= SMALL or not rounds[-1].where(F.col("kind") == STATE).isEmpty():
         told = rounds[-1]
-        if m <= FULL:
-            for other in rounds[:-1]:
-                told = told.unionByName(other)
+        if 1 < m <= FULL:
+            told = told.unionByName(rounds[0])
         if m <= SMALL:
             sent = over(told, with_blocks(m), _SENT)
         else:
             sent = told.where(F.col("kind") != SCORES).groupBy("block").applyInPandas(carried_on(m), _SENT)
         rounds.append(answered(sent, m + 1))
-        m += 1
-        if FULL + 1 < m <= SMALL + 1:
+        if 1 < m <= SMALL:  # later ones hold scores
             free(rounds.pop(-2))
+        m += 1
 
     def score(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         block = _Block(own["docs"].iloc[0])
