@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import cut, free, table
+from sparkquarry.llm.shared import cut, cut_in_buckets, free, table
 from sparkquarry.llm.words import mix, pack, pack_sorted, unpack, unpack_sorted
 
 WORDS_PER_RANGE = 500_000
@@ -62,8 +62,9 @@ def _release(data: bytes) -> bytes:
     return _decompressor.decompress(data)
 
 
-def _in_blocks(source: DataFrame) -> DataFrame:
-    """(block, docs, size): the documents (doc_id, train, text) as numbers of words of a block's own vocabulary."""
+def _in_blocks(source: DataFrame, count: int) -> DataFrame:
+    """(block, docs): the documents (doc_id, train, text) as numbers of words of a block's own
+    vocabulary; the table is dealt to buckets by block, for about `count` of them."""
 
     class Numbers(dict):
         def __missing__(self, word: bytes) -> int:
@@ -93,7 +94,8 @@ def _in_blocks(source: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return cut(source.select("doc_id", "train", "text").mapInPandas(store, "block long, docs binary"), "lm-blocks")
+    stored = source.select("doc_id", "train", "text").mapInPandas(store, "block long, docs binary")
+    return cut_in_buckets(stored, "lm-blocks", "block", count // 8)
 
 
 class _Block:
@@ -348,8 +350,8 @@ def suffix_tree_scores(
     lengths above, up to `max_depth` words if it is given.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    blocks = _in_blocks(source)
-    words = (source.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks, words = _in_blocks(source, chars // BLOCK_CHARS), chars / 6
     buckets = 1 << max(4, math.ceil(math.log2(words / WORDS_PER_RANGE + 1)))
     bits = min(60, max(40, math.ceil(math.log2(words + 1)) + 12))
     depth = math.inf if max_depth is None else max_depth

@@ -59,6 +59,22 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return back
 
 
+def cut_in_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """As `cut`, dealt to files by the hash of a column: joins and cogroups by it then leave this table where it is.
+
+    There are as many buckets as shuffle partitions at least, so that Spark moves the other side to them.
+    """
+    spark = df.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table_name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{table_name}"
+    with _shuffles_freed(spark):
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(table_name)
+    back = spark.table(table_name)
+    back.cut_path = path
+    return back
+
+
 def free(*tables: DataFrame) -> None:
     """Delete what `cut` has written, once nothing will read it any more."""
     for df in tables:
