@@ -120,7 +120,7 @@ _WHERE = _F("t", v.PLANT_ADDRESS + r"[^.\n]*")
 
 @_query(f"""WITH t AS (SELECT *, {_TEXT} AS t FROM {_LEADS}), q AS (SELECT *, {_SCALE} AND {_PLACED} AS q FROM t)
 SELECT id, q AS qualified, CASE {_REASON} ELSE '' END AS reason, CASE WHEN q THEN 'medium' ELSE 'low' END AS confidence,
-  CASE WHEN q THEN trim({_F(_WHERE, r",\s*([A-Za-z .'-]+),\s*(?:ON|Ontario)" + r"\b", 1)}) END AS city, CASE WHEN q THEN {_WHERE} END AS address, CASE WHEN q THEN {_F('t', v.PLANT_PHONE)} END AS phone,
+  CASE WHEN q THEN trim({_F(_WHERE, r",\s*([A-Za-z .'-]+),\s*(?:ON|Ontario)" + r"\b", 1)}) ELSE '' END AS city, CASE WHEN q THEN {_WHERE} ELSE '' END AS address, CASE WHEN q THEN {_F('t', v.PLANT_PHONE)} ELSE '' END AS phone,
   {_labels(v.END_PRODUCTS, v.ANY_PRODUCT)} AS products, {_labels(v.PLANT_NAMES, v.ANY_PLANT)} AS plants, CASE WHEN q THEN CASE {_EQUIPMENT_SQL} END ELSE '' END AS equipment FROM q""")
 def plant_verdicts(table):
     """What the five gates say of every lead, and what is found of those that pass."""
@@ -128,7 +128,7 @@ def plant_verdicts(table):
     verdict = g.verify_plant(F.col("company"), F.concat(F.lit("plants in "), "city"), F.col("title"), F.col("website"), F.array(F.col("says"), place))
     out = sample(table, "leads").select("id", verdict.alias("v"))
     return out.select(
-        "id", "v.qualified", F.col("v.reject_reason").alias("reason"), "v.confidence", "v.facility.city", "v.facility.address", "v.facility.phone",
+        "id", "v.qualified", F.col("v.reject_reason").alias("reason"), "v.confidence", *[F.coalesce(f"v.facility.{c}", F.lit("")).alias(c) for c in ("city", "address", "phone")],
         _joined("v.end_products").alias("products"), _joined("v.production_related_names").alias("plants"), _joined("v.likely_equipment").alias("equipment"),
     )
 
@@ -295,11 +295,11 @@ def contact_tags(table):
 
 
 @_query("""SELECT event_id, strftime(ts, '%Y-%m-%d ') || CAST((hour(ts) + 11) % 12 + 1 AS STRING) || strftime(ts, ':%M ') || CASE WHEN hour(ts) >= 12 THEN 'PM' ELSE 'AM' END AS stamp, strftime(ts, 'batch-%Y%m%d-%H%M%S') AS batch,
-  CAST(date_trunc('month', ts) - INTERVAL 3 MONTH + INTERVAL (day(ts) - 1) DAY AS DATE) AS cutoff, event_type = 'view' AND 1704067200000 - epoch_ms(ts) < 75 * 60000 AS fresh FROM events""")
+  strftime(date_trunc('month', ts) - INTERVAL 3 MONTH + INTERVAL (day(ts) - 1) DAY, '%Y-%m-%d') AS cutoff, event_type = 'view' AND 1704067200000 - epoch_ms(ts) < 75 * 60000 AS fresh FROM events""")
 def event_dates(table):
     at, day = F.col("ts").cast("timestamp"), F.to_date("ts")
     return table("events").select(
-        "event_id", dates.stamp(F.col("ts")).alias("stamp"), dates.batch_id(F.col("ts"), "batch-").alias("batch"), dates.months_before(day, 3).alias("cutoff"),
+        "event_id", dates.stamp(F.col("ts")).alias("stamp"), dates.batch_id(F.col("ts"), "batch-").alias("batch"), F.date_format(dates.months_before(day, 3), "yyyy-MM-dd").alias("cutoff"),
         dates.is_fresh(F.col("event_type") == "view", F.unix_millis(at), 1704067200000).alias("fresh"),
     )
 
