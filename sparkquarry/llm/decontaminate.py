@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import cut, fresh_name, table
+from sparkquarry.llm.shared import cut, fresh_name, numbered, table
 from sparkquarry.llm.words import mix, ngrams, ranges, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -197,7 +197,7 @@ def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold no passage and stay; without benchmark items all rows stay.
     """
     row = fresh_name(docs, "row")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    rows = numbered(docs, row)
     found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = cut(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return rows.join(leaks, F.col(row) == F.col("_leak"), "left_anti").select(*docs.columns)

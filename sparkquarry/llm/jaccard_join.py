@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, free, fresh_name, table
+from sparkquarry.llm.shared import cut, free, fresh_name, numbered, table
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
 BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a range of hashes
@@ -319,11 +319,6 @@ def _components_of_rows(source: DataFrame, shingle: int, percent: int) -> DataFr
     return found
 
 
-def _with_row(docs: DataFrame, row: str) -> DataFrame:
-    """`docs` plus a number of each row, which is written so that it stays the same."""
-    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
-
-
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -335,7 +330,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     component only if links join them. Other columns are ignored.
     """
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = _with_row(known, "_row")
+    rows = cut(known.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
     parts = _components_of_rows(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
     found = parts.join(rows.select("_row", "_id"), F.col("doc_id") == F.col("_row"))
     found = cut(found.select("_id", "n_shingles", F.col("component_id").alias("_group")), "jaccard-groups")
@@ -357,7 +352,7 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     so does one of rows that are near duplicates under the smallest id.
     """
     row = fresh_name(docs, "row")
-    rows = _with_row(docs, row)
+    rows = numbered(docs, row)
     parts = _components_of_rows(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80)
     ids = rows.select(F.col(row).alias("_at"), "doc_id")
     found = parts.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))

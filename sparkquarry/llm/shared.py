@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that line keys are stripped of and that separates words.
@@ -83,6 +84,24 @@ def free(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """`docs` plus a number of each row that stays the same however often it is read.
+
+    Rows of files are numbered by file and place in it, without a copy; other tables are written
+    with their numbers. The file names that this joins are as few as the input's files.
+    """
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    except AnalysisException:
+        return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    by_name = Window.partitionBy(F.lit(0)).orderBy("_path")
+    files = cut(files.withColumn("_file", F.row_number().over(by_name)), "files")
+    own = docs.select(F.struct("*").alias("_row"), F.col("_metadata.file_path").alias("_of"), F.col("_metadata.row_index").alias("_at"))
+    number = F.col("_file").cast("long") * F.lit(1 << 36) + F.col("_at")
+    met = own.join(F.broadcast(files), F.col("_of") == F.col("_path"))
+    return met.select(*[F.col("_row")[c].alias(c) for c in docs.columns], number.alias(row))
+
+
 def ascii_lower(col):
     """A-Z lower-cased; all other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -445,3 +445,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["label"] for r in of(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {200: 200, 201: 200}
     assert of(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_files_keep_their_numbers(spark, docs, tmp_path):
+    from sparkquarry.llm.shared import numbered
+
+    docs.write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    rows = numbered(read, "_n")
+    one, two = (sorted((r["doc_id"], r["_n"]) for r in rows.repartition(k).collect()) for k in (1, 3))
+    assert one == two and len({n for _, n in one}) == len(TEXTS) and rows.columns == [*docs.columns, "_n"]
+    assert len({r["_n"] for r in numbered(docs, "_n").collect()}) == len(TEXTS)
+    assert numbered(read.where("false"), "_n").count() == 0
