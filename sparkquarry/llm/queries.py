@@ -15,6 +15,8 @@ from sparkquarry.llm import (
     language_id,
     line_dedup,
     lm_score,
+    merkle,
+    periodic_runs,
     suffix_dedup,
     token_files,
 )
@@ -32,10 +34,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }
