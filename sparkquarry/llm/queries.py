@@ -11,6 +11,7 @@ from sparkquarry.llm import (
     chat_format,
     decontaminate,
     embedding_dedup,
+    html_extract,
     jaccard_join,
     language_id,
     line_dedup,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_html_extract": html_extract.op11_html_extract,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
@@ -42,5 +44,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.SQL,
+        "op11_html_extract": html_extract.SQL,
         "op12_merkle_manifest": merkle.SQL,
     }
