@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import js
 from sparkquarry.functions import names as n
 from sparkquarry.functions import pages
+from sparkquarry.sources.lenient_csv import csv_rows, header_name, read_csv  # noqa: F401
 
 CACHE_SCHEMA = "createdAt long, query string, results array<struct<title: string, url: string, snippet: string>>"
 #: The registry's headers, and what its columns are called here.
@@ -22,67 +21,6 @@ REGISTRY = {
 LEAD_COLUMNS = ("company", "stage", "industry", "notes", "contacts", "tags", "last_activity")
 
 
-def header_name(name: str | None, position: int) -> str:
-    """A CSV header in snake case; an empty one is called after its place, from 1."""
-    return re.sub(r"[^a-z0-9]+", "_", (name or "").strip().lower()).strip("_") or f"column_{position}"
-
-
-def csv_rows(text: str) -> Iterator[list[str]]:
-    """Rows of cells. A quotation mark opens or closes quoting wherever it stands; two of them, inside
-    of quotes, are one; commas and line ends (CR, LF or both) count outside of quotes only."""
-    row, cell, quoted = [], [], False
-    parts = re.findall(r'"|,|\r\n|\r|\n|[^",\r\n]+', text)
-    at = 0
-    while at < len(parts):
-        part = parts[at]
-        at += 1
-        if part == '"':
-            if quoted and parts[at : at + 1] == ['"']:
-                cell.append('"')
-                at += 1
-            else:
-                quoted = not quoted
-        elif quoted or part not in (",", "\r\n", "\r", "\n"):
-            cell.append(part)
-        elif part == ",":
-            row.append("".join(cell))
-            cell = []
-        else:
-            yield [*row, "".join(cell)]
-            row, cell = [], []
-    if row or cell:
-        yield [*row, "".join(cell)]
-
-
-def read_csv(spark: SparkSession, path: str, profile: str = "lead") -> DataFrame:
-    """CSV files with header, read whole, each by one task; all have the header of one of them.
-
-    Quoting is lenient (see csv_rows); missing cells are empty, and of equal headers the last
-    column is kept. Profile "lead": headers in snake case, cells trimmed, rows without content
-    left out. "registry": headers with their blanks squeezed, cells as they are, all rows kept.
-    "research": the same, without rows whose cells are all empty. A byte-order mark is dropped.
-    """
-    files = spark.read.text(path, wholetext=True)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["value"]:
-                rows = list(csv_rows(text.removeprefix("﻿")))
-                yield pd.DataFrame({"at": range(len(rows)), "cells": rows})
-
-    rows = files.mapInPandas(parse, "at long, cells array<string>")
-    head = rows.where("at = 0").select("cells").first()
-    if head is None:
-        return spark.createDataFrame([], "column_1 string")
-    name = header_name if profile == "lead" else (lambda h, i: " ".join(h.split()))
-    places = {name(h, i + 1): i for i, h in enumerate(head["cells"])}
-    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-    out = rows.where("at > 0").select(*[(js.trim(cell(i)) if profile == "lead" else cell(i)).alias(h) for h, i in places.items()])
-    if profile == "registry":
-        return out
-    return out.where(F.concat(*[F.col(f"`{h}`") for h in places]) != "")
-
-
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The food-licence registry: licence, legal_name, address, dba, establishments; cleaned texts."""
     raw = read_csv(spark, path, "registry")
