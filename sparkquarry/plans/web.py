@@ -274,21 +274,39 @@ def distinct_contacts(table):
     return kept.select("id", "person", "title", "link", "score")
 
 
-@_query(None)
+@_query(f"""WITH RECURSIVE s AS (SELECT nation AS g, id, person, title, link, news, CASE WHEN contains(lower(link), 'linkedin.com/in/') THEN regexp_replace(lower(link), '/+$', '') ELSE '' END AS l,
+  trim(regexp_replace(lower(person), '[^a-z0-9]+', ' ', 'g')) AS m FROM {_LEADS} WHERE person <> '' AND title <> ''), r AS (SELECT row_number() OVER (ORDER BY id) AS i, * FROM s),
+w AS (SELECT 0::BIGINT AS z, []::STRUCT(g INT, l VARCHAR, m VARCHAR, id BIGINT)[] AS heads, 0::BIGINT AS home UNION ALL
+  SELECT i, CASE WHEN home IS NULL THEN list_append(heads, {{'g': g, 'l': l, 'm': m, 'id': id}}) ELSE heads END, coalesce(home, id) FROM (SELECT r.*, w.heads,
+    coalesce(list_filter(heads, lambda x: x.g = r.g AND r.l <> '' AND x.l = r.l)[1].id, list_filter(heads, lambda x: x.g = r.g AND x.m = r.m)[1].id) AS home FROM w JOIN r ON r.i = w.z + 1)),
+h AS (SELECT w.home, r.* FROM w JOIN r ON r.i = w.z)
+SELECT g AS "group", home AS pos, min_by(person, id) AS name, coalesce(min_by(title, id) FILTER (WHERE NOT {_T('title', v.REPLACED_TITLE)}), max_by(title, id)) AS title, coalesce(min_by(link, id) FILTER (WHERE link <> ''), '') AS link, '' AS source,
+  coalesce(min_by(news, id) FILTER (WHERE news <> ''), '') AS notes FROM h GROUP BY g, home""")
 def merged_people(table):
-    """The contacts of every company put together by link or name; tested against a plain walk."""
+    """The contacts of every company put together by link or name."""
     rows = sample(table, "leads").select(F.col("nation").alias("group"), F.col("id").alias("pos"), F.col("person").alias("name"), "title", "link", F.lit("").alias("source"), F.col("news").alias("notes"))
     return greedy.merged_contacts(rows, lambda t: js.test(t, v.REPLACED_TITLE))
 
 
-@_query(None)
+_JOINED = lambda col, k: f"""(SELECT home, string_agg(v, '|' ORDER BY id) AS {col} FROM (SELECT *, row_number() OVER (PARTITION BY home ORDER BY id) AS place FROM (
+  SELECT home, min_by(v, id) AS v, min(id) AS id FROM (SELECT home, id, {js.sql_clean(col)} AS v FROM h) WHERE v <> '' GROUP BY home, lower(v))) WHERE place <= {k} GROUP BY home)"""
+
+
+@_query(f"""WITH RECURSIVE l AS (SELECT id, says, city, news, {_key(_decoded('company'), v.CENSUS_WORDS)} AS k, {_domain('website')} AS h, {_tri('company')} AS w FROM {_LEADS}), r AS (SELECT row_number() OVER (ORDER BY id) AS i, * FROM l),
+w AS (SELECT 0::BIGINT AS z, []::STRUCT(id BIGINT, k VARCHAR, h VARCHAR, w VARCHAR[])[] AS heads, 0::BIGINT AS home UNION ALL
+  SELECT i, CASE WHEN home IS NULL THEN list_append(heads, {{'id': id, 'k': k, 'h': h, 'w': w}}) ELSE heads END, coalesce(home, id) FROM (SELECT r.*, w.heads, list_filter(heads, lambda x: (r.k <> '' AND x.k = r.k) OR (r.h <> '' AND x.h = r.h)
+    OR (length(r.k) > 10 AND length(x.k) > 10 AND (contains(r.k, x.k) OR contains(x.k, r.k))) OR (len(r.w) > 0 AND len(list_intersect(r.w, x.w)) / (len(r.w) + len(x.w) - len(list_intersect(r.w, x.w))) >= 0.86))[1].id AS home FROM w JOIN r ON r.i = w.z + 1)),
+h AS (SELECT w.home, r.* FROM w JOIN r ON r.i = w.z)
+SELECT home AS pos, key, members, coalesce(says, '') AS products, coalesce(city, '') AS categories, coalesce(news, '') AS reasons, score FROM (SELECT home, min_by(k, id) AS key, count(*) AS members, max(id % 50) AS score FROM h GROUP BY home)
+  LEFT JOIN {_JOINED('says', 12)} USING (home) LEFT JOIN {_JOINED('city', 8)} USING (home) LEFT JOIN {_JOINED('news', 1000000)} USING (home)""")
 def merged_companies(table):
-    """Profiles put together by host, name or likeness of their names; tested against a plain walk."""
+    """Profiles put together by host, name or likeness of their names."""
     rows = sample(table, "leads").select(
         F.col("id").alias("pos"), n.census_name("company").alias("key"), n.domain_key("website").alias("host"), n.census_tokens("company").alias("words"), F.array("says").alias("products"),
         F.array("city").alias("categories"), F.array("news").alias("reasons"), (F.col("id") % 50).alias("score"),
     )
-    return greedy.merged_profiles(rows)
+    merged = greedy.merged_profiles(rows)
+    return merged.select("pos", "key", "members", *[F.array_join(c, "|").alias(c) for c in ("products", "categories", "reasons")], "score")
 
 
 _OLD = "chr(10) || chr(10) || '**Recent signals / changes / hiring?**' || chr(10) || 'old' || chr(10) || 'news' || chr(10) || chr(10) || '**proof**' || chr(10) || 'x'"

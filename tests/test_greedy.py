@@ -122,3 +122,21 @@ def test_looked_up(spark, known):
     wanted = spark.createDataFrame([(10, "maple foods"), (11, "Foods Maple Inc"), (12, "none at all"), (13, ""), (14, None)], "id long, company string")
     found = greedy.looked_up(wanted, spark.createDataFrame(known, "id long, company string"))
     assert {tuple(r) for r in found.collect()} == ({(10, 1), (11, 1)} if known else set())
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    """A row shares a key with the one before and the one after only."""
+    rounds = []
+    before = greedy.cut
+    monkeypatch.setattr(greedy, "cut", lambda df, name: rounds.append(name) or before(df, name))
+    n = 3000
+    rows = [(i * 5, str(i // 2), str((i + 1) // 2)) for i in range(n)]
+    kept, seen = [], set()
+    for pos, *keys in rows:
+        if not any((j, k) in seen for j, k in enumerate(keys) if k):
+            kept.append(pos)
+            seen |= set(enumerate(keys))
+    table = spark.createDataFrame(rows, "pos long, a string, b string")
+    found = greedy.distinct_by_any_key(table, "pos", {k: F.col(k) for k in "ab"})
+    assert sorted(r["pos"] for r in found.collect()) == kept
+    assert rounds.count("walk-state") < 20
