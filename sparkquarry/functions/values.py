@@ -270,3 +270,10 @@ SOCIAL_HOST = r"(facebook|instagram|twitter|x\.com|linkedin|youtube|youtu\.be|ti
 MAIL_URL = r"""(https?://[^\s<>"'`)]+|\bwww\.[^\s<>"'`)]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\.(?:com|ca|net|org|co|us|io)\b)"""
 DIRECTORY_HOST = r"\b(?:news|magazine|directory|association|linkedin|facebook|instagram|indeed|glassdoor|zoominfo|rocketreach|signalhire|wiza|apollo|contactout|foodengineeringmag|jobbank|workopolis|yellowpages|canpages)\b"
 JUNK_ALIAS = r"\b(?:verified|manufacturing|facilities|southern|ontario|contact|products?|homepage|home)\b"
+
+# The context of search results.
+SEARCH_TALK = (
+    "recent", "hiring", "expansion", "signal", "signals", "relevant", "targeted", "search", "verified", "plant", "lead", "manufacturing", "facilities", "southern", "ontario", "products",
+    "capabilities", "official", "source", "evidence", "matters",
+)
+LOCAL_TERMS = "Canada|Canadian|Ontario|ON|Greater Toronto|GTA|Toronto|Vaughan|Woodbridge"

@@ -8,8 +8,8 @@ from sparkquarry.functions import contacts as c
 from sparkquarry.functions import js, pages
 from sparkquarry.functions import names as n
 from sparkquarry.functions import values as v
+from sparkquarry.operators import context, records, rules
 from sparkquarry.operators import gates as g
-from sparkquarry.operators import records, rules
 from sparkquarry.plans.catalogue import _HOST, _query
 from sparkquarry.plans.company import _ROLE, _TAGS, _WHAT, _domain
 from sparkquarry.plans.samples import sample, sql
@@ -118,7 +118,8 @@ def repaired_titles(table):
     people = leads.where("id % 5 < 2").where(F.regexp_like("person", F.lit("^[A-Z][a-z]+ [A-Z][a-z]+$"))).select("group", F.col("id").alias("candidate"), n.company_key("person").alias("who"))
     told = F.concat("person", F.lit(" - "), "title")
     results = leads.where("id % 5 >= 2").select("group", F.col("id").alias("result"), n.company_key(told).alias("text"), c.role_in(F.col("title")).alias("role")).where("role <> ''")
-    met = people.join(results, "group").where(F.contains("text", F.col("who")))
+    found = context.contained(people.select("group", F.col("candidate").alias("pattern"), F.array("who").alias("parts")), results.select("group", F.col("result").alias("text"), F.col("text").alias("body")), "group")
+    met = found.select(F.col("pattern").alias("candidate"), F.col("text").alias("result")).join(results.select("result", "role"), "result")
     return met.groupBy("candidate").agg(F.min("result").alias("result"), F.min_by("role", "result").alias("role"))
 
 
