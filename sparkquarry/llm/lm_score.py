@@ -44,6 +44,7 @@ START, END = 0, 1  # numbers of the two marks in every block's vocabulary
 _MARKS = np.array([0x5EED, 0xE0F], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 STATE, ASK, GAIN, COUNTS, FLAGS, SCORES, BY_PLACE = range(7)
+NAT = 256  # what one nat of gain counts as
 GROW = 64  # a verdict is the number of the weight that a context is kept with, 0 if it isn't, and this if it grows
 FULL = 4  # rounds whose answers are kept and gone through again; then a block's state is carried on
 SMALL = 8  # from this round on only documents that contexts still grow for are carried on, with the state
@@ -146,8 +147,20 @@ def _packed(numbers: np.ndarray) -> bytes:
     return _squeeze(pack(numbers))
 
 
-def _halves(numbers: np.ndarray) -> bytes:
-    return _squeeze(np.clip(numbers, -60000, 60000).astype(np.float16).tobytes())
+def _fixed(nats: np.ndarray) -> np.ndarray:
+    """Nats as whole numbers of `NAT` to one, of which sums are the same in whatever order and parts they are made."""
+    return np.rint(nats * NAT)
+
+
+def _signed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, those below zero dealt in between the others."""
+    numbers = np.ascontiguousarray(numbers).astype(np.int64).reshape(-1)
+    return _packed(((numbers << 1) ^ (numbers >> 63)).astype(np.uint64))
+
+
+def _unsigned(data: bytes) -> np.ndarray:
+    numbers = unpack(_release(data))
+    return (numbers >> np.uint64(1)).astype(np.int64) ^ -(numbers & np.uint64(1)).astype(np.int64)
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -172,11 +185,11 @@ def _answer(key: tuple, cells: pd.DataFrame, cutoff: float, weights: int) -> pd.
         if length == 1:
             out |= {"types": int((counts[first] > 0).sum()), "tokens": int(counts[first].sum())}
         return pd.DataFrame(out | {"kind": COUNTS, "one": [_packed(c) for c in np.split(counts, ends)]})
-    gains = np.concatenate([np.frombuffer(_release(x), np.float16).reshape(weights, -1) for x in cells["two"]], axis=1).astype(np.float64)
-    left = np.concatenate([np.frombuffer(_release(x), np.float16) for x in cells["three"]]).astype(np.float64)
+    gains = np.concatenate([_unsigned(x).reshape(weights, -1) for x in cells["two"]], axis=1)
+    left = np.concatenate([_unsigned(x) for x in cells["three"]])
     *gains, left, _ = _sums(np.concatenate(keys), *gains, left)
-    gains = np.round(np.stack(gains), 2)
-    flags = np.where(gains.max(0) >= cutoff, gains.argmax(0) + 1, 0) + GROW * (np.round(left, 2) >= 1)
+    gains = np.stack(gains)
+    flags = np.where(gains.max(0) >= cutoff * NAT, gains.argmax(0) + 1, 0) + GROW * (left >= 0)
     return pd.DataFrame(out | {"kind": FLAGS, "one": [_packed(f) for f in np.split(flags, ends)]})
 
 
@@ -280,9 +293,10 @@ class _Growth:
         self.seen = np.where(self._alive(), count[self.at], own)
         self.n = self.held
         chances = [(self.seen - own + w * self.apart) / (self.n - own + w) for w in self.weights]
-        self.gain = [np.where(own > 0, np.log(c / self.apart), 0.0) for c in chances]
-        # What is left to gain, as a share of what there must be for the context to grow.
-        self.left = np.where((own > 0) & (self.seen > own), -np.log(chances[0]), 0.0) / np.maximum(self.cutoff, self.least_left * self.n)
+        self.gain = [_fixed(np.where(own > 0, np.log(c / self.apart), 0.0)) for c in chances]
+        # What is left to gain, less this occurrence's part of what there must be for the context to grow.
+        least = np.maximum(self.cutoff / np.maximum(self.n, 1), self.least_left)
+        self.left = _fixed(np.where(own > 0, np.where(self.seen > own, -np.log(chances[0]), 0.0) - least, 0.0))
         self._look_ahead(m, count if context_length(m + 1) == length + 1 else None)
 
     def gains(self, m: int, name: int, buckets: int) -> list[tuple]:
@@ -290,7 +304,7 @@ class _Growth:
         keys, back = self.block.asked(self.at - 1, length, self.bits)
         total = lambda x: np.bincount(back, x, len(keys))
         gains = np.stack([total(g) for g in self.gain], axis=1)  # a row for each context, which is what is cut into ranges
-        return _split(GAIN, length, name, keys, self.bits, buckets, (gains, lambda x: _halves(x.T)), (total(self.left), _halves)) if len(keys) else []
+        return _split(GAIN, length, name, keys, self.bits, buckets, (gains, lambda x: _signed(x.T)), (total(self.left), _signed)) if len(keys) else []
 
     def asks(self, m: int, name: int, buckets: int) -> list[tuple]:
         rows, length = [], context_length(m + 1)

@@ -340,13 +340,14 @@ def suffix_tree_by_hand(docs, weights=(1.0, 8.0, 64.0), least_count=2, cutoff=2.
         for x in open_:
             own, s = int(rows[x[0]][1]), context[x]
             for w in weights:
-                gain[w][s] += own * math.log(mixed(x, w, own, apart) / apart[x])
-            left[s] += own * (seen[x] > 1) * -math.log(mixed(x, weights[0], own, apart)) / max(cutoff, least_left * n[s])
+                gain[w][s] += own * np.rint(256 * math.log(mixed(x, w, own, apart) / apart[x]))
+            least = max(cutoff / n[s], least_left)
+            left[s] += own * np.rint(256 * ((seen[x] > 1) * -math.log(mixed(x, weights[0], own, apart)) - least))
         for x in open_:
-            best = max(weights, key=lambda w: (round(gain[w][context[x]], 2), -w))  # noqa: B023
-            if round(gain[best][context[x]], 2) >= cutoff:
+            best = max(weights, key=lambda w: (gain[w][context[x]], -w))  # noqa: B023
+            if gain[best][context[x]] >= 256 * cutoff:
                 whole[x], apart[x] = mixed(x, best, 0, whole), mixed(x, best, int(rows[x[0]][1]), apart)
-        open_ = {x for x in open_ if round(left[context[x]], 2) >= 1}
+        open_ = {x for x in open_ if left[context[x]] >= 0}
     scores = [0.0] * len(rows)
     for (d, _), chance in whole.items():
         scores[d] += math.log10(chance)
@@ -372,6 +373,18 @@ def test_lm_score_equals_a_tree_by_hand(spark, depth):
         assert all(math.isclose(*v) for v in got.values())
 
 
+def test_lm_score_is_the_same_however_rows_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    own = random.Random(12)
+    some = ["".join(own.choices("abcd", k=2)) for _ in range(14)]
+    passages = [own.choices(some, k=20) for _ in range(6)]
+    texts = [" ".join(own.choices(some, k=own.randint(0, 40)) + own.choice(passages)[own.randint(0, 10) :] + own.choices(some, k=5)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, i % 6 != 0) for i, t in enumerate(texts)], "doc_id long, text string, known boolean")
+    one, seven = (by_id(lm_score.suffix_tree_scores(docs.repartition(k, "doc_id"), F.col("known")), "doc_id", "score") for k in (1, 7))
+    assert all(math.isclose(one[i][0], seven[i][0], rel_tol=1e-9) for i in range(400))
+
+
 def test_lm_score_long_contexts(spark):
     """What follows a passage depends on the word before it, six words back."""
     from pyspark.sql import functions as F
