@@ -212,7 +212,8 @@ def _slices(sizes: list[int], chars: int) -> Iterator[tuple[int, int]]:
 def _with_columns(docs: DataFrame, spec: str, columns: Callable[[WordBpe, list[str]], list[pa.Array]], schema: str) -> DataFrame:
     """`docs` plus columns made of its texts, a slice of `SLICE_CHARS` at a time, so that no batch's ids are held at once."""
     names = [part.split()[0] for part in schema.split(", ")]
-    text, before = docs.columns.index("text"), list(docs.columns)
+    text, before = docs.columns.index("text"), [f"other_{i}" for i in range(len(docs.columns))]  # names that Spark can take
+    safe = docs.toDF(*before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec)
@@ -223,8 +224,8 @@ def _with_columns(docs: DataFrame, spec: str, columns: Callable[[WordBpe, list[s
                 made = columns(bpe, [t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*before, *names])
 
-    types = T.StructType([*docs.schema.fields, *T._parse_datatype_string(schema).fields])
-    return docs.mapInArrow(run, types)
+    types = T.StructType([*safe.schema.fields, *T._parse_datatype_string(schema).fields])
+    return safe.mapInArrow(run, types).toDF(*docs.columns, *names)
 
 
 def read_spec(path: str) -> str:

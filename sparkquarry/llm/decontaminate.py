@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import cut, fresh_name, numbered, table
+from sparkquarry.llm.shared import cut, numbered, table, with_safe_names
 from sparkquarry.llm.words import mix, ngrams, ranges, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints have 128 bits in 8 blocks of 16; two that differ in RADIUS bits at most have a
 #: block in which they differ in 3 at most. At a similarity of 0.8 about 19 bits differ, give or take 4.
 WORDS, BLOCKS, RADIUS = 2, 8, 31
+KNOWN = 100_000  # similarities of a document's windows that are kept at once, about
+PIECE = 4096  # windows whose fingerprints are made at once
 #: Items are sent to tasks in blocks of so many characters of text, and so many items, at most.
 BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 20_000
 _BITS = np.arange(64, dtype=np.uint64)
@@ -75,6 +77,25 @@ class BlockIndex:
         return rows[apart <= RADIUS], items[apart <= RADIUS]
 
 
+def _pieces(first: np.ndarray, last: np.ndarray, wide: int) -> Iterator[np.ndarray]:
+    """The places of all the ranges first..last (both ascending), each once, in pieces of `PIECE` places and
+    twice that distance at most; places further apart than `wide` come in pieces of their own."""
+    kept = first <= last
+    first, last = first[kept], last[kept]
+    opens = np.flatnonzero(np.append(True, first[1:] > last[:-1] + 1)) if len(first) else np.zeros(0, np.int64)
+    found: list[np.ndarray] = []
+    for a, b in zip(first[opens].tolist(), last[np.append(opens[1:], len(first)) - 1].tolist() if len(first) else []):
+        while a <= b:
+            if found and (a - int(found[-1][-1]) > wide or a - int(found[0][0]) >= 2 * PIECE or sum(map(len, found)) >= PIECE):
+                yield np.concatenate(found)
+                found = []
+            end = min(b, a + PIECE - 1 - sum(map(len, found)))
+            found.append(np.arange(a, end + 1))
+            a = end + 1
+    if found:
+        yield np.concatenate(found)
+
+
 class Items:
     """The benchmark's items by length, with an index of their fingerprints for each."""
 
@@ -114,30 +135,40 @@ class Items:
                 continue
             place = np.minimum(np.searchsorted(keys, own[near]), len(keys) - 1)
             hit = keys[place] == own[near]
-            starts: dict[int, list[np.ndarray]] = defaultdict(list)
-            for at, k in zip(near[hit].tolist(), place[hit].tolist()):
+            at, place = near[hit], place[hit]
+            sums = np.append(np.uint64(0), np.cumsum(mix(own), dtype=np.uint64))  # of two windows with equal shingles, in any order, they grow alike
+            holding: dict[int, list[int]] = defaultdict(list)
+            for k in np.unique(place).tolist():
                 for size in sizes[k]:
-                    starts[size].append(np.arange(max(0, at - size + n), min(at, max(0, len(hashes) - size)) + 1))
-            for size, found in starts.items():
-                yield from self._best(own, np.unique(np.concatenate(found)), size, n)
+                    holding[size].append(k)
+            for size, of_size in holding.items():
+                own_at = at[np.isin(place, of_size)]
+                first, last = np.maximum(0, own_at - size + n), np.minimum(own_at, max(0, len(hashes) - size))
+                yield from self._best(own, sums, _pieces(first, last, size - n + 1), size, n)
 
-    def _best(self, own: np.ndarray, starts: np.ndarray, size: int, n: int) -> Iterator[tuple[int, int, int, float]]:
+    def _best(self, own: np.ndarray, totals: np.ndarray, pieces: Iterator[np.ndarray], size: int, n: int) -> Iterator[tuple[int, int, int, float]]:
         wide = size - n + 1
         best: dict[int, tuple[float, int]] = {}
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > wide) + 1):
-            for piece in np.array_split(part, max(1, len(part) // 4096)):
-                low, high = int(piece[0]), min(int(piece[-1]) + wide, len(own))
-                sums = np.zeros((high - low + 1, 64 * WORDS), np.int32)
-                np.cumsum(signs(own[low:high]), axis=0, out=sums[1:])
-                prints = fingerprints(sums[np.minimum(piece + wide, high) - low] - sums[piece - low])
-                rows, items = self.index[size].within(prints)
-                for row, item in zip(rows.tolist(), items.tolist()):
-                    at = int(piece[row])
-                    window, (item_id, wanted) = Counter(own[at : at + wide].tolist()), self.by_size[size][item]
+        known: dict[tuple[int, int], float] = {}
+        for piece in pieces:
+            if len(known) > KNOWN:
+                known.clear()
+            low, high = int(piece[0]), min(int(piece[-1]) + wide, len(own))
+            sums = np.zeros((high - low + 1, 64 * WORDS), np.int32)
+            np.cumsum(signs(own[low:high]), axis=0, out=sums[1:])
+            prints = fingerprints(sums[np.minimum(piece + wide, high) - low] - sums[piece - low])
+            rows, items = self.index[size].within(prints)
+            for row, item in zip(rows.tolist(), items.tolist()):
+                at = int(piece[row])
+                item_id, wanted = self.by_size[size][item]
+                alike = (int(totals[min(at + wide, len(own))] - totals[at]), item)
+                if alike not in known:  # text that repeats has few different windows
+                    window = Counter(own[at : at + wide].tolist())
                     both = (window & wanted).total()
-                    similarity = both / (window.total() + wanted.total() - both)
-                    if similarity >= SIMILARITY and similarity > best.get(item_id, (0.0, 0))[0]:
-                        best[item_id] = (similarity, at)
+                    known[alike] = both / (window.total() + wanted.total() - both)
+                similarity = known[alike]
+                if similarity >= SIMILARITY and similarity > best.get(item_id, (0.0, 0))[0]:
+                    best[item_id] = (similarity, at)
         for item_id, (similarity, at) in sorted(best.items()):
             yield item_id, at, size, similarity
 
@@ -196,8 +227,11 @@ def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold no passage and stay; without benchmark items all rows stay.
     """
-    row = fresh_name(docs, "row")
-    rows = numbered(docs, row)
-    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = cut(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return rows.join(leaks, F.col(row) == F.col("_leak"), "left_anti").select(*docs.columns)
+
+    def clean(own: DataFrame) -> DataFrame:
+        rows = numbered(own, "row")
+        found = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        leaks = cut(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+        return rows.join(leaks, F.col("row") == F.col("leak"), "left_anti").drop("row")
+
+    return with_safe_names(clean, docs, "text")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, free, fresh_name, numbered, table
+from sparkquarry.llm.shared import cut, free, numbered, table, with_safe_names
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
 BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a range of hashes
@@ -351,12 +351,15 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     unless their group has a document with an id, and of a group without any id one row stays;
     so does one of rows that are near duplicates under the smallest id.
     """
-    row = fresh_name(docs, "row")
-    rows = numbered(docs, row)
-    parts = _components_of_rows(rows.select(F.col(row).alias("doc_id"), "text"), 5, 80)
-    ids = rows.select(F.col(row).alias("_at"), "doc_id")
-    found = parts.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).getField("_row")
-    kept = cut(found.groupBy("component_id").agg(first.alias("_kept")).select("_kept"), "jaccard-kept")
-    free(parts)
-    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*docs.columns)
+
+    def distinct(own: DataFrame) -> DataFrame:
+        rows = numbered(own, "row")
+        parts = _components_of_rows(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80)
+        ids = rows.select(F.col("row").alias("_at"), "doc_id")
+        found = parts.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_at"))
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).getField("_row")
+        kept = cut(found.groupBy("component_id").agg(first.alias("_kept")).select("_kept"), "jaccard-kept")
+        free(parts)
+        return rows.join(kept, F.col("row") == F.col("_kept"), "left_semi").drop("row")
+
+    return with_safe_names(distinct, docs, "doc_id", "text")

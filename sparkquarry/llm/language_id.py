@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import fresh_name, table
+from sparkquarry.llm.shared import fresh_name, table, with_safe_names
 
 UNDETERMINED = "und"
 DIMS = 2048
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, dims: int = DIMS) -> DataFra
             found = [sent.value.predict(features(t, letters[0], dims)) for t in batch]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn(out, predict("text")).select(*docs.columns, f"{out}.lang_pred", f"{out}.score")
+    return docs.withColumn(out, predict("text")).select("*", f"{out}.lang_pred", f"{out}.score").drop(out)
 
 
 def held_out(fold: int = 2, folds: int = 4):
@@ -199,5 +199,5 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty and letterless texts (and all, if there is nothing to learn from).
     """
     model = train_on_documents(table(spark, sf_dir, "documents"))
-    out = identify(docs, model)
-    return out.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    known = lambda own: identify(own, model).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
+    return with_safe_names(known, docs, "text")

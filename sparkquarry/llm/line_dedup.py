@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import BLANKS, ascii_lower, cut, table
+from sparkquarry.llm.shared import BLANKS, ascii_lower, cut, table, with_safe_names
 
 #: Lines that make up more than one in so many of all are marked without a shuffle; there can't be more of them than that.
 HOT_SHARE = 4096
@@ -31,6 +31,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     (n_lines and n_dropped of the input are replaced).
     """
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    own = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in [*others, "text"]])
+    safe = [c if c == "doc_id" else f"other_{i}" for i, c in enumerate(others)]
+    return _without_lines(own.toDF(*safe, "text"), safe, min_chars, min_docs).toDF(*others, "text", "n_lines", "n_dropped")
+
+
+def _without_lines(docs: DataFrame, others: list[str], min_chars: int, min_docs: int) -> DataFrame:
+    """See `dedup_lines`; the columns of `docs` are `others`, of safe names, and text."""
     # Equal (doc_id, text) rows have equal line positions, so this pair identifies a text.
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     exploded = docs.where(F.col("doc_id").isNotNull()).select(
@@ -65,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     )
     # The text is split below the join: what stands above it reads a finished array, not a split of its own for every line.
     row = docs.select(
-        F.struct(*[docs[c] for c in others]).alias("_row"), F.col("doc_id").alias("_id"), text_hash.alias("_own_text"), _lines(F.col("text")).alias("_split")
+        F.struct(*others).alias("_row"), F.col("doc_id").alias("_id"), text_hash.alias("_own_text"), _lines(F.col("text")).alias("_split")
     )
     joined = row.join(dropped, (F.col("_id") == F.col("_doc")) & (F.col("_own_text") == F.col("_text")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.coalesce("_dropped", F.array().cast("array<int>")))
@@ -107,7 +114,11 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty; rows without doc_id keep all their lines.
     """
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+
+    def deduped(own: DataFrame) -> DataFrame:
+        out = dedup_lines(own)
+        if "n_chars" in own.columns:
+            out = out.withColumn("n_chars", F.length("text").cast("long"))
+        return out.select(*own.columns)
+
+    return with_safe_names(deduped, docs, "doc_id", "text", "n_chars")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -91,17 +91,24 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     with their numbers. The file names that this joins are as few as the input's files.
     """
     try:
+        own = docs.select(F.struct("*").alias("_row"), F.col("_metadata.file_path").alias("_of"), F.col("_metadata.row_index").alias("_at"))
         files = docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
-    except AnalysisException:
+    except AnalysisException:  # not of files, or of files whose rows have no numbers
         return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
     by_name = Window.partitionBy(F.lit(0)).orderBy("_path")
     files = cut(files.withColumn("_file", F.row_number().over(by_name)), "files")
-    own = docs.select(F.struct("*").alias("_row"), F.col("_metadata.file_path").alias("_of"), F.col("_metadata.row_index").alias("_at"))
     number = F.col("_file").cast("long") * F.lit(1 << 36) + F.col("_at")
     met = own.join(F.broadcast(files), F.col("_of") == F.col("_path"))
     return met.select(*[F.col("_row")[c].alias(c) for c in docs.columns], number.alias(row))
 
 
+def with_safe_names(stage: Callable[[DataFrame], DataFrame], docs: DataFrame, *known: str) -> DataFrame:
+    """What `stage`, which keeps a table's columns, makes of `docs`; it sees columns other than `known` under
+    names that clash with nothing."""
+    safe = docs.toDF(*[c if c in known else f"other_{i}" for i, c in enumerate(docs.columns)])
+    return stage(safe).toDF(*docs.columns)
+
+
 def ascii_lower(col):
     """A-Z lower-cased; all other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
