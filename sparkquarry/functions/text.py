@@ -68,3 +68,9 @@ def jaccard(left: Column, right: Column) -> Column:
     """Shared by all tokens of two sets; 0 if both are empty."""
     both = F.size(F.array_union(left, right))
     return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(left, right)) / both)
+
+
+def locale_order(value: Column | str, locale: str = "UNICODE") -> Column:
+    """A text by which rows sort as a reader of `locale` expects: accents and case only part what is alike
+    without them. The collation also holds in windows, and in a sort over all rows, which deals them to ranges by it."""
+    return F.collate(F.coalesce(_col(value), F.lit("")), locale)

@@ -277,3 +277,42 @@ SEARCH_TALK = (
     "capabilities", "official", "source", "evidence", "matters",
 )
 LOCAL_TERMS = "Canada|Canadian|Ontario|ON|Greater Toronto|GTA|Toronto|Vaughan|Woodbridge"
+
+# Searches for people, by phase.
+WIDE_SEARCHES = (
+    '"{alias}" LinkedIn', '"{alias}" employees', '"{alias}" employee directory', '"{alias}" management team', 'site:linkedin.com/in "{alias}"', 'site:ca.linkedin.com/in "{alias}"',
+    'site:wiza.co "{alias}"', 'site:rocketreach.co "{alias}"', 'site:zoominfo.com "{alias}"', 'site:signalhire.com "{alias}"', 'site:apollo.io "{alias}"', 'site:theorg.com "{alias}"',
+)
+PRIORITY_SEARCHES = (
+    '"{alias}" "acquired"', '"{alias}" "operator"', '"{alias}" "owner"', 'site:linkedin.com/in "{alias}" "acquired"', 'site:ca.linkedin.com/in "{alias}" "acquired"',
+    'site:linkedin.com/in "{alias}" "operator"', 'site:ca.linkedin.com/in "{alias}" "operator"', 'site:linkedin.com/in "{alias}"', 'site:ca.linkedin.com/in "{alias}"',
+    'site:rocketreach.co "{alias}"', 'site:zoominfo.com "{alias}"', 'site:signalhire.com "{alias}" employees', 'site:allbiz.ca "{alias}"', 'site:wiza.co "{alias}"',
+    '"{alias}" "Operations Manager" "Bakers Journal"', '"{alias}" "Quality Assurance Manager" "Bakers Journal"',
+)
+PRIORITY_TITLES = (
+    "head brewer", "brewing assistant", "brewer", "head roaster", "roaster", "plant manager", "operations manager", "production manager", "maintenance supervisor", "maintenance manager",
+    "quality assurance manager", "quality assurance specialist", "qa manager", "qa specialist", "supervisor", "machine operator", "sanitation worker", "operator", "owner", "president",
+    "vice president", "vp", "founder", "partner", "board member", "acquired",
+)
+PRIORITY_TITLE_SEARCHES = (
+    '"{alias}" "{title}"', 'site:linkedin.com/in "{alias}" "{title}"', 'site:ca.linkedin.com/in "{alias}" "{title}"', 'site:signalhire.com "{alias}" "{title}"', 'site:allbiz.ca "{alias}" "{title}"',
+)
+NARROW_TITLES = (
+    "maintenance manager", "maintenance supervisor", "maintenance technician", "millwright", "plant manager", "facility manager", "production manager", "production supervisor",
+    "operations manager", "director of operations", "chief operating officer", "quality assurance manager", "quality manager", "technical services manager", "engineering manager",
+    "warehouse manager", "logistics manager", "supply chain manager", "procurement manager", "purchasing manager", "head brewer", "brewing assistant", "brewer", "head roaster", "roaster",
+    "owner", "president",
+)
+NARROW_SEARCHES = (
+    '"{alias}" "{title}"', 'site:linkedin.com/in "{alias}" "{title}"', 'site:ca.linkedin.com/in "{alias}" "{title}"', 'site:wiza.co "{alias}" "{title}"',
+    'site:rocketreach.co "{alias}" "{title}"', 'site:zoominfo.com "{alias}" "{title}"',
+)
+REPAIR_TITLES = (
+    "plant manager", "maintenance manager", "production manager", "operations manager", "quality manager", "quality assurance", "technical services", "facility manager", "warehouse manager",
+    "procurement", "purchasing", "owner", "president", "vice president", "general manager",
+)
+REPAIR_SEARCHES = (
+    '"{name}" "{alias}" LinkedIn', 'site:linkedin.com/in "{name}" "{alias}"', 'site:ca.linkedin.com/in "{name}" "{alias}"', 'site:rocketreach.co "{name}" "{alias}"',
+    'site:zoominfo.com "{name}" "{alias}"', 'site:wiza.co "{name}" "{alias}"',
+)
+REPAIR_TITLE_SEARCHES = ('"{name}" "{alias}" "{title}"', 'site:linkedin.com/in "{name}" "{alias}" "{title}"', 'site:ca.linkedin.com/in "{name}" "{alias}" "{title}"')

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import js
+from sparkquarry.functions import js, text
 from sparkquarry.functions import values as v
 from sparkquarry.operators import context as x
+from sparkquarry.operators import phases
 from sparkquarry.plans.catalogue import _HOST, _query
 from sparkquarry.plans.company import _PROFILE, _WHAT, _company, _person, _tokens
 from sparkquarry.plans.samples import sample, sql
@@ -82,3 +83,61 @@ def repaired_contacts(table):
     results = leads.where("id % 5 >= 2").select("group", F.col("id").alias("pos"), title.alias("title"), F.concat(F.lit("is at "), "company").alias("snippet"), F.col("link").alias("url"))
     companies = leads.where("id % 3 = 0").groupBy("group").agg(F.array_sort(F.collect_list("company")).alias("hints"))
     return x.repaired_contacts(results, candidates, companies)
+
+
+def _forms(forms, alias: str, title: str = "''") -> str:
+    return ", ".join("replace(replace(" + js.quoted(f) + ", '{alias}', " + alias + "), '{title}', " + title + ")" for f in forms)
+
+
+_ALL = lambda titles: "[" + ", ".join(js.quoted(t) for t in titles) + "]"
+_ONCE = lambda q: f"list_filter({q}, lambda u, i: list_position({q}, u) = i)"
+_QUERIES = {
+    "wide": f"[{_forms(v.WIDE_SEARCHES, 'alias')}]",
+    "priority": f"list_concat([{_forms(v.PRIORITY_SEARCHES, 'alias')}], flatten(list_transform({_ALL(v.PRIORITY_TITLES)}, lambda t: [{_forms(v.PRIORITY_TITLE_SEARCHES, 'alias', 't')}])))",
+    "narrow": f"flatten(list_transform(list_filter({_ALL(v.NARROW_TITLES)}, lambda t: NOT list_contains(titles, t)), lambda t: [{_forms(v.NARROW_SEARCHES, 'alias', 't')}]))",
+}
+
+
+def _phase(name: str, before: str | None, limit: int, size: int) -> str:
+    """One phase as subqueries: its short companies, what is asked, whom that finds first, where it stops, and all so far."""
+    known = f"(SELECT company, list_distinct(list(lower(title))) AS titles, count(*) AS n FROM {before}_known GROUP BY company)" if before else "(SELECT NULL::BIGINT AS company, []::VARCHAR[] AS titles, 0 AS n WHERE false)"
+    asked = f"AND (s.company, u.query) NOT IN (SELECT company, query FROM {before}_asked)" if before else ""
+    old = f"AND (l.company, h.contact) NOT IN (SELECT company, contact FROM {before}_known)" if before else ""
+    every = lambda what, new: f"(SELECT * FROM {before}_{what} UNION ALL {new})" if before else f"({new})"
+    return f"""{name}_short AS (SELECT c.company, c.alias, coalesce(k.titles, []) AS titles, coalesce(k.n, 0) AS n FROM c LEFT JOIN {known} k USING (company) WHERE coalesce(k.n, 0) < 3),
+{name}_lots AS (SELECT *, nth // {size} AS lot FROM (SELECT s.company, s.n, u.query, row_number() OVER (PARTITION BY s.company ORDER BY u.i) - 1 AS nth FROM (SELECT company, n, {_ONCE(_QUERIES[name])} AS q FROM {name}_short) s,
+  LATERAL (SELECT unnest(s.q) AS query, generate_subscripts(s.q, 1) AS i) u WHERE true {asked}) WHERE nth < {limit}),
+{name}_first AS (SELECT l.company, h.contact, min(l.nth) AS nth, min(l.lot) AS lot, arg_min(h.title, l.nth) AS title, any_value(l.n) AS n FROM {name}_lots l JOIN h ON l.query = h.query WHERE true {old} GROUP BY l.company, h.contact),
+{name}_stop AS (SELECT company, min(lot) AS stop FROM (SELECT company, lot, n + sum(more) OVER (PARTITION BY company ORDER BY lot) AS total FROM (SELECT company, lot, n, count(*) AS more FROM {name}_first GROUP BY ALL)) WHERE total >= 3 GROUP BY company),
+{name}_asked AS {every('asked', f"SELECT l.company, '{name}' AS phase, l.nth, l.query FROM {name}_lots l LEFT JOIN {name}_stop s USING (company) WHERE s.stop IS NULL OR l.lot <= s.stop")},
+{name}_known AS {every('known', f"SELECT l.company, '{name}' AS phase, l.contact, l.title FROM {name}_first l LEFT JOIN {name}_stop s USING (company) WHERE s.stop IS NULL OR l.lot <= s.stop")}"""
+
+
+_FOUND = """CASE lower(title) WHEN 'owner' THEN '"' || company || '" management team' WHEN 'operations' THEN 'site:zoominfo.com "' || company || '"' ELSE '"' || company || '" "' || lower(title) || '"' END"""
+
+
+@_query(f"""WITH c AS (SELECT id AS company, company AS alias FROM {_LEADS}), h AS (SELECT query, contact, min(title) AS title FROM (SELECT {_FOUND} AS query, person AS contact, title FROM {_LEADS}) GROUP BY ALL),
+{_phase('wide', None, 12, 4)}, {_phase('priority', 'wide', 48, 4)}, {_phase('narrow', 'priority', 24, 5)}
+SELECT a.company, a.phase, a.queries, a.digest, coalesce(k.contacts, 0) AS contacts FROM (SELECT company, phase, count(*) AS queries, md5(string_agg(query, chr(10) ORDER BY nth)) AS digest FROM narrow_asked GROUP BY ALL) a
+  LEFT JOIN (SELECT company, phase, count(*) AS contacts FROM narrow_known GROUP BY ALL) k USING (company, phase)""")
+def phased_searches(table):
+    """What is asked for each company in three phases, until it has three contacts; hits are what leads of its name tell."""
+    leads = sample(table, "leads")
+    companies = leads.select(F.col("id").alias("company"), F.array("company").alias("aliases"))
+    quoted = F.concat(F.lit('"'), "company", F.lit('"'))
+    low = F.lower("title")
+    query = F.when(low == "owner", F.concat(quoted, F.lit(" management team"))).when(low == "operations", F.concat(F.lit("site:zoominfo.com "), quoted)).otherwise(F.concat(quoted, F.lit(' "'), low, F.lit('"')))
+    hits = leads.select(query.alias("query"), F.col("person").alias("contact"), "title")
+    return phases.asked_and_found(*phases.phased_search(companies, hits))
+
+
+@_query("""SELECT p_partkey, name, row_number() OVER (PARTITION BY p_brand ORDER BY lower(translate(name, 'éÉÀ', 'eEA')), CASE WHEN contains(name, 'é') OR contains(name, 'É') OR contains(name, 'À') THEN 1 ELSE 0 END,
+  CASE WHEN left(name, 1) = lower(left(name, 1)) THEN 0 ELSE 1 END, p_partkey) AS place FROM (SELECT p_partkey, p_brand, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(left(p_name, 1)) || substr(p_name, 2)
+  WHEN 2 THEN replace(p_name, 'e', 'é') ELSE p_name || ' ' || p_type END AS name FROM part)""")
+def locale_places(table):
+    """Products of each brand in the order of a reader: accents and capitals part only what is alike otherwise."""
+    k, low = F.col("p_partkey") % 4, F.col("p_name")
+    name = F.when(k == 0, low).when(k == 1, F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000))).when(k == 2, F.replace(low, F.lit("e"), F.lit("é"))).otherwise(F.concat("p_name", F.lit(" "), "p_type"))
+    parts = table("part").select("p_partkey", "p_brand", name.alias("name"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(text.locale_order("name"), "p_partkey"))
+    return parts.select("p_partkey", "name", place.alias("place"))
