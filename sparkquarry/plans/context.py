@@ -63,10 +63,10 @@ _USEFUL = f"""(role <> '' AND length(role) <= 140 AND NOT {_T('role', v.WEAK_TIT
   AND {_T('role', chr(92) + 'b(?:' + '|'.join(v.TITLE_TERMS) + ')' + chr(92) + 'b')})"""
 
 
-@_query(f"""WITH RECURSIVE h AS (SELECT nation AS g, {_company('company')} AS k, list_filter({_tokens('company')}, lambda t: length(t) >= 4) AS w, row_number() OVER (PARTITION BY nation ORDER BY company) AS nth FROM {_LEADS} WHERE id % 3 = 0),
-p AS (SELECT nation AS g, id, person, {_PROFILE} AS p, {_person('person')} AS k, {_POINTS(_PROFILE, chr(39) * 2, _WHAT)} AS s FROM {_LEADS} WHERE id % 5 < 2 AND {_SOLO}),
+@_query(f"""WITH RECURSIVE h AS (SELECT nation % 5 AS g, {_company('company')} AS k, list_filter({_tokens('company')}, lambda t: length(t) >= 4) AS w, row_number() OVER (PARTITION BY nation % 5 ORDER BY company) AS nth FROM {_LEADS} WHERE id % 3 = 0),
+p AS (SELECT nation % 5 AS g, id, person, {_PROFILE} AS p, {_person('person')} AS k, {_POINTS(_PROFILE, chr(39) * 2, _WHAT)} AS s FROM {_LEADS} WHERE {_SOLO}),
 c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY g, CASE WHEN p <> '' THEN p ELSE k END ORDER BY s DESC, id) = 1),
-r AS (SELECT nation AS g, id, {_PROFILE} AS p, link, {_company("person || ' - ' || title || ' - ' || company || ' is at ' || company || ' ' || link")} AS body, {_company("person || ' - ' || title || ' - ' || company || ' | LinkedIn is at ' || company")} AS hay, {_company("person || ' - ' || title || ' - ' || company || ' is at ' || company")} AS bare, {_company("title || ' ' || company")} AS own,
+r AS (SELECT nation % 5 AS g, id, {_PROFILE} AS p, link, {_company("person || ' - ' || title || ' - ' || company || ' is at ' || company || ' ' || link")} AS body, {_company("person || ' - ' || title || ' - ' || company || ' | LinkedIn is at ' || company")} AS hay, {_company("person || ' - ' || title || ' - ' || company || ' is at ' || company")} AS bare, {_company("title || ' ' || company")} AS own,
   person || ' - ' || title || ' - ' || company || ' is at ' || company AS t, {_E("CASE WHEN title = '' THEN company ELSE title || ' - ' || company END")} AS rest FROM {_LEADS} WHERE id % 5 >= 2),
 q AS (SELECT * FROM (SELECT *, CASE WHEN {_SEEN} <> '' AND EXISTS (SELECT 1 FROM h WHERE h.g = r.g AND ({_HAS('r.own', _ALONE)} OR (nth <= 2 AND {_HAS('r.bare', '')}))) THEN {_SEEN} ELSE rest END AS role FROM r WHERE EXISTS (SELECT 1 FROM h WHERE h.g = r.g AND {_HAS('r.hay', _ALONE)})) WHERE {_USEFUL}),
 m AS (SELECT c.g, c.id AS candidate, q.id AS result, c.person, c.k, c.s AS rank, q.role, CASE WHEN c.p <> '' THEN c.p ELSE q.p END AS link, q.link AS source FROM c JOIN q ON c.g = q.g AND ((c.p <> '' AND c.p = q.p) OR contains(q.body, c.k))),
@@ -76,9 +76,9 @@ w AS (SELECT 0::BIGINT AS z, []::VARCHAR[] AS seen, false AS kept UNION ALL SELE
 SELECT g AS "group", person AS name, role AS title, link, source, 'title repaired from public people search' AS notes, result, candidate FROM o JOIN w ON o.i = w.z WHERE kept""")
 def repaired_contacts(table):
     """Contacts without a role and what search results of their company tell of it."""
-    leads = sample(table, "leads").withColumn("group", F.col("nation"))
+    leads = sample(table, "leads").withColumn("group", F.col("nation") % 5)
     none = F.lit("")
-    candidates = leads.where("id % 5 < 2").select("group", F.col("id").alias("pos"), F.col("person").alias("name"), "link", none.alias("source"), none.alias("notes"), "title")
+    candidates = leads.select("group", F.col("id").alias("pos"), F.col("person").alias("name"), "link", none.alias("source"), none.alias("notes"), "title")
     title = F.concat("person", F.lit(" - "), "title", F.lit(" - "), "company", F.lit(" | LinkedIn"))
     results = leads.where("id % 5 >= 2").select("group", F.col("id").alias("pos"), title.alias("title"), F.concat(F.lit("is at "), "company").alias("snippet"), F.col("link").alias("url"))
     companies = leads.where("id % 3 = 0").groupBy("group").agg(F.array_sort(F.collect_list("company")).alias("hints"))
