@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkquarry.llm.shared import table
+from sparkquarry.llm.shared import give_back, table
 
 #: About so much memory a Python worker spends on words whose ids it keeps; then it starts afresh.
 CACHED_BYTES, WORD_BYTES = 32_000_000, 160
@@ -223,6 +223,8 @@ def _with_columns(docs: DataFrame, spec: str, columns: Callable[[WordBpe, list[s
                 part = batch.slice(low, high - low)
                 made = columns(bpe, [t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*before, *names])
+                del made
+        give_back()
 
     types = T.StructType([*safe.schema.fields, *T._parse_datatype_string(schema).fields])
     return safe.mapInArrow(run, types).toDF(*docs.columns, *names)

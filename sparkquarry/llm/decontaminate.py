@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import cut, numbered, table, with_safe_names
+from sparkquarry.llm.shared import cut, give_back, numbered, table, with_safe_names
 from sparkquarry.llm.words import mix, ngrams, ranges, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -212,6 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) for m in items.matches(t)]
                 out = pd.DataFrame(rows, columns=names)
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+            del items
+            give_back()
 
         part = docs.select("doc_id", "text").mapInPandas(search, schema)
         found = part if found is None else found.unionByName(part)

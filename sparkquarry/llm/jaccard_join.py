@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquarry.llm.components import components, spanning_edges
-from sparkquarry.llm.shared import cut, free, numbered, table, with_safe_names
+from sparkquarry.llm.shared import cut, free, give_back, numbered, table, with_safe_names
 from sparkquarry.llm.words import pack, pack_sorted, ranges, shingles, unpack, unpack_sorted, word_hashes
 
 BLOCK = 1_500_000  # shingles in a block of documents, and about as many in a range of hashes
@@ -93,6 +93,8 @@ def _blocks(batches: Iterator[pd.DataFrame], n: int, buckets: int) -> Iterator[p
                 seq, held, docs, sets = seq + 1, 0, [], {}
     if docs:
         yield flush()
+    sets.clear()
+    give_back()
 
 
 def _shared(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:

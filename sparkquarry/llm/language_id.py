@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.shared import fresh_name, table, with_safe_names
+from sparkquarry.llm.shared import fresh_name, give_back, table, with_safe_names
 
 UNDETERMINED = "und"
 DIMS = 2048
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel, dims: int = DIMS) -> DataFra
         for batch in texts:
             found = [sent.value.predict(features(t, letters[0], dims)) for t in batch]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        give_back()
 
     return docs.withColumn(out, predict("text")).select("*", f"{out}.lang_pred", f"{out}.score").drop(out)
 

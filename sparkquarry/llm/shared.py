@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-")
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on, and the next step's come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 @contextmanager
 def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Within, a finished write gives back its shuffle files at once, not when the driver next collects garbage."""
