@@ -12,15 +12,8 @@ STREET_WORDS = (
 )
 POSTAL = r"\b[a-z]\d[a-z][ -]?\d[a-z]\d\b"
 NICKNAMES = (("steve", "steven"), ("mike", "michael"), ("joe", "joseph"), ("bob", "robert"), ("rob", "robert"), ("liz", "elizabeth"))
-MAIL_HOSTS = ("gmail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "rogers.com", "sympatico.ca", "bell.net")
 PHONE = r"(?:\+?1[\s.-]?)?(?:\(?\d{3}\)?[\s.-]?)\d{3}[\s.-]?\d{4}"
 EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-DOMAIN = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|https?://[^\s|;]+|(?:www\.)?[a-z0-9.-]+\.[a-z]{2,}(?:/[^\s|;]+)?"
-STREET_TYPES = "street|st|avenue|ave|road|rd|drive|dr|boulevard|blvd|lane|ln|court|ct|way|parkway|pkwy|highway|hwy|crescent|cres|circle|cir"
-ADDRESS_LOOSE = (
-    r"\b\d{1,6}\s+[A-Za-z0-9.'#&/\- ]{2,90}\b(?:" + STREET_TYPES + r")\b(?:\s+(?:north|south|east|west|n|s|e|w))?(?:\s*(?:unit|suite|ste|#)\s*[A-Za-z0-9-]+)?"
-)
-ADDRESS_STRICT = r"\b\d{1,6}\s+[A-Za-z0-9.'#,\-/ ]{3,140}(?:Ontario|ON)[ ,]+[A-Z]\d[A-Z][ -]?\d[A-Z]\d\b"
 SKIP_HOSTS = r"(?:yellowpages|pagesjaunes|canpages|411|google|bing|yahoo|linkedin|facebook|instagram|youtube|indeed|glassdoor|workopolis|jobbank|monster|ziprecruiter|simplyhired|eluta)\."
 SKIP_NAMES = r"^(home|about|contact|contacts|locations?|products?|services?|careers?|jobs?|menu|shop|shop online|opening|website|phone number|view map)$"
 SKIP_TOKENS = ("canada", "ontario", "limited", "ltd", "inc", "corp", "company", "group", "products", "services")
@@ -172,7 +165,6 @@ ROLE_HINTS = (
 
 # Recent signals.
 SIGNAL_INCLUDE = r"\b(hiring|hire|job opening|job posting|careers?|recruiting|recruitment|seeking|millwright|maintenance mechanic|maintenance technician|production operator|production supervisor|plant manager|operations manager|head brewer|brewer|brewing assistant|roaster|head roaster|expansion|expand|expanding|expanded|new facility|new plant|new site|new production line|production line|capacity|permit|approval|environmental compliance approval|eca|construction|investment|investing|planned expansion)\b"
-SIGNAL_NOISE = r"\b(address|phone|official site|about|located|product list|products?|capabilities|independent craft|proudly located|built in|refurbished|facility address|contact page|store hours|taproom|tour|brewery tours?|charity|award|ambassador|walk a mile|sponsor|sponsorship|fundraiser|customer review|excellent service|newsletter|recipe|holiday hours|giveaway|webinar|conference|podcast|blog)\b"
 SIGNAL_HIRING = r"\b(hiring|hire|job opening|job posting|job ad|jobs?|careers?|employment|recruiting|recruitment|seeking|apply|now hiring)\b"
 SIGNAL_ROLE = r"\b(millwright|maintenance mechanic|maintenance technician|industrial mechanic|production operator|production worker|production associate|production supervisor|production manager|plant manager|plant supervisor|operations manager|operations supervisor|warehouse|logistics|quality assurance|quality control|qa\b|food safety|sanitation|packaging|machine operator|head brewer|brewer|brewing assistant|roaster|head roaster)\b"
 SIGNAL_GROWTH = r"\b(expansion|expand|expanding|expanded|planned expansion|new facility|new plant|new site|new location|opening|opened|relocat(?:e|ing|ed)|larger facility|production line|capacity|capacity increase|permit|approval|environmental compliance approval|eca|construction|building permit|investment|investing|invested|capital project|equipment upgrade|plant upgrade)\b"

@@ -35,10 +35,10 @@ def signal_searches(table):
     return sample(table, "leads").select("id", every.alias("n"), F.md5(F.array_join(made, "\n")).alias("queries"))
 
 
-@_query(f"""SELECT id, unnest(list_transform([{', '.join(js.quoted(f) for f in rules.PEOPLE_SEARCHES)}], lambda f: replace(f, '{{alias}}', company))) AS query FROM {_LEADS} WHERE id % 5 = 0""")
+@_query(f"""SELECT id, unnest(list_transform([{', '.join(js.quoted(f) for f in rules.PEOPLE_SEARCHES)}], lambda f: replace(f, '{{alias}}', company))) AS query FROM {_LEADS}""")
 def people_searches(table):
     """What is searched for to find a company's people, for a name as it stands."""
-    return sample(table, "leads").where("id % 5 = 0").select("id", F.explode(rules.people_searches(F.array("company"))).alias("query"))
+    return sample(table, "leads").select("id", F.explode(rules.people_searches(F.array("company"))).alias("query"))
 
 
 _PARTS = f"list_filter(string_split({_S(_S('lower(person)', '[^a-z\\s' + chr(39) + '-]', ' '), r'\s+', ' ')}, ' '), lambda p: p <> '' AND NOT regexp_matches(p, '^(mr|mrs|ms|dr|prof|sir|madam)$'))"

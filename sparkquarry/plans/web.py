@@ -243,7 +243,7 @@ _HELD = lambda kind, col: f"({col} <> '' AND (list_contains(seen, '{kind}' || {c
 
 
 @_query(f"""WITH RECURSIVE l AS (SELECT id, {_key('company', v.LEGAL)} AS name, {_address('address')} AS address, {_domain('website')} AS domain, CASE WHEN length({_digits('phone')}) < 10 THEN '' ELSE right({_digits('phone')}, 10) END AS phone FROM {_LEADS}),
-r AS (SELECT row_number() OVER (ORDER BY id) AS i, * FROM l WHERE id % 4 <> 0), o AS (SELECT list('n' || name) FILTER (WHERE name <> '') || list('a' || address) FILTER (WHERE address <> '') AS old, list(name) FILTER (WHERE id % 24 = 0 AND name <> '') AS hard FROM l WHERE id % 12 = 0),
+r AS (SELECT row_number() OVER (ORDER BY id) AS i, * FROM l WHERE id % 4 <> 0), o AS (SELECT list('n' || name) FILTER (WHERE name <> '') || list('a' || address) FILTER (WHERE address <> '') AS old, list(name) FILTER (WHERE id % 24 = 0 AND name <> '') AS hard FROM l WHERE id % 4 = 0),
 w AS (SELECT 0::BIGINT AS z, []::VARCHAR[] AS seen, []::BIGINT[] AS ids UNION ALL SELECT i, CASE WHEN dup THEN seen ELSE list_concat(seen, new) END, CASE WHEN dup THEN ids ELSE list_append(ids, id) END FROM (SELECT r.i, r.id, w.seen, w.ids, {_NEW} AS new,
   coalesce(list_contains(hard, name), false) OR {_HELD('a', 'address')} OR (address = '' AND ({_HELD('n', 'name')} OR {_HELD('p', 'phone')})) OR (name <> '' AND domain <> '' AND list_contains(seen, 'n' || name) AND list_contains(seen, 'd' || domain)) AS dup
   FROM w JOIN r ON r.i = w.z + 1, o)) SELECT id AS pos, name, address, domain, phone, list_contains((SELECT ids FROM w ORDER BY z DESC LIMIT 1), id) AS accepted FROM r""")
@@ -251,7 +251,7 @@ def accepted_leads(table):
     """Leads in order, without duplicates of known companies or of leads accepted before."""
     leads = sample(table, "leads").where("id % 4 <> 0")
     keys = leads.select(F.col("id").alias("pos"), n.dedupe_name("company").alias("name"), n.address_key("address").alias("address"), n.domain_key("website").alias("domain"), n.phone_key("phone").alias("phone"))
-    old = sample(table, "leads").where("id % 12 = 0")
+    old = sample(table, "leads").where("id % 4 = 0")
     each = F.explode(F.array(F.struct(F.lit("name").alias("kind"), n.dedupe_name("company").alias("key")), F.struct(F.lit("address").alias("kind"), n.address_key("address").alias("key"))))
     known = old.select(each.alias("k"), (F.col("id") % 24 == 0).alias("skip")).select("k.*", "skip")
     return greedy.without_duplicates(keys, known)
