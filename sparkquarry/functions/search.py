@@ -97,10 +97,11 @@ def is_official(title: Column, snippet: Column, url: Column) -> Column:
     return is_trusted(url) | ~(bad | (~plant & eating))
 
 
-def is_skipped(title: Column, snippet: Column, url: Column) -> Column:
+def is_skipped(title: Column, snippet: Column, url: Column, more: tuple[str, ...] = (), keep_jobs: bool = False) -> Column:
+    """Is a result a list, a review, an eatery or the like? `more` has other words to leave out, in small letters."""
     hay = F.lower(F.concat_ws(" ", title, url, snippet))
     plant, found = js.test(hay, v.FOOD_PLANT, ""), F.lit(False)
-    for words in (*v.SKIP_RESULT, *v.SKIP_JOBS):
+    for words in (*v.SKIP_RESULT, *(() if keep_jobs else v.SKIP_JOBS), *more):
         hit = F.contains(hay, F.lit(words))
         found = found | (hit & ~plant if words == "cafe" else hit)
     return ~is_trusted(url) & (found | ~is_official(title, snippet, url))
@@ -115,12 +116,26 @@ def is_local(title: Column, snippet: Column, url: Column, query: Column, host: C
     return below(host, ("linkedin.com",)) | (usual & (local | js.test(hay, v.PLANT_RESULT, "") | is_official(title, snippet, url))) | (~usual & local)
 
 
-def kept_results(found: DataFrame, limit: int = 8) -> DataFrame:
-    """The results (query, pos, title, url, snippet) that lead to companies, one a site, the first `limit` of each query; adds domain and site."""
+def kept_results(
+    found: DataFrame, limit: int = 8, allowed: tuple[str, ...] = (), allow_blocked: bool = False, skip: tuple[str, ...] = (), keep_jobs: bool = False, keep_path: bool = False
+) -> DataFrame:
+    """The results (query, pos, title, url, snippet) that lead to companies, one a site, the first `limit` of each query; adds domain and site.
+
+    With `allowed`, only hosts at or below these, which are then never blocked; with `allow_blocked`,
+    no host is. `skip` has more words that leave a result out; `keep_jobs` lets lists of jobs pass.
+    A site is a host, or with `keep_path`, and on profile hosts always, an address without query and fragment.
+    """
     title, snippet, url = F.col("title"), F.col("snippet"), F.col("url")
     rows = found.withColumn("domain", n.domain_key(url))
-    good = (F.col("domain") != "") & ~below(F.col("domain"), v.BLOCKED_HOSTS) & ~is_skipped(title, snippet, url) & is_local(title, snippet, url, F.col("query"), F.col("domain"))
-    rows = rows.where(good).withColumn("site", F.concat(F.lit("site://"), F.col("domain")))
+    host = F.col("domain")
+    good = (host != "") & ~is_skipped(title, snippet, url, skip, keep_jobs) & is_local(title, snippet, url, F.col("query"), host)
+    if allowed:
+        good = good & below(host, allowed)
+    elif not allow_blocked:
+        good = good & ~below(host, v.BLOCKED_HOSTS)
+    path = F.lower(js.sub(js.sub(url, r"[?#].*$", "", "s"), "/$", ""))
+    site = F.when(F.lit(keep_path) | below(host, ("linkedin.com",)), path).otherwise(F.concat(F.lit("site://"), host))
+    rows = rows.where(good).withColumn("site", site)
     held = F.min(F.struct("pos", "title", "url", "snippet", "domain")).alias("r")
     first = rows.groupBy("query", "site").agg(held).select("query", "site", "r.*")
     # A query's results are a page or two: the first of its sites are few.

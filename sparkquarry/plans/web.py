@@ -132,15 +132,33 @@ _OFFICIAL = f"""NOT ({_T('lower(url)', v.NOT_OFFICIAL[0][1], '')} OR {_T('lower(
   OR (NOT {_PLANTY} AND ({_T('lower(title)', v.EATING_TITLE, '')} OR {_T('lower(title)', v.EATING, '')} OR {_T('lower(snippet)', v.EATING, '')})))"""
 
 
-@_query(f"""WITH r AS (SELECT nation AS query, id AS pos, company AS title, {_HIT_URL} AS url, says AS snippet, city FROM {_LEADS}), d AS (SELECT *, lower(title || ' ' || url || ' ' || snippet) AS h, {_domain('url')} AS domain FROM r),
-k AS (SELECT *, {_T('domain', _TRUSTED)} AS trusted FROM d), f AS (SELECT * FROM k WHERE domain <> '' AND NOT {_T('domain', _HOSTS)} AND (trusted OR NOT (({_SKIPS}) OR NOT {_OFFICIAL}))
+def _kept_sql(hosts: str, skips: str, key: str, limit: int) -> str:
+    return f"""WITH r AS (SELECT nation AS query, id AS pos, company AS title, {_HIT_URL} AS url, says AS snippet, city FROM {_LEADS}), d AS (SELECT *, lower(title || ' ' || url || ' ' || snippet) AS h, {_domain('url')} AS domain FROM r),
+k AS (SELECT *, {_T('domain', _TRUSTED)} AS trusted FROM d), f AS (SELECT *, {key} AS site FROM k WHERE domain <> '' AND {hosts} AND (trusted OR NOT (({skips}) OR NOT {_OFFICIAL}))
   AND (contains(h, 'ontario') OR contains(h, 'canada') OR contains(h, 'guelph') OR (regexp_matches(domain, '[.](ca|com|net|org)$') AND ({_T('h', v.PLANT_RESULT, '')} OR trusted OR {_OFFICIAL}))))
-SELECT query, pos, 'site://' || domain AS site, title, url FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query, domain ORDER BY pos) = 1) QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 2""")
-def search_kept(table):
-    """Which results lead to companies: blocked hosts, lists, reviews and eateries are left out."""
+SELECT query, pos, site, title, url FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query, site ORDER BY pos) = 1) QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= {limit}"""
+
+
+def _hits(table):
     leads = sample(table, "leads")
     rows = leads.sparkSession.sql(f"SELECT concat('plants in \"Guelph\" ', CAST(nation AS STRING)) AS query, nation, id AS pos, company AS title, {_HIT_URL.replace('{', '{{')} AS url, says AS snippet FROM {{leads}}", leads=leads)
-    kept = search.kept_results(rows.select("query", "pos", "title", "url", "snippet"), 2)
+    return rows.select("query", "pos", "title", "url", "snippet")
+
+
+_PATH_SKIPS = _SKIPS.replace("".join(f" OR contains(h, {js.quoted(w)})" for w in v.SKIP_JOBS), " OR contains(h, 'soap')")
+
+
+@_query(_kept_sql("regexp_matches(domain, '(?:^|[.])(?:example[.]com|yelp[.]ca|gc[.]ca)$')", _PATH_SKIPS, "lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''))", 4))
+def search_kept_pages(table):
+    """Of a few hosts every page that may tell of people, one each; a host that is blocked otherwise may be among them."""
+    kept = search.kept_results(_hits(table), 4, allowed=("example.com", "yelp.ca", "gc.ca"), skip=("soap",), keep_jobs=True, keep_path=True)
+    return kept.select(js.first("query", "[0-9]+$").cast("int").alias("query"), "pos", "site", "title", "url")
+
+
+@_query(_kept_sql(f"NOT {_T('domain', _HOSTS)}", _SKIPS, "'site://' || domain", 2))
+def search_kept(table):
+    """Which results lead to companies: blocked hosts, lists, reviews and eateries are left out."""
+    kept = search.kept_results(_hits(table), 2)
     return kept.select(js.first("query", "[0-9]+$").cast("int").alias("query"), "pos", "site", "title", "url")
 
 
