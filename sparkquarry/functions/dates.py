@@ -34,3 +34,9 @@ def hint(text: Column) -> Column:
 def is_fresh(running: Column, published_ms: Column, now_ms: int, minutes: int = 75) -> Column:
     """Is a run that says it goes on still believed? A state without time isn't."""
     return F.coalesce(running & (F.lit(now_ms) - published_ms < minutes * 60_000), F.lit(False))
+
+
+def shown_in(at: Column, zone: str) -> Column:
+    """A UTC time (timestamp without zone) as it is shown in another zone: Mar 3, 2025, 4:05 p.m."""
+    there = F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
+    return F.concat(F.date_format(there, "MMM d, yyyy, h:mm "), F.when(F.hour(there) >= 12, "p.m.").otherwise("a.m."))

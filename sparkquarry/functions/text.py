@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import js
+
 BLANKS = r"[ \t\n\r\f\x0B]+"
 
 def _col(value: Column | str) -> Column:
@@ -74,3 +76,8 @@ def locale_order(value: Column | str, locale: str = "UNICODE") -> Column:
     """A text by which rows sort as a reader of `locale` expects: accents and case only part what is alike
     without them. The collation also holds in windows, and in a sort over all rows, which deals them to ranges by it."""
     return F.collate(F.coalesce(_col(value), F.lit("")), locale)
+
+
+def listed(value: Column | str) -> Column:
+    """The entries of a text that bars part, cleaned, empty ones left out."""
+    return F.filter(F.transform(F.split(_col(value), r"\|"), js.clean), lambda x: x != "")

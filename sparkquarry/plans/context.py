@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import js, text
+from sparkquarry.functions import dates, js, text
 from sparkquarry.functions import values as v
 from sparkquarry.operators import context as x
 from sparkquarry.operators import phases
@@ -141,3 +141,16 @@ def locale_places(table):
     parts = table("part").select("p_partkey", "p_brand", name.alias("name"))
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy(text.locale_order("name"), "p_partkey"))
     return parts.select("p_partkey", "name", place.alias("place"))
+
+
+@_query("SELECT event_id, strftime(t, '%b %-d, %Y, %-I:%M ') || CASE WHEN hour(t) >= 12 THEN 'p.m.' ELSE 'a.m.' END AS shown FROM (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Toronto' AS t FROM events)")
+def shown_times(table):
+    """Times of events as they are shown to readers in Toronto."""
+    return table("events").select("event_id", dates.shown_in(F.col("ts"), "America/Toronto").alias("shown"))
+
+
+@_query(f"""SELECT id, len(e) AS entries, array_to_string(e, ';') AS list FROM (SELECT id, list_filter(list_transform(string_split(city || ' |  ' || tags || '| ' || says, '|'), lambda x: {_E('x')}), lambda x: x <> '') AS e FROM {_LEADS})""")
+def listed_entries(table):
+    """Entries of lists that bars part."""
+    value = F.concat("city", F.lit(" |  "), "tags", F.lit("| "), "says")
+    return sample(table, "leads").select("id", text.listed(value).alias("e")).select("id", F.size("e").alias("entries"), F.array_join("e", ";").alias("list"))
