@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import js
+
 
 def lines(value: Column) -> Column:
     """A text's lines; null and empty texts have one empty line."""
@@ -32,13 +34,13 @@ def spans(rows: Column, most: int = 3, by: str = " ") -> Column:
         )
         return F.array_compact(F.array(*[F.when(z[str(w - 1)].isNotNull(), of(w)) for w in range(1, most + 1)]))
 
-    return F.flatten(F.transform(_shifted(rows, most), from_here))
+    return js.let(rows, lambda r: F.flatten(F.transform(_shifted(r, most), from_here)))
 
 
 def lines_after(value: Column, heading, boundary, most: int = 8) -> Column:
     """(line, taken) of every heading line: how many of the next `most` lines precede a boundary."""
     rows = lines(value)
-    zipped = _shifted(F.transform(rows, lambda x: F.coalesce(boundary(x), F.lit(False))), most + 1, F.transform(rows, lambda x: F.coalesce(heading(x), F.lit(False))))
+    ends, heads = F.transform(rows, lambda x: F.coalesce(boundary(x), F.lit(False))), F.transform(rows, lambda x: F.coalesce(heading(x), F.lit(False)))
 
     def after(z: Column, i: Column) -> Column:
         taken = F.lit(most)
@@ -46,4 +48,4 @@ def lines_after(value: Column, heading, boundary, most: int = 8) -> Column:
             taken = F.when(z[str(k)].isNull() | z[str(k)], k - 1).otherwise(taken)
         return F.when(z[str(most + 1)], F.struct((i + 1).alias("line"), taken.cast("int").alias("taken")))
 
-    return F.array_compact(F.transform(zipped, after))
+    return js.let(ends, lambda e: F.array_compact(F.transform(_shifted(e, most + 1, heads), after)))

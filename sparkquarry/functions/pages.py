@@ -109,10 +109,12 @@ def phones(text: Column) -> Column:
 
 def is_address(value: Column) -> Column:
     """Does it look like an address in the target area?"""
-    text = address(value)
-    placed = js.test(text, r"\b(?:Ontario|ON)\b") | js.test(F.lower(text), v.ADDRESS_CITY, "")
-    exact = js.test(text, v.POSTAL) | js.test(text, v.ADDRESS_TYPE)
-    return F.length(text).between(14, 220) & ~js.test(F.lower(text), v.ADDRESS_OFFICE, "") & js.test(text, v.ADDRESS_STREET) & placed & exact
+    def fits(text: Column) -> Column:
+        placed = js.test(text, r"\b(?:Ontario|ON)\b") | js.test(F.lower(text), v.ADDRESS_CITY, "")
+        exact = js.test(text, v.POSTAL) | js.test(text, v.ADDRESS_TYPE)
+        return F.length(text).between(14, 220) & ~js.test(F.lower(text), v.ADDRESS_OFFICE, "") & js.test(text, v.ADDRESS_STREET) & placed & exact
+
+    return js.let(address(value), fits)
 
 
 def addresses(text: Column) -> Column:

@@ -92,20 +92,27 @@ def directory_profile(html: Column, slug: Column) -> Column:
 
     plain = lambda x: js.clean(n.decode(js.sub(x, r"<[^>]+>", " "), v.ENTITIES_RESEARCH))
     block = n.first_of(js.first(html, r'<div class="row manufacturer-page-logo">([\s\S]*?)</div><div class="container">', 1), F.coalesce(html, F.lit("")))
-    company = n.first_of(plain(js.first(block, r"<h1[^>]*>([\s\S]*?)</h1>", 1)), plain(js.first(html, r"<title[^>]*>([\s\S]*?)</title>", 1)))
-    address = plain(js.sub(js.first(block, r"<address[^>]*>([\s\S]*?)</address>", 1), r"<br\s*/?>", ", ", "i"))
-    website = js.clean(js.first(block, r'<p[^>]*class="[^"]*web-icon[^"]*"[\s\S]*?<a[^>]*href="([^"]+)"', 1))
-    phone = plain(js.first(block, r'<p[^>]*class="[^"]*phone-icon[^"]*"[\s\S]*?<a[^>]*>([\s\S]*?)</a>', 1))
-    words = n.first_of(js.first(block, r"<p>\s*<p>([\s\S]*?)</p>\s*</p>", 1), js.first(block, r"<h1[^>]*>[\s\S]*?</h1>[\s\S]*?<p>([\s\S]{20,2500}?)</p>", 1))
-    text = n.first_of(plain(words), plain(js.first(html, r"""<meta[^>]+(?:name|property)=["']description["'][^>]+content=["']([^"']*)["']""", 1)))
     categories = n.distinct_in_order(F.transform(js.every(html, r'<h2 class="text-center">([\s\S]*?)</h2>', 1), plain), ignore_case=True)
     products = F.transform(js.every(html, r'<h4 class="text-dark">([\s\S]*?)</h4>', 1), lambda p: js.clean(js.sub(plain(p), r"^\S*\s", "")))
-    own = F.filter(n.distinct_in_order(products, ignore_case=True), lambda p: n.census_name(p) != n.census_name(company))
-    city = n.first_of(pages.city_of_address(address), pages.title_case(F.replace(slug, F.lit("-"), F.lit(" "))))
-    return F.struct(
-        company.alias("company"), city.alias("city"), address.alias("address"), website.alias("website"), phone.alias("phone"), text.alias("description"),
-        categories.alias("categories"), F.slice(own, 1, 8).alias("products"),
-    )
+
+    def found(block: Column) -> Column:
+        company = n.first_of(plain(js.first(block, r"<h1[^>]*>([\s\S]*?)</h1>", 1)), plain(js.first(html, r"<title[^>]*>([\s\S]*?)</title>", 1)))
+        address = plain(js.sub(js.first(block, r"<address[^>]*>([\s\S]*?)</address>", 1), r"<br\s*/?>", ", ", "i"))
+        website = js.clean(js.first(block, r'<p[^>]*class="[^"]*web-icon[^"]*"[\s\S]*?<a[^>]*href="([^"]+)"', 1))
+        phone = plain(js.first(block, r'<p[^>]*class="[^"]*phone-icon[^"]*"[\s\S]*?<a[^>]*>([\s\S]*?)</a>', 1))
+        words = n.first_of(js.first(block, r"<p>\s*<p>([\s\S]*?)</p>\s*</p>", 1), js.first(block, r"<h1[^>]*>[\s\S]*?</h1>[\s\S]*?<p>([\s\S]{20,2500}?)</p>", 1))
+        text = n.first_of(plain(words), plain(js.first(html, r"""<meta[^>]+(?:name|property)=["']description["'][^>]+content=["']([^"']*)["']""", 1)))
+        return F.struct(company.alias("company"), address.alias("address"), website.alias("website"), phone.alias("phone"), text.alias("description"))
+
+    def profile(told: Column) -> Column:
+        others = lambda key: F.filter(n.distinct_in_order(products, ignore_case=True), lambda p: n.census_name(p) != key)
+        city = n.first_of(pages.city_of_address(told["address"]), pages.title_case(F.replace(slug, F.lit("-"), F.lit(" "))))
+        return F.struct(
+            told["company"].alias("company"), city.alias("city"), *[told[c].alias(c) for c in ("address", "website", "phone", "description")],
+            categories.alias("categories"), F.slice(js.let(n.census_name(told["company"]), others), 1, 8).alias("products"),
+        )
+
+    return js.let(js.let(block, found), profile)
 
 
 def directory_listing(listings: DataFrame, base: str) -> DataFrame:
