@@ -250,14 +250,20 @@ def first_known(profiles: DataFrame, known: DataFrame, least: float = 0.82, cont
 
 def first_existing(next_: DataFrame, existing: DataFrame, weak: Callable[[Column], Column]) -> DataFrame:
     """(next_pos, existing_pos): the first existing contact (pos, group, name, title, link; keys) that is
-    the same as a next one, by link, or by name where the titles are equal or the existing one is weak."""
-    a = next_.select(F.col("pos").alias("next_pos"), "group", "name", "title", "link")
-    b = existing.select(F.col("pos").alias("existing_pos"), F.col("group").alias("_group"), *[F.col(c).alias(f"_{c}") for c in ("name", "title", "link")])
-    same = F.col("group") == F.col("_group")
-    by_link = a.join(b, same & (F.col("link") == F.col("_link")) & (F.col("link") != ""))
-    by_name = a.join(b, same & (F.col("name") == F.col("_name"))).where((F.col("title") == F.col("_title")) | weak(F.col("_title")))
-    pairs = by_link.select("next_pos", "existing_pos").union(by_name.select("next_pos", "existing_pos"))
-    return pairs.groupBy("next_pos").agg(F.min("existing_pos").alias("existing_pos"))
+    the same as a next one, by link, or by name where the titles are equal or the existing one is weak.
+
+    Of each link, name with title, and name with a weak title only its first existing row counts, so rows meet single rows.
+    """
+    def by(keys: list[str], held: DataFrame, asked: DataFrame) -> DataFrame:
+        first = held.groupBy(*keys).agg(F.min("pos").alias("existing_pos"))
+        return asked.select(F.col("pos").alias("next_pos"), *keys).join(first, keys).select("next_pos", "existing_pos")
+
+    linked = F.col("link") != ""
+    found = [
+        by(["group", "link"], existing.where(linked), next_.where(linked)), by(["group", "name", "title"], existing, next_),
+        by(["group", "name"], existing.where(weak(F.col("title"))), next_),
+    ]
+    return reduce(DataFrame.union, found).groupBy("next_pos").agg(F.min("existing_pos").alias("existing_pos"))
 
 
 def looked_up(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -266,12 +272,19 @@ def looked_up(wanted: DataFrame, known: DataFrame) -> DataFrame:
     First come those whose name contains the wanted one (from the start of a word on), in any
     case of letters: the one with an equal key, else one of which the words contain the wanted
     one's or the reverse, two at least on each side, else any. Then all others: an equal key, else
-    words inside words. Of equals the smallest id.
+    words inside words. Of equals the smallest id. Equal names are compared once.
     """
+    first = known.groupBy("company").agg(F.min("id").alias("id"))
+    names = cut(_looked_up(wanted.select(F.col("company").alias("id"), "company").distinct(), first), "looked-up")
+    return wanted.join(names.withColumnRenamed("id", "company"), "company").select("id", "known_id")
+
+
+def _looked_up(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """As looked_up, of names each of which is there once; those of `wanted` are their ids."""
     words = lambda c: F.filter(n.company_tokens(c), lambda w: ~w.isin("com", "ca", "www"))
     a = wanted.select("id", n.company_key("company").alias("key"), F.array_distinct(words(F.col("company"))).alias("words"), F.lower("company").alias("low"))
     b = known.select(F.col("id").alias("known_id"), n.company_key("company").alias("k"), F.array_distinct(words(F.col("company"))).alias("w"), F.lower("company").alias("l"))
-    a, b = a.where("key <> ''"), b.where("k <> ''")
+    a, b = cut(a.where("key <> ''"), "wanted-names"), cut(b.where("k <> ''"), "known-names")
     holds = F.contains(F.col("l"), F.col("low"))
     exact = a.join(b, F.col("key") == F.col("k")).select("id", "known_id", F.when(holds, 0).otherwise(3).alias("rank"))
     # A set inside another shares all its words, its rarest too.

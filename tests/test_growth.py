@@ -17,3 +17,43 @@ def test_gaps_cut_fractions_of_seconds(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     found = run(spark, str(tmp_path)).select("user_id", "event_id", "gap").collect()
     assert sorted(map(tuple, found)) == sorted(con.sql(text).fetchall()) == [(1, 1, 86401), (1, 2, 86401)]
+
+
+def test_equal_contacts_meet_no_pairs(spark):
+    from sparkquarry.functions.contacts import is_weak_title
+    from sparkquarry.operators.greedy import first_existing
+
+    rows = spark.range(120_000).select(F.col("id").alias("pos"), F.lit(1).alias("group"), F.lit("jane doe").alias("name"), F.when(F.col("id") % 4 == 3, "").otherwise("owner").alias("title"), F.lit("l").alias("link"))
+    began = time.time()
+    found = first_existing(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"), is_weak_title)
+    assert found.agg(F.count("*"), F.min("existing_pos"), F.max("existing_pos")).first() == (60_000, 1, 1)
+    assert time.time() - began < 60
+
+
+def test_equal_names_are_looked_up_once(spark):
+    from sparkquarry.operators.greedy import looked_up
+
+    rows = spark.range(120_000).select("id", F.lit("Maple Foods Ltd").alias("company"))
+    began = time.time()
+    found = looked_up(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    assert found.agg(F.count("*"), F.min("known_id"), F.max("known_id")).first() == (60_000, 1, 1)
+    assert time.time() - began < 60
+
+
+def test_values_are_worked_out_once(spark):
+    from sparkquarry.functions import pages, search
+    from sparkquarry.sources import files
+
+    size = lambda column: len(str(column))
+    assert size(search.mail_domain(F.col("w"), F.col("t"))) < 6_000
+    assert size(pages.addresses(F.col("t"))) < 8_000
+    assert size(files.directory_profile(F.col("h"), F.col("s"))) < 18_000
+    assert all(size(search.results(F.col("h"), d)) < 10_000 for d in search.DIALECTS)
+
+
+def test_sample_rows_are_dealt(spark, tmp_path):
+    from sparkquarry.plans.samples import sample
+
+    spark.range(50).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey", "1.0D AS c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    leads = sample(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"), "leads").where("length(company) > 3")
+    assert leads.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
