@@ -57,3 +57,15 @@ def test_sample_rows_are_dealt(spark, tmp_path):
     spark.range(50).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey", "1.0D AS c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     leads = sample(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"), "leads").where("length(company) > 3")
     assert leads.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_mentions_of_equal_companies_are_counted_without_pairs(spark):
+    from sparkquarry.operators.context import context_counts
+
+    results = spark.range(60_000).select(F.col("id").alias("result"), F.lit("Maple Foods news").alias("title"), F.when(F.col("id") == 7, "Jane Doe Group").otherwise("").alias("snippet"))
+    hints = F.when(F.col("id") == 5, F.array(F.lit("Jane Doe Group"))).otherwise(F.array(F.lit("Maple Foods")))
+    companies = spark.range(60_000).select(F.col("id").alias("company"), hints.alias("hints"))
+    began = time.time()
+    found = context_counts(results, companies, "signal")
+    assert sorted(map(tuple, found.groupBy("companies", "company").count().collect())) == [(59_999, 0, 59_999), (60_000, 0, 1)]
+    assert time.time() - began < 60
