@@ -28,40 +28,65 @@ def default_reason(real: Column, operator: Column, in_range: Column, makes: Colu
     return F.coalesce(*[F.when(~F.coalesce(gate, F.lit(False)), F.lit(reason)) for gate, reason in zip(gates, v.GATE_REASONS)], F.lit(""))
 
 
+@js.bound
 def verify_plant(hint: Column, query: Column, title: Column, url: Column, snippets: Column) -> Column:
     """What the text-driven verifier says of a candidate: a struct of its gates, reason and findings.
 
     The text is all of the candidate's parts, one a line; null and empty parts are left out. The
     findings (facility, products, names of plants, equipment) are empty unless it qualifies.
     """
-    text = candidate_text(hint, query, title, url, snippets)
-    low, company = F.lower(text), F.btrim(F.coalesce(hint, F.lit("")))
-    real = (company != "") & ~js.test(company, v.PAGE_NAME) & ~js.test(text, v.PAGE_TEXT)
-    operator = real & js.test(text, v.OPERATES) & ~js.test(text, v.VENDOR)
-    in_range = js.test(text, v.PLANT_ADDRESS + r"\b")
-    makes = operator & js.test(text, v.MAKES)
-    industrial = makes & js.test(text, v.SCALE)
-    qualified = real & operator & in_range & makes & industrial
-    address = js.first(text, v.PLANT_ADDRESS + r"[^.\n]*")
-    city = F.btrim(js.first(address, r",\s*([A-Za-z .'-]+),\s*(?:ON|Ontario)\b", 1))
-    useful = F.get(F.filter(F.coalesce(snippets, F.array().cast("array<string>")), lambda s: js.test(s, v.USEFUL_SNIPPET)), F.lit(0))
-    equipment = F.coalesce(*[F.when(js.test(low, pattern, ""), F.array(*map(F.lit, words))) for pattern, words in v.EQUIPMENT])
-    plants = _named(low, v.PLANT_NAMES, v.ANY_PLANT)
-    facility = F.struct(
-        F.when(city != "", F.concat(city, F.lit(" production facility"))).otherwise("confirmed production facility").alias("name"), address.alias("address"),
-        city.alias("city"), js.first(text, v.PLANT_PHONE).alias("phone"), F.coalesce(url, F.lit("")).alias("source_url"), F.get(plants, F.lit(0)).alias("facility_type"),
-    )
-    only = lambda x: F.when(qualified, x)
+    company = F.btrim(F.coalesce(hint, F.lit("")))
+    some = F.coalesce(snippets, F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
-    return F.struct(
-        qualified.alias("qualified"), real.alias("is_real_company"), operator.alias("is_plant_operator"), in_range.alias("facility_in_range"),
-        makes.alias("manufactures_or_processes"), industrial.alias("industrial_scale"),
-        F.when(qualified, "").otherwise(default_reason(real, operator, in_range, makes, industrial, qualified)).alias("reject_reason"),
-        F.when(qualified, "medium").otherwise("low").alias("confidence"),
-        only(F.coalesce(useful, first_of(title, hint))).alias("evidence"), only(facility).alias("facility"),
-        F.coalesce(only(_named(low, v.END_PRODUCTS, v.ANY_PRODUCT)), none).alias("end_products"),
-        F.coalesce(only(plants), none).alias("production_related_names"), F.coalesce(only(equipment), none).alias("likely_equipment"),
-    )
+
+    def found(text: Column) -> Column:
+        def of_place(place: Column) -> Column:
+            city, plants = place["city"], place["plants"]
+            facility = F.struct(
+                F.when(city != "", F.concat(city, F.lit(" production facility"))).otherwise("confirmed production facility").alias("name"), place["address"].alias("address"),
+                city.alias("city"), js.first(text, v.PLANT_PHONE).alias("phone"), F.coalesce(url, F.lit("")).alias("source_url"), F.get(plants, F.lit(0)).alias("facility_type"),
+            )
+            useful = F.get(F.filter(some, lambda s: js.test(s, v.USEFUL_SNIPPET)), F.lit(0))
+            equipment = F.coalesce(*[F.when(js.test(place["low"], pattern, ""), F.array(*map(F.lit, words))) for pattern, words in v.EQUIPMENT])
+            return F.struct(
+                F.coalesce(useful, first_of(title, hint)).alias("evidence"), facility.alias("facility"), _named(place["low"], v.END_PRODUCTS, v.ANY_PRODUCT).alias("end_products"),
+                plants.alias("production_related_names"), equipment.alias("likely_equipment"),
+            )
+
+        def place(address: Column) -> Column:
+            city = F.btrim(js.first(address, r",\s*([A-Za-z .'-]+),\s*(?:ON|Ontario)\b", 1))
+            plants = js.let(F.lower(text), lambda low: F.struct(low.alias("low"), _named(low, v.PLANT_NAMES, v.ANY_PLANT).alias("plants")))
+            return js.let(F.struct(address.alias("address"), city.alias("city"), plants.alias("p")), lambda x: F.struct(x["address"], x["city"], x["p"]["low"].alias("low"), x["p"]["plants"].alias("plants")))
+
+        return js.let(js.let(js.first(text, v.PLANT_ADDRESS + r"[^.\n]*"), place), of_place)
+
+    def told(seen: Column) -> Column:
+        real, in_range, text = seen["real"], seen["in_range"], seen["text"]
+        operator = real & seen["operates"]
+        makes = operator & seen["makes"]
+        industrial = makes & seen["scale"]
+        qualified = industrial & in_range
+        gates = (qualified, real, operator, in_range, makes, industrial)
+        names = ("qualified", "is_real_company", "is_plant_operator", "facility_in_range", "manufactures_or_processes", "industrial_scale")
+        reason = F.when(qualified, "").otherwise(default_reason(real, operator, in_range, makes, industrial, qualified))
+        return F.struct(*[g.alias(k) for g, k in zip(gates, names)], reason.alias("reject_reason"), F.when(qualified, found(text)).alias("found"))
+
+    def seen(text: Column) -> Column:
+        return F.struct(
+            text.alias("text"), ((company != "") & ~js.test(company, v.PAGE_NAME) & ~js.test(text, v.PAGE_TEXT)).alias("real"), js.test(text, v.PLANT_ADDRESS + r"\b").alias("in_range"),
+            (js.test(text, v.OPERATES) & ~js.test(text, v.VENDOR)).alias("operates"), js.test(text, v.MAKES).alias("makes"), js.test(text, v.SCALE).alias("scale"),
+        )
+
+    def shaped(t: Column) -> Column:
+        gates = ("qualified", "is_real_company", "is_plant_operator", "facility_in_range", "manufactures_or_processes", "industrial_scale", "reject_reason")
+        lists = ("end_products", "production_related_names", "likely_equipment")
+        return F.struct(
+            *[t[k].alias(k) for k in gates], F.when(t["qualified"], "medium").otherwise("low").alias("confidence"), *[t["found"][k].alias(k) for k in ("evidence", "facility")],
+            *[F.coalesce(t["found"][k], none).alias(k) for k in lists],
+        )
+
+    # Texts, gates and findings are worked out once each, however many columns read them.
+    return js.let(js.let(js.let(candidate_text(hint, query, title, url, snippets), seen), told), shaped)
 
 
 #: What a model's answer is read as, whatever else it holds.
