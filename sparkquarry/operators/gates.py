@@ -207,27 +207,40 @@ def is_own_activity(contact_type: Column, created_by: Column) -> Column:
     return (first_of(contact_type, F.lit("manufacturer")) == "manufacturer") & ~task
 
 
+@js.bound
 def signal(title: Column, snippet: Column, url: Column, named: Column, official: Column) -> Column:
     """(type, role, date) of a search result that tells of hiring or growth; null if it doesn't, or not of this company.
 
     `named`: does the result name the company? `official`: is it on the company's own host?
     """
-    title, snippet, url = js.clean(title), js.clean(snippet), js.clean(url)
-    text = F.concat_ws(" ", title, snippet)
-    role = F.coalesce(*[F.when(js.test(text, pattern), label) for label, pattern in v.SIGNAL_ROLES], F.lit(""))
-    hiring, growth, wanted = js.test(text, v.SIGNAL_HIRING), js.test(text, v.SIGNAL_GROWTH), js.test(text, v.SIGNAL_ROLE)
-    told = js.test(text, v.SIGNAL_INCLUDE) | hiring | growth
-    kind = F.when(js.test(text, v.SIGNAL_PERMIT), "Permit").when(js.test(text, v.SIGNAL_CAPACITY), "Capacity").when(js.test(text, v.SIGNAL_PLANNED), "Planned expansion").otherwise("Expansion")
-    hires = hiring & (role != "")
-    label = F.when(told & hires, "Hiring").when(told & growth, kind)
-    stale = js.test(text, v.SIGNAL_OLD_YEAR) & ~js.test(text, v.SIGNAL_NEW_YEAR) & ~js.test(text, v.SIGNAL_CURRENT)
-    wrong = (
-        js.test(url, r"linkedin\.com/company/") | js.test(text, v.SIGNAL_NEGATIVE) | (js.test(text, v.SIGNAL_OTHER_ROLE) & ~wanted)
-        | (js.test(url, v.SIGNAL_JOB_BOARD) & hiring & ~wanted) | ((label == "Hiring") & ~wanted)
-    )
-    keep = (url != "") & ~stale & label.isNotNull() & ~wrong & (named | official)
-    date = first_of(js.first(text, v.DATE_HINT), js.first(text, v.SIGNAL_NEW_YEAR))
-    return F.when(keep, F.struct(label.alias("type"), F.when(hires, role).otherwise("").alias("role"), date.alias("date")))
+    def seen(text: Column) -> Column:
+        role = F.coalesce(*[F.when(js.test(text, pattern), label) for label, pattern in v.SIGNAL_ROLES], F.lit(""))
+        return F.struct(
+            text.alias("text"), js.clean(url).alias("url"), role.alias("role"), js.test(text, v.SIGNAL_HIRING).alias("hiring"), js.test(text, v.SIGNAL_GROWTH).alias("growth"),
+            js.test(text, v.SIGNAL_ROLE).alias("wanted"), js.test(text, v.SIGNAL_INCLUDE).alias("included"), js.first(text, v.SIGNAL_NEW_YEAR).alias("year"),
+        )
+
+    def labelled(s: Column) -> Column:
+        text = s["text"]
+        kind = F.when(js.test(text, v.SIGNAL_PERMIT), "Permit").when(js.test(text, v.SIGNAL_CAPACITY), "Capacity").when(js.test(text, v.SIGNAL_PLANNED), "Planned expansion").otherwise("Expansion")
+        told = s["included"] | s["hiring"] | s["growth"]
+        label = F.when(told & s["hiring"] & (s["role"] != ""), "Hiring").when(told & s["growth"], kind)
+        return F.struct(s.alias("s"), label.alias("label"))
+
+    def judged(x: Column) -> Column:
+        s, label = x["s"], x["label"]
+        text, url, wanted, hiring = s["text"], s["url"], s["wanted"], s["hiring"]
+        stale = js.test(text, v.SIGNAL_OLD_YEAR) & (s["year"] == "") & ~js.test(text, v.SIGNAL_CURRENT)
+        wrong = (
+            js.test(url, r"linkedin\.com/company/") | js.test(text, v.SIGNAL_NEGATIVE) | (js.test(text, v.SIGNAL_OTHER_ROLE) & ~wanted)
+            | (js.test(url, v.SIGNAL_JOB_BOARD) & hiring & ~wanted) | ((label == "Hiring") & ~wanted)
+        )
+        keep = (url != "") & label.isNotNull() & ~stale & ~wrong & (official | named)
+        date = first_of(js.first(text, v.DATE_HINT), s["year"])
+        return F.when(keep, F.struct(label.alias("type"), F.when(hiring & (s["role"] != ""), s["role"]).otherwise("").alias("role"), date.alias("date")))
+
+    # What several tests read is worked out once, and the costly ones come last.
+    return js.let(js.let(js.let(F.concat_ws(" ", js.clean(title), js.clean(snippet)), seen), labelled), judged)
 
 
 def names_company(text: Column, hints: Column, key, tokens) -> Column:
@@ -235,11 +248,13 @@ def names_company(text: Column, hints: Column, key, tokens) -> Column:
 
     `key` and `tokens` make a text's key and its telling words.
     """
-    hay = key(text)
-    whole = F.exists(hints, lambda h: (F.length(key(h)) >= 4) & F.contains(hay, key(h)))
+    def every_word(hint: Column, hay: Column) -> Column:
+        long_ = F.filter(tokens(hint), lambda w: F.length(w) >= 4)
+        return js.let(long_, lambda words: (F.size(words) >= 2) & F.forall(words, lambda w: F.contains(hay, w)))
 
-    def every_word(hint: Column) -> Column:
-        words = F.filter(tokens(hint), lambda w: F.length(w) >= 4)
-        return (F.size(words) >= 2) & F.forall(words, lambda w: F.contains(hay, w))
+    def within(x: Column) -> Column:
+        hay, hints = x["hay"], x["hints"]
+        whole = F.exists(hints, lambda h: js.let(key(h), lambda k: (F.length(k) >= 4) & F.contains(hay, k)))
+        return (hay != "") & (whole | F.exists(hints, lambda h: every_word(h, hay)))
 
-    return (hay != "") & (whole | F.exists(hints, every_word))
+    return js.let(F.struct(key(text).alias("hay"), hints.alias("hints")), within)
