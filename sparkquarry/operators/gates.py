@@ -165,19 +165,25 @@ def food_products(name: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit(v.ANY_FOOD))).otherwise(found)
 
 
+@js.bound
 def census_score(text: Column, categories: Column, products: Column, registered: Column, website: Column, address: Column, description: Column, company: Column) -> Column:
     """(score, reasons) of a profile, with what the registry match and its page add."""
-    text = js.clean(text)
-    noise = js.test(F.concat_ws(" ", company, description), v.ARTISAN) & ~js.test(description, v.STRONG_INDUSTRY)
-    tests = (
-        (js.test(text, v.MAKER), 20, "manufacturer language"), (js.test(text, v.STRONG_INDUSTRY), 30, "industrial/product keywords"),
-        (F.exists(categories, lambda c: js.test(c, v.STRONG_CATEGORY)), 16, "target category"), (F.size(products) >= 2, 10, "multiple listed products"),
-        (js.test(text, v.COMMERCIAL), 12, "commercial/bulk signal"), (js.test(text, v.PROCESS), 18, "equipment/process signal"),
-        (js.test(text, v.ARTISAN), -24, "small/artisan noise"), (registered, 18, "CFIA food licence registry match"),
-        (F.coalesce(website, F.lit("")) != "", 5, None), (js.test(address, v.STREET_ADDRESS), 5, None), (noise, -30, "small/artisan noise"),
-    )
-    reasons = F.array(*[F.when(test, reason) for test, _, reason in tests if reason])
-    return F.struct(_points(*[(t, p) for t, p, _ in tests]).alias("score"), distinct_in_order(reasons).alias("reasons"))
+    def tests(text: Column) -> Column:
+        noise = js.test(F.concat_ws(" ", company, description), v.ARTISAN) & ~js.test(description, v.STRONG_INDUSTRY)
+        return F.array(
+            js.test(text, v.MAKER), js.test(text, v.STRONG_INDUSTRY), F.exists(categories, lambda c: js.test(c, v.STRONG_CATEGORY)), F.size(products) >= 2, js.test(text, v.COMMERCIAL),
+            js.test(text, v.PROCESS), js.test(text, v.ARTISAN), registered, F.coalesce(website, F.lit("")) != "", js.test(address, v.STREET_ADDRESS), noise,
+        )
+
+    def scored(told: Column) -> Column:
+        points = (
+            (20, "manufacturer language"), (30, "industrial/product keywords"), (16, "target category"), (10, "multiple listed products"), (12, "commercial/bulk signal"),
+            (18, "equipment/process signal"), (-24, "small/artisan noise"), (18, "CFIA food licence registry match"), (5, None), (5, None), (-30, "small/artisan noise"),
+        )
+        reasons = F.array(*[F.when(F.get(told, F.lit(i)), reason) for i, (_, reason) in enumerate(points) if reason])
+        return F.struct(_points(*[(F.get(told, F.lit(i)), p) for i, (p, _) in enumerate(points)]).alias("score"), distinct_in_order(reasons).alias("reasons"))
+
+    return js.let(js.let(js.clean(text), tests), scored)
 
 
 def registry_score(name: Column) -> Column:
