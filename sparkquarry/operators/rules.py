@@ -82,9 +82,15 @@ def personal_addresses(name: Column, domain: Column) -> Column:
     words = F.split(js.clean(js.sub(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z\s'-]", " ")), " ")
     parts = F.filter(words, lambda p: (p != "") & ~js.test(p, r"^(mr|mrs|ms|dr|prof|sir|madam)$"))
     own = F.transform(parts, lambda p: js.sub(p, "[^a-z0-9]", ""))
-    first = F.coalesce(F.get(own, F.lit(0)), F.lit(""))
-    last = F.when(F.size(own) > 1, F.element_at(F.when(F.size(own) > 0, own), -1)).otherwise("")
-    return F.when(host != "", _addresses(first, last, host)).otherwise(F.array().cast("array<string>"))
+
+    def ends(own: Column) -> Column:
+        last = F.when(F.size(own) > 1, F.element_at(F.when(F.size(own) > 0, own), -1)).otherwise("")
+        return F.struct(F.coalesce(F.get(own, F.lit(0)), F.lit("")).alias("first"), last.alias("last"))
+
+    def made(x: Column) -> Column:
+        return F.when(x["host"] != "", _addresses(x["n"]["first"], x["n"]["last"], x["host"])).otherwise(F.array().cast("array<string>"))
+
+    return js.let(F.struct(js.let(own, ends).alias("n"), host.alias("host")), made)
 
 
 def run_note(at: Column, template: Column, name: Column, title: Column, row: Column, sent: Column, failed: Column, tried: Column) -> Column:
