@@ -105,7 +105,10 @@ def read_answer(answer: Column) -> Column:
     Missing tests are false, an unknown confidence is low, entries without content are left out.
     It stays qualified only if all five tests hold and it has proof, facilities and products.
     """
-    raw = F.from_json(answer, ANSWER)
+    return js.let(F.from_json(answer, ANSWER), _closed)
+
+
+def _closed(raw: Column) -> Column:
     text = lambda x: js.trim(x)
     flag = lambda name: F.coalesce(raw[name], F.lit(False))
     texts = lambda name: F.filter(F.transform(F.coalesce(raw[name], F.array().cast("array<string>")), text), lambda x: x != "")
@@ -118,18 +121,29 @@ def read_answer(answer: Column) -> Column:
     proof = rows("proof", ("claim", "source_type", "source_url", "evidence"), ("claim", "evidence", "source_url"))
     facilities = rows("confirmed_facilities", ("name", "address", "city", "phone", "source_url", "facility_type"), ("address", "name"))
     products, level = texts("end_products"), F.lower(text(raw["confidence"]))
-    proven = (F.size(proof) > 0) & (F.size(facilities) > 0) & (F.size(products) > 0)
-    reason = default_reason(*[flag(t) for t in tests], proven)
-    qualified = flag("qualified") & (reason == "")
-    given = text(raw["reject_reason"])
-    return F.struct(
-        qualified.alias("qualified"), *[flag(t).alias(t) for t in tests],
-        F.when(qualified, "").when(reason == "", given).otherwise(first_of(given, reason)).alias("reject_reason"),
-        F.when(level.isin("high", "medium", "low"), level).otherwise("low").alias("confidence"),
-        proof.alias("proof"), facilities.alias("confirmed_facilities"), products.alias("end_products"),
-        texts("production_related_names").alias("production_related_names"), texts("likely_equipment").alias("likely_equipment"),
+    flags = F.struct(*[flag(t).alias(t) for t in ("qualified", *tests)])
+    read = F.struct(
+        flags.alias("flags"), proof.alias("proof"), facilities.alias("facilities"), products.alias("products"), level.alias("level"), text(raw["reject_reason"]).alias("given"),
+        texts("production_related_names").alias("names"), texts("likely_equipment").alias("equipment"),
     )
 
+    def judged(r: Column) -> Column:
+        proven = (F.size(r["proof"]) > 0) & (F.size(r["facilities"]) > 0) & (F.size(r["products"]) > 0)
+        return F.struct(r.alias("r"), default_reason(*[r["flags"][t] for t in tests], proven).alias("reason"))
+
+    def shaped(x: Column) -> Column:
+        r, reason, level = x["r"], x["reason"], x["r"]["level"]
+        qualified = r["flags"]["qualified"] & (reason == "")
+        return F.struct(
+            qualified.alias("qualified"), *[r["flags"][t].alias(t) for t in tests],
+            F.when(qualified, "").when(reason == "", r["given"]).otherwise(first_of(r["given"], reason)).alias("reject_reason"),
+            F.when(level.isin("high", "medium", "low"), level).otherwise("low").alias("confidence"),
+            r["proof"].alias("proof"), r["facilities"].alias("confirmed_facilities"), r["products"].alias("end_products"),
+            r["names"].alias("production_related_names"), r["equipment"].alias("likely_equipment"),
+        )
+
+    return js.let(js.let(read, judged), shaped)
+
 
 def has_products(text: Column) -> Column:
     low = F.lower(js.clean(text))
