@@ -234,33 +234,36 @@ def signal(title: Column, snippet: Column, url: Column, named: Column, official:
     `named`: does the result name the company? `official`: is it on the company's own host?
     """
     def seen(text: Column) -> Column:
-        role = F.coalesce(*[F.when(js.test(text, pattern), label) for label, pattern in v.SIGNAL_ROLES], F.lit(""))
-        return F.struct(
-            text.alias("text"), js.clean(url).alias("url"), role.alias("role"), js.test(text, v.SIGNAL_HIRING).alias("hiring"), js.test(text, v.SIGNAL_GROWTH).alias("growth"),
-            js.test(text, v.SIGNAL_ROLE).alias("wanted"), js.test(text, v.SIGNAL_INCLUDE).alias("included"), js.first(text, v.SIGNAL_NEW_YEAR).alias("year"),
-        )
+        return F.struct(text.alias("text"), js.test(text, v.SIGNAL_HIRING).alias("hiring"), js.test(text, v.SIGNAL_GROWTH).alias("growth"))
+
+    def roled(s: Column) -> Column:
+        role = F.coalesce(*[F.when(js.test(s["text"], pattern), label) for label, pattern in v.SIGNAL_ROLES], F.lit(""))
+        return F.struct(s.alias("s"), F.when(s["hiring"], role).otherwise("").alias("role"))
 
-    def labelled(s: Column) -> Column:
-        text = s["text"]
+    def labelled(x: Column) -> Column:
+        # A text of hiring or growth tells of something, whatever else SIGNAL_INCLUDE names.
+        text = x["s"]["text"]
         kind = F.when(js.test(text, v.SIGNAL_PERMIT), "Permit").when(js.test(text, v.SIGNAL_CAPACITY), "Capacity").when(js.test(text, v.SIGNAL_PLANNED), "Planned expansion").otherwise("Expansion")
-        told = s["included"] | s["hiring"] | s["growth"]
-        label = F.when(told & s["hiring"] & (s["role"] != ""), "Hiring").when(told & s["growth"], kind)
-        return F.struct(s.alias("s"), label.alias("label"))
-
-    def judged(x: Column) -> Column:
-        s, label = x["s"], x["label"]
-        text, url, wanted, hiring = s["text"], s["url"], s["wanted"], s["hiring"]
-        stale = js.test(text, v.SIGNAL_OLD_YEAR) & (s["year"] == "") & ~js.test(text, v.SIGNAL_CURRENT)
+        label = F.when(x["role"] != "", "Hiring").when(x["s"]["growth"], kind)
+        return F.struct(text.alias("text"), x["s"]["hiring"].alias("hiring"), x["role"].alias("role"), label.alias("label"))
+
+    def proven(x: Column) -> Column:
+        more = F.struct(x.alias("x"), js.clean(url).alias("url"), js.test(x["text"], v.SIGNAL_ROLE).alias("wanted"), js.first(x["text"], v.SIGNAL_NEW_YEAR).alias("year"))
+        return F.when(x["label"].isNotNull(), js.let(more, judged))
+
+    def judged(m: Column) -> Column:
+        text, label, hiring, url, wanted, year = m["x"]["text"], m["x"]["label"], m["x"]["hiring"], m["url"], m["wanted"], m["year"]
+        stale = js.test(text, v.SIGNAL_OLD_YEAR) & (year == "") & ~js.test(text, v.SIGNAL_CURRENT)
         wrong = (
-            js.test(url, r"linkedin\.com/company/") | js.test(text, v.SIGNAL_NEGATIVE) | (js.test(text, v.SIGNAL_OTHER_ROLE) & ~wanted)
-            | (js.test(url, v.SIGNAL_JOB_BOARD) & hiring & ~wanted) | ((label == "Hiring") & ~wanted)
+            js.test(url, r"linkedin\.com/company/") | js.test(text, v.SIGNAL_NEGATIVE) | (~wanted & js.test(text, v.SIGNAL_OTHER_ROLE))
+            | (hiring & ~wanted & js.test(url, v.SIGNAL_JOB_BOARD)) | ((label == "Hiring") & ~wanted)
         )
-        keep = (url != "") & label.isNotNull() & ~stale & ~wrong & (official | named)
-        date = first_of(js.first(text, v.DATE_HINT), s["year"])
-        return F.when(keep, F.struct(label.alias("type"), F.when(hiring & (s["role"] != ""), s["role"]).otherwise("").alias("role"), date.alias("date")))
+        keep = (url != "") & ~stale & ~wrong & (official | named)
+        return F.when(keep, F.struct(label.alias("type"), m["x"]["role"].alias("role"), first_of(js.first(text, v.DATE_HINT), year).alias("date")))
 
     # What several tests read is worked out once, and the costly ones come last.
-    return js.let(js.let(js.let(F.concat_ws(" ", js.clean(title), js.clean(snippet)), seen), labelled), judged)
+    text = F.concat_ws(" ", js.clean(title), js.clean(snippet))
+    return js.let(js.let(js.let(js.let(text, seen), roled), labelled), proven)
 
 
 def names_company(text: Column, hints: Column, key, tokens) -> Column:
