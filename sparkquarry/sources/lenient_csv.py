@@ -129,7 +129,7 @@ def read_csv(spark: SparkSession, path: str | list[str], profile: str = "lead")
 
     Quoting is lenient (see csv_rows); missing cells are empty, and of equal headers the last
     column of a file is kept. Profile "lead": headers in snake case, cells trimmed, rows of blank
-    cells left out (before the header too), a lone CR ends a row. "registry": headers with their
+    cells left out (before the header too), a lone CR ends a row, rows in the order of file names and lines. "registry": headers with their
     blanks squeezed, cells as they are, all rows kept, a CR outside of quotes dropped. "research":
     the same, without rows whose cells are all empty. A byte-order mark is dropped. Columns stand in
     the order of the headers' first appearance, by file name.
@@ -168,7 +168,8 @@ def read_csv(spark: SparkSession, path: str | list[str], profile: str = "lead")
     parsed = _parsed(_records(numbered), lead).join(told.drop("inside", "base"), ["file", "block"])
     after = F.struct("block", "at", "sub") > F.struct("head_block", "head_at", F.col("head_sub").cast("int").alias("sub"))
     cell = lambda k: F.coalesce(F.when(F.get("slots", F.lit(k)) >= 0, F.get("cells", F.get("slots", F.lit(k)))), F.lit(""))
-    out = parsed.where(after).select(*[(js.trim(cell(k)) if lead else cell(k)).alias(n) for k, n in enumerate(names)])
+    kept = parsed.where(after)
+    out = (kept.orderBy("file", "block", "at", "sub") if lead else kept).select(*[(js.trim(cell(k)) if lead else cell(k)).alias(n) for k, n in enumerate(names)])
     if profile == "registry":
         return out
     return out.where(F.concat(*[F.col(f"`{n.replace('`', '``')}`") for n in names]) != "")
