@@ -69,3 +69,18 @@ def test_mentions_of_equal_companies_are_counted_without_pairs(spark):
     found = context_counts(results, companies, "signal")
     assert sorted(map(tuple, found.groupBy("companies", "company").count().collect())) == [(59_999, 0, 59_999), (60_000, 0, 1)]
     assert time.time() - began < 60
+
+
+def test_results_of_a_group_are_not_compared_with_all_its_names(spark):
+    from sparkquarry.operators.context import repaired_contacts
+
+    size = 20_000
+    named = F.format_string("Nr%05d%05d Works", F.col("id"), (F.col("id") * 7919) % 99991)
+    results = spark.range(size).select(
+        F.lit(1).alias("group"), F.col("id").alias("pos"), F.concat(F.lit("Jane Doe - Plant Manager - "), F.when(F.col("id") == size - 1, named).otherwise("None")).alias("title"), F.col("id").cast("string").alias("snippet"), F.lit("").alias("url")
+    )
+    people = spark.sql("SELECT 1 AS group, 1 AS pos, 'Jane Doe' AS name, '' AS link, '' AS source, '' AS notes, '' AS title")
+    companies = spark.range(size).groupBy(F.lit(1).alias("group")).agg(F.collect_list(named).alias("hints"))
+    began = time.time()
+    assert [(r["result"], r["title"]) for r in repaired_contacts(results, people, companies).collect()] == [(size - 1, "Plant Manager")]
+    assert time.time() - began < 60
