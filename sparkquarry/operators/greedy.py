@@ -196,7 +196,8 @@ def merged_profiles(profiles: DataFrame, least: float = 0.86, contained: int = 1
     more key, which all their rows hold: rows of equal keys match anyway. So no pairs of rows are
     formed, however many rows a key or host has.
     """
-    rows = profiles.withColumn("_set", _set_of("words"))
+    profiles = cut(profiles, "profiles")  # keys and words take long to make, and every step reads them
+    rows = cut(profiles.select("pos", "key", "host", _set_of("words").alias("_set")), "profile-keys")
     keys = {"key": F.col("key"), "host": F.col("host"), "set": F.col("_set")}
     by_key = _alike_keys(rows.select("key").distinct(), contained)
     sets = rows.select(F.col("_set").alias("set")).distinct()

@@ -38,3 +38,33 @@ def test_an_alias_of_the_same_select_is_not_taken_for_an_argument(spark):
     told = rows.select(c.linkedin_url(F.col("link")).alias("link"), c.contact_score(F.col("title"), F.col("link"), F.col("link"), F.lit("")).alias("score"))
     alone = rows.select(c.contact_score(F.col("title"), F.col("link"), F.col("link"), F.lit("")).alias("score"))
     assert told.first()["score"] == alone.first()["score"]
+
+
+def _counted(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(x):
+        calls.add(1)
+        return x
+
+    return calls, key(F.col("id").cast("string"))
+
+
+def test_f13_keys_of_candidates_are_made_once(spark):
+    from sparkquarry.operators.greedy import without_duplicates
+
+    calls, key = _counted(spark)
+    rows = spark.range(0, 40, 1, 2).select(F.col("id").alias("pos"), key.alias("name"), *[F.lit("").alias(c) for c in ("address", "domain", "phone")])
+    known = spark.createDataFrame([("name", "7", False)], "kind string, key string, skip boolean")
+    found = without_duplicates(rows, known).where("NOT accepted").collect()
+    assert ([r["pos"] for r in found], calls.value) == ([7], 40)
+
+
+def test_f16_keys_of_profiles_are_made_once(spark):
+    from sparkquarry.operators.greedy import merged_profiles
+
+    calls, key = _counted(spark)
+    words = F.array().cast("array<string>")
+    rows = spark.range(0, 40, 1, 2).select(F.col("id").alias("pos"), key.alias("key"), F.lit("").alias("host"), *[words.alias(c) for c in ("words", "products", "categories", "reasons")], F.lit(1).alias("score"))
+    assert (len(merged_profiles(rows).collect()), calls.value) == (40, 40)
