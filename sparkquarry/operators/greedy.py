@@ -108,6 +108,7 @@ def without_duplicates(candidates: DataFrame, known: DataFrame) -> DataFrame:
     its name and its domain (maybe in two rows), or, where it has no address, its name or its
     phone. Kinds are name, address, domain, phone and composite. Only accepted rows count.
     """
+    candidates = cut(candidates, "candidate-keys")  # keys take long to make, and every step reads them
     composite = F.when((F.col("name") != "") & (F.col("address") != ""), F.concat("name", F.lit("::"), "address")).otherwise("")
     keys = {"name": F.col("name"), "address": F.col("address"), "domain": F.col("domain"), "phone": F.col("phone"), "composite": composite}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in keys.items()]))
@@ -117,7 +118,7 @@ def without_duplicates(candidates: DataFrame, known: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("kind") == k, F.lit(True))).alias(f"in_{k}") for k in keys],
         F.max(F.when(F.col("kind").isin("name", "domain"), F.col("skip"))).alias("hard"),
     )
-    rows = candidates.join(bits.withColumnRenamed("pos", "_of"), F.col("pos") == F.col("_of"), "left").drop("_of")
+    rows = cut(candidates.join(bits.withColumnRenamed("pos", "_of"), F.col("pos") == F.col("_of"), "left").drop("_of"), "candidates")
     no = F.lit(False)
     bit = lambda k: F.coalesce(F.col(f"in_{k}"), no)
 
