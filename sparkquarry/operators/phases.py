@@ -85,27 +85,28 @@ def phased_search(companies: DataFrame, hits: DataFrame, phases: tuple[Phase, ..
     spark = companies.sparkSession
     told = hits.where("contact IS NOT NULL").groupBy("query", "contact").agg(F.min("title").alias("title"))
     kind = companies.schema["company"].dataType.simpleString()
-    asked, known, parts = spark.createDataFrame([], f"company {kind}, phase string, at int, query string"), spark.createDataFrame([], f"company {kind}, phase string, contact string, title string"), []
+    asked, known = spark.createDataFrame([], f"company {kind}, phase string, queries array<string>"), spark.createDataFrame([], f"company {kind}, phase string, contact string, title string")
     for phase in phases:
+        # What a company asks stays one list, which is only taken apart to meet the hits.
         found = known.groupBy("company").agg(F.count("*").alias("_n"), F.collect_set(n.company_key("title")).alias("_titles"))
-        short = companies.join(found, "company", "left").where(F.coalesce("_n", F.lit(0)) < enough)
-        titles = F.coalesce("_titles", F.array().cast("array<string>"))
-        each = short.select("company", F.coalesce("_n", F.lit(0)).alias("_n"), F.posexplode(phase.queries(F.col("aliases"), titles)).alias("_at", "query"))
-        new = each.join(asked.select("company", "query"), ["company", "query"], "left_anti")
-        # A company's queries are as many as its names and the forms make, and those within the budget fewer still.
-        at = F.row_number().over(Window.partitionBy("company").orderBy("_at")) - 1
-        lots = cut(new.withColumn("at", at).where(F.col("at") < phase.limit).select("company", "_n", "at", "query", F.floor(F.col("at") / phase.size).cast("int").alias("lot")), f"asked-{phase.name}")
+        before = asked.groupBy("company").agg(F.flatten(F.collect_list("queries")).alias("_before"))
+        short = companies.join(found, "company", "left").where(F.coalesce("_n", F.lit(0)) < enough).join(before, "company", "left")
+        none = F.array().cast("array<string>")
+        queries = phase.queries(F.col("aliases"), F.coalesce("_titles", none))
+        new = F.slice(F.array_except(queries, F.coalesce("_before", none)), 1, phase.limit)
+        lists = cut(short.select("company", F.coalesce("_n", F.lit(0)).alias("_n"), new.alias("queries")).where(F.size("queries") > 0), f"asked-{phase.name}")
+        lots = lists.select("company", "_n", F.posexplode("queries").alias("at", "query")).withColumn("lot", F.floor(F.col("at") / phase.size).cast("int"))
         met = lots.join(told, "query").join(known.select("company", "contact"), ["company", "contact"], "left_anti")
         first = cut(met.groupBy("company", "contact").agg(F.min(F.struct("at", "lot", "title", "_n")).alias("f")).select("company", "contact", "f.*"), f"found-{phase.name}")
         so_far = F.sum("more").over(Window.partitionBy("company").orderBy("lot"))
         stops = first.groupBy("company", "lot", "_n").agg(F.count("*").alias("more")).withColumn("all", F.col("_n") + so_far).where(F.col("all") >= enough).groupBy("company").agg(F.min("lot").alias("stop"))
         stops = cut(stops, f"stops-{phase.name}")
-        within = lambda rows: rows.join(stops, "company", "left").where(F.col("stop").isNull() | (F.col("lot") <= F.col("stop")))  # noqa: B023, E731
-        now = cut(asked.unionByName(within(lots).select("company", F.lit(phase.name).alias("phase"), "at", "query")), "asked")
-        then = cut(known.unionByName(within(first).select("company", F.lit(phase.name).alias("phase"), "contact", "title")), "known")
-        free(lots, first, stops, *parts)
-        asked, known, parts = now, then, [now, then]
-    return asked, known
+        read = F.when(F.col("stop").isNull(), F.col("queries")).otherwise(F.slice("queries", F.lit(1), ((F.col("stop") + 1) * phase.size).cast("int")))
+        within = first.join(stops, "company", "left").where(F.col("stop").isNull() | (F.col("lot") <= F.col("stop")))
+        asked = asked.unionByName(cut(lists.join(stops, "company", "left").select("company", F.lit(phase.name).alias("phase"), read.alias("queries")), "asked"))
+        known = known.unionByName(cut(within.select("company", F.lit(phase.name).alias("phase"), "contact", "title"), "known"))
+        free(lists, first, stops)
+    return asked.select("company", "phase", F.posexplode("queries").alias("at", "query")), known
 
 
 def asked_and_found(asked: DataFrame, known: DataFrame) -> DataFrame:

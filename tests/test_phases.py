@@ -75,3 +75,15 @@ def test_locale_order(spark):
     plain = lambda x: "".join({"é": "e", "è": "e", "ä": "a", "É": "e", "È": "e", "Ä": "a"}.get(c, c) for c in x).lower()
     assert [plain(x) for x in got] == sorted(map(plain, names))
     assert got.index("apple") < got.index("Apple") and got.index("eclair") < got.index("Eclair") < got.index("éclair") and got.index("resume") < got.index("résumé")
+
+
+def test_f21_queries_are_kept_as_one_list_of_a_company(spark, monkeypatch):
+    from sparkquarry.operators import phases
+
+    written = {}
+    monkeypatch.setattr(phases, "cut", lambda df, name, cut=phases.cut: written.setdefault(name, []).append(cut(df, name)) or written[name][-1])
+    monkeypatch.setattr(phases, "free", lambda *tables: None)
+    companies = spark.sql("SELECT id AS company, array(concat('Maple ', id)) AS aliases FROM range(5)")
+    asked, _ = phases.phased_search(companies, spark.createDataFrame([("x", "Jane Doe", "Owner")], "query string, contact string, title string"))
+    rows = [df.count() for name, of in written.items() if name.startswith("asked") for df in of]
+    assert rows == [5] * len(rows) and asked.count() > 5 * len(rows)
