@@ -15,15 +15,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from sparkquarry.functions import js
 
 #: Values in the table of splits that is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_VALUES = 4_000_000
+#: Text that a task takes apart at once.
+PIECE_BYTES = 1 << 22
 BOM = "﻿"
 
 
@@ -64,24 +66,34 @@ def _numbered(lines: DataFrame) -> DataFrame:
     """`lines` (file, block, value; as a text source reads them) plus at, a line's place in its split, quotes, its
     quotation marks, and before, those before it in its split."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at, before = None, 0, 0
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            quotes = batch["value"].str.count('"').to_numpy(np.int64)
-            file, block = batch["file"].to_numpy(), batch["block"].to_numpy()
-            edges = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(batch)]
-            places, sums = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            quotes = pc.count_substring(batch.column("value"), '"').cast(pa.int64()).to_numpy()
+            file, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "block"))
+            edges = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(quotes)]
+            places, sums = np.empty(len(quotes), np.int64), np.empty(len(quotes), np.int64)
             for a, b in zip(edges, edges[1:]):
                 if (file[a], block[a]) != last:
                     last, at, before = (file[a], block[a]), 0, 0
                 running = before + np.cumsum(quotes[a:b])
                 places[a:b], sums[a:b] = np.arange(at, at + b - a), running - quotes[a:b]
                 at, before = at + b - a, int(running[-1])
-            yield batch.assign(at=places, quotes=quotes, before=sums)
+            columns = [batch.column(c) for c in ("file", "block", "value")] + [pa.array(x) for x in (places, quotes, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "value", "at", "quotes", "before"])
 
-    return lines.mapInPandas(count, "file string, block long, value string, at long, quotes long, before long")
+    return lines.select("file", "block", "value").mapInArrow(count, "file string, block long, value string, at long, quotes long, before long")
+
+
+def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of no more than so many bytes of text, or of one row."""
+    sums, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _odd(x: Column) -> Column:
@@ -114,14 +126,18 @@ def _records(placed: DataFrame) -> DataFrame:
 def _parsed(records: DataFrame, returns_end_rows: bool) -> DataFrame:
     """(file, block, at, sub, cells) of the rows of records; more than one where a lone CR ends rows."""
 
-    @F.pandas_udf(ArrayType(ArrayType(StringType())))
-    def rows_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            plain = lambda t: [t.split(",")] if '"' not in t and "\r" not in t else list(csv_rows(t + "\n", returns_end_rows))
-            yield batch.map(plain)
+    cells = pa.list_(pa.list_(pa.string()))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda t: [t.split(",")] if '"' not in t and "\r" not in t else list(csv_rows(t + "\n", returns_end_rows))
+        for batch in batches:  # a batch may have thousands of long records: only some are Python's objects at once
+            for piece in _pieces(batch):
+                made = pa.array([plain(t) for t in piece.column("text").to_pylist()], cells)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("file", "block", "at")), made], names=["file", "block", "at", "rows"])
 
     text = F.when((F.col("block") == 0) & (F.col("at") == 0), F.regexp_replace("text", f"^{BOM}", "")).otherwise(F.col("text"))
-    return records.select("file", "block", "at", F.posexplode(rows_of(text)).alias("sub", "cells"))
+    rows = records.select("file", "block", "at", text.alias("text")).mapInArrow(rows_of, "file string, block long, at long, rows array<array<string>>")
+    return rows.select("file", "block", "at", F.posexplode("rows").alias("sub", "cells"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], profile: str = "lead") -> DataFrame:

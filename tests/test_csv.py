@@ -115,3 +115,13 @@ def test_headers_beyond_the_first_split_and_files_without_any(spark, tmp_path, s
     split_at(20)
     assert [r.asDict() for r in read_csv(spark, str(tmp_path)).collect()] == [{"h": "1", "i": "2"}]
     assert read_csv(spark, str(tmp_path / "b.csv")).columns == ["column_1"]
+
+
+def test_f20_long_records_are_taken_apart_in_small_pieces():
+    import pyarrow as pa
+
+    from sparkquarry.sources.lenient_csv import _pieces
+
+    texts = ["x" * k for k in (0, 40, 60, 250, 1, 99, 0, 1)]
+    pieces = [p.column("text").to_pylist() for p in _pieces(pa.RecordBatch.from_pydict({"text": texts}), 100)]
+    assert [[len(t) for t in p] for p in pieces] == [[0, 40, 60], [250], [1, 99, 0], [1]]
