@@ -185,7 +185,10 @@ def read_csv(spark: SparkSession, path: str | list[str], profile: str = "lead")
     after = F.struct("block", "at", "sub") > F.struct("head_block", "head_at", F.col("head_sub").cast("int").alias("sub"))
     cell = lambda k: F.coalesce(F.when(F.get("slots", F.lit(k)) >= 0, F.get("cells", F.get("slots", F.lit(k)))), F.lit(""))
     kept = parsed.where(after)
-    out = (kept.orderBy("file", "block", "at", "sub") if lead else kept).select(*[(js.trim(cell(k)) if lead else cell(k)).alias(n) for k, n in enumerate(names)])
+    if lead:  # in order by as many tasks as a shuffle has, however short the files are
+        order = ("file", "block", "at", "sub")
+        kept = kept.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    out = kept.select(*[(js.trim(cell(k)) if lead else cell(k)).alias(n) for k, n in enumerate(names)])
     if profile == "registry":
         return out
     return out.where(F.concat(*[F.col(f"`{n.replace('`', '``')}`") for n in names]) != "")
