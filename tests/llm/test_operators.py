@@ -396,6 +396,25 @@ def test_lm_score_long_contexts(spark):
     assert got[60][0] > got[61][0] + 0.5
 
 
+def test_lm_score_sends_a_row_for_each_part_and_range(spark, monkeypatch):
+    """Not one for each block and kind: 40 partitions make 40 blocks, but so little text makes one part."""
+    from pyspark.sql import functions as F
+
+    rows, cut = [], lm_score.cut
+
+    def counted(df, name):
+        back = cut(df, name)
+        rows.append(back.count())
+        return back
+
+    monkeypatch.setattr(lm_score, "cut", counted)
+    own = random.Random(13)
+    some = ["".join(own.choices("abcdefgh", k=3)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(own.choices(some, k=40)), i % 6 != 0) for i in range(400)], "doc_id long, text string, known boolean")
+    assert lm_score.suffix_tree_scores(docs.repartition(40, "doc_id"), F.col("known"), max_depth=2).count() == 400
+    assert max(rows) <= 16 + 2  # 16 ranges; a part's state and scores
+
+
 def test_columns_of_any_name_pass_through_line_dedup(spark):
     """The operator's own names, clashing; repeated and missing ids; three documents to make a line common."""
     line, other = "a line that is long enough", "another line of some length"
